@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, tokencount
+from . import jaccard, langid, mixing, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,10 +25,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_source_mix": op6_source_mix,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
