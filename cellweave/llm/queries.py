@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, jaccard, langid, mixing, tokencount
+from . import embdedup, jaccard, langid, linedup, mixing, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,12 +33,19 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per deleted run: document, its lines, and the earlier document and line it repeats."""
+    runs = linedup.merged_runs(linedup.repeated_runs(_read(spark, sf_dir, "documents")))
+    return runs.selectExpr("id AS doc_id", "first AS first_line", "last - first AS n_lines", "sid AS source_doc_id", "sfirst AS source_line")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_source_mix": op6_source_mix,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
