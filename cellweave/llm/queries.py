@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, jaccard, langid, linedup, mixing, tokencount
+from . import decontam, embdedup, jaccard, langid, linedup, mixing, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it covers by half or more."""
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
     "op6_source_mix": op6_source_mix,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_counts": op8_token_counts,
