@@ -155,10 +155,11 @@ def _cuts(data: np.ndarray, at: np.ndarray, part: np.ndarray) -> list[int]:
     return cuts
 
 
-def words(data: np.ndarray, at: np.ndarray, kind: tuple[np.ndarray, np.ndarray] = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, kind: tuple[np.ndarray, np.ndarray] = WORDS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, offsets): 64-bit hash and byte range of every word of every text.
 
-    Words of text i are those from offsets[i] to offsets[i + 1].
+    Words of text i are those from offsets[i] to offsets[i + 1]. With ``prefixes``, hashes has a
+    column for the word and one for each of its beginnings of so many bytes (that of a shorter word is 0).
     """
     part, value = kind
     hashes, starts, ends = [], [], []
@@ -179,12 +180,16 @@ def words(data: np.ndarray, at: np.ndarray, kind: tuple[np.ndarray, np.ndarray]
         up, down = _power_tables(high - low + 1)
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(value[piece] * up[: high - low], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        whole = mix((total[e] - total[s]) * down[s])
+        if prefixes:
+            begun = [np.where(e - s >= n, mix(((total[np.minimum(s + n, e)] - total[s]) * down[s]) ^ np.uint64(n)), np.uint64(0)) for n in prefixes]
+            whole = np.column_stack([whole, *begun])
+        hashes.append(whole)
         starts.append(s + low)
         ends.append(e + low)
     if not hashes:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none, np.zeros(len(at), np.int64)
     first = np.concatenate(starts)
     return np.concatenate(hashes), first, np.concatenate(ends), np.searchsorted(first, at)
 

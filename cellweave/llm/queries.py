@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, embdedup, jaccard, langid, linedup, mixing, tokencount
+from . import decontam, embdedup, jaccard, langid, linedup, mixing, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.withColumn("segments", F.size("segments")).withColumnRenamed("segments", "n_segments")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_counts": op8_token_counts,
