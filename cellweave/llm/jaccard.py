@@ -1,8 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles are put into size bands; inside a band, similarity bounds the symmetric
-difference by k. The feature domain is cut into n1 parts, each into 3: some part differs in at
-most one feature, so two of its three pieces are equal, and hashes of such pairs of pieces are
+difference by k. The feature domain is cut into n1 parts, each into 3 pieces: some part differs in
+at most one feature, so two of its pieces are equal, and hashes of such pairs of pieces are
 signatures that two similar sets must share. Sets that share a signature are gathered into
 candidate clusters, whose members are compared exactly in blocks of bounded size; what leaves a
 block is a spanning forest of its links, never all pairs.
@@ -22,7 +22,7 @@ from .common import SLICE_BYTES, WORDS, map_arrow, materialize, mix, shingles, s
 from .graph import block_pairs, connected_components, forest
 
 #: Signatures of fewer features are left out where a set has enough others (see ``signatures``).
-LEAST_FEATURES = 3
+LEAST_FEATURES = 2
 
 _PART, _PIECE, _VALUE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
@@ -38,48 +38,52 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def band_rule(band: int, num: int, den: int) -> tuple[int, int]:
-    """(n1, spare) of a band: number of parts, and how many parts' signatures a set may leave out.
+def band_rule(band: int, num: int, den: int) -> tuple[int, int, np.ndarray]:
+    """(n1, spare, pairs) of a band: number of parts; how many parts' weak signatures a set may leave
+    out; and the pairs of a part's pieces that make its signatures.
 
     Two sets of sizes up to ``high`` and similarity num / den differ in at most
-    k = 2 * high * (den - num) / (den + num) features. At most k // 2 parts then differ in two features
-    or more, so of k // 2 + 1 + spare parts at least spare + 1 have a common signature.
+    k = 2 * high * (den - num) / (den + num) features. A small k is met by one part of k + 2 pieces:
+    two of them are equal. Else at most k // 2 parts differ in two features or more, so of
+    k // 2 + 1 + spare parts of 3 pieces at least spare + 1 have two equal pieces.
     """
     low = 1
     for _ in range(band):
         low = low * den // num + 1
     high = low * den // num
     k = 2 * high * (den - num) // (den + num)
-    most = k // 2 + 1
-    return most + most // 8, most // 8
+    n1, pieces = (1, k + 2) if k <= 4 else (k // 2 + 1, 3)
+    spare = n1 // 8
+    return n1 + spare, spare, np.array([(i, j) for j in range(pieces) for i in range(j)])
 
 
 def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     """PartEnum signatures of a set of 64-bit features, for its own size band and the next.
 
-    Parts with a signature of under LEAST_FEATURES features are skipped if there are at most
-    ``spare`` of them: at least one common signature is then in another part.
+    A signature of under LEAST_FEATURES features is weak: sets that have nothing to do with each
+    other share it. Weak ones are left out if at most ``spare`` parts have any. That loses
+    no pair: if one of two similar sets leaves its weak ones out, then of the spare + 1 parts where
+    they agree some part has none, and other signatures are always given by both.
     """
     if not len(features):
         return features
     band = band_of(len(features), num, den)
-    part, piece, value = mix(features ^ _PART), mix(features ^ _PIECE) % np.uint64(3), mix(features ^ _VALUE)
+    part, piece, value = mix(features ^ _PART), mix(features ^ _PIECE), mix(features ^ _VALUE)
     found = []
     for b in (band, band + 1):
-        n1, spare = band_rule(b, num, den)
-        slot = ((part % np.uint64(n1)) * np.uint64(3) + piece).astype(np.int64)
-        sums = np.zeros(n1 * 3, np.uint64)
-        np.add.at(sums, slot, value)
-        count = np.bincount(slot, minlength=n1 * 3).reshape(n1, 3)
-        sums = sums.reshape(n1, 3)
-        few = np.stack([count[:, 0] + count[:, 1], count[:, 1] + count[:, 2], count[:, 2] + count[:, 0]], 1)
-        keep = (few >= LEAST_FEATURES).all(axis=1)
-        if (~keep).sum() > spare:
-            keep[:] = True
-        where = np.flatnonzero(keep)
-        tag = (np.uint64(b) << np.uint64(40)) + (where.astype(np.uint64) << np.uint64(2))
-        for j in range(3):
-            found.append(mix(mix(sums[where, j] + mix(tag + np.uint64(j))) + mix(sums[where, (j + 1) % 3] ^ _PIECE)))
+        n1, spare, pairs = band_rule(b, num, den)
+        pieces = int(pairs.max()) + 1
+        slot = ((part % np.uint64(n1)) * np.uint64(pieces) + piece % np.uint64(pieces)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        edge = np.searchsorted(slot[order], np.arange(n1 * pieces + 1))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(value[order])])
+        sums = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, pieces)
+        count = np.diff(edge).reshape(n1, pieces)
+        size = count[:, pairs[:, 0]] + count[:, pairs[:, 1]]
+        weak = size < LEAST_FEATURES
+        keep = ~weak if weak.any(axis=1).sum() <= spare else np.ones_like(weak)
+        tag = mix((np.uint64(b) << np.uint64(40)) + np.arange(weak.size, dtype=np.uint64)).reshape(weak.shape)
+        found.append(mix(mix(sums[:, pairs[:, 0]] + tag) + mix(sums[:, pairs[:, 1]] ^ _PIECE))[keep])
     return np.unique(np.concatenate(found))
 
 
