@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdedup, jaccard, langid, linedup, mixing, tokencount, toxicity
+from . import chat, decontam, embdedup, jaccard, langid, linedup, mixing, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the archives that were written of all pages."""
+    return warc.read_archives(*warc.write_archives(_read(spark, sf_dir, "pages"))).drop("html", "url")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(_read(spark, sf_dir, "conversations")))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it covers by half or more."""
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -52,6 +61,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
+    "op3_chat_format": op3_chat_format,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
