@@ -213,3 +213,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = classes.join(reach, "first", "left").select("n", "k1", "k2", F.coalesce("component", "first").alias("component"))
     rows = found.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of ``jaccard_components``: the one with the smallest id; all columns stay.
+
+    Rows of empty sets are in no group and all stay, and so do rows without an id. Of rows that repeat
+    the smallest id one stays (the least by text).
+    """
+    names = docs.columns
+    found = materialize(jaccard_components(docs, k, num, den, id, text).where(F.col("n_shingles") > 0), "groups")
+    gone = found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("__id")).distinct()
+    kept = docs.join(gone, F.col(id).cast("long") == F.col("__id"), "left_anti")
+    twice = found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("__id")).count().where("count > 1").drop("count")
+    if twice.isEmpty():
+        return kept
+    repeated = F.col(id).cast("long") == F.col("__id")
+    order = Window.partitionBy(id).orderBy(F.col(text).isNull(), text)
+    first = kept.join(twice, repeated, "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*names)
+    return kept.join(twice, repeated, "left_anti").unionByName(first)

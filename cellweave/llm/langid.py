@@ -24,6 +24,9 @@ BLOCK_BYTES, LEVEL = 16_384, 6
 #: stored as it is, which would hide what a dictionary saves on a short text.
 PRIMER_BYTES = 64
 
+#: A best total that is not under the second by this share is rejected.
+MARGIN = 0.004
+
 
 def fold_of(id: str, folds: int):
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds))
@@ -64,7 +67,23 @@ class Encoders:
         return [sum(len(encode(primer + b)) for b in blocks) for encode, primer in zip(self.encoders, self.primers)]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.004, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _judge(encoders: Encoders, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and margin of each text."""
+    texts = pc.fill_null(column, "")
+    letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    names, margins = [], np.zeros(len(texts))
+    for k, (t, has) in enumerate(zip(texts, letters.tolist())):
+        if not has or not encoders.names:
+            names.append(UNKNOWN)
+            continue
+        sizes = encoders.sizes(t.as_py().lower().encode())
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        names.append(encoders.names[order[0]])
+        margins[k] = 1 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
+    return names, margins
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, margin, accepted) per row of ``docs``.
 
     ``lang_pred`` is ``und`` for a text that is null or has no letter, and if no language was
@@ -73,31 +92,34 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
     ``und`` and below the ``margin`` given. ``score`` maps the margin to 0 to 1 (half at 2 %).
     Other columns are ignored; repeated rows give equal results.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(dictionaries)
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(held.value)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            names, margins = [], np.zeros(len(texts))
-            for k, (t, has) in enumerate(zip(texts, letters.tolist())):
-                if not has or not encoders.names:
-                    names.append(UNKNOWN)
-                    continue
-                sizes = encoders.sizes(t.as_py().lower().encode())
-                order = sorted(range(len(sizes)), key=sizes.__getitem__)
-                names.append(encoders.names[order[0]])
-                margins[k] = 1 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
-            known = np.array([n != UNKNOWN for n in names])
+            names, margins = _judge(encoders, batch.column(1))
+            known = np.array([n != UNKNOWN for n in names], bool)
             score = np.where(known, margins / (margins + 0.02), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(margins), pa.array(known & (margins >= margin))], ["id", "lang_pred", "score", "margin", "accepted"])
 
     return docs.mapInArrow(run, "id long, lang_pred string, score double, margin double, accepted boolean").withColumnRenamed("id", id)
 
 
+def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict`` accepts, whole and where they are: no join."""
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = Encoders(held.value)
+        for batch in batches:
+            names, margins = _judge(encoders, batch.column(at))
+            yield batch.filter(pa.array([n != UNKNOWN and m >= margin for n, m in zip(names, margins.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``predict`` for all rows, learned from those with a language whose fold (crc32 of id mod 4) isn't 2."""
     learned = learn_dictionaries(docs.where(fold_of(id, 4) != 2), id=id, text=text, lang=lang)

@@ -1,12 +1,60 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: each stage takes and returns documents.
+
+A stage is written as Parquet and read again as the next one's input, so that a lost executor costs no
+more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from cellweave.llm import decontam, jaccard, langid, linedup, mixing
+from cellweave.llm.common import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without letters or with a narrow margin go."""
+    learned = langid.learn_dictionaries(docs.where(langid.fold_of("doc_id", 4) != 2))
+    return langid.keep_accepted(docs, learned)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeats of runs of lines; those of which nothing is left go."""
+    return linedup.delete_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates: five words, similarity 0.8 or more."""
+    return jaccard.keep_first(docs, k=5, num=80, den=100)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item by half."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, with its source: a row per document that it takes at all."""
+    taken = mixing.mix_sources(docs)
+    return taken.where("taken > 0")
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+]
+
+#: Compression, winnowing and signatures can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("no stages yet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k + 1}")
+    return docs
