@@ -74,22 +74,28 @@ def winnow(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
+    """(id, th, lines, counts) per text: hashes and word counts of its wrapped lines."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, counts, prints, places = [], [], [], []
-        for line, count, _, _ in _lines(*utf8(batch.column(2))):
-            fp, at = winnow(line)
-            lines.append(signed(line))
-            counts.append(count)
-            prints.append(signed(fp))
-            places.append(at)
+        found = [(signed(line), count) for line, count, _, _ in _lines(*utf8(batch.column(2)))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(line) for line, _ in found])]).astype(np.int32))
+        lines, counts = (pa.array(np.concatenate(parts)) for parts in zip(*found))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, lines), pa.ListArray.from_arrays(offsets, counts.cast(pa.int32()))], ["id", "th", "lines", "counts"])
+
+    return map_arrow(docs, run, "id long, th long, lines array<long>, counts array<int>")
 
-        def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)).cast(kind))
 
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(lines, pa.int64()), lists(counts, pa.int32()), lists(prints, pa.int64()), lists(places, pa.int32())], ["id", "th", "lines", "counts", "prints", "places"])
+def _fingerprints(found: DataFrame) -> DataFrame:
+    """(fp, id, place) of every fingerprint."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = batch.column(1).flatten().to_numpy().view(np.uint64)
+        cuts = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
+        found = [winnow(flat[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(at) for _, at in found])
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([fp for fp, _ in found]))), pa.array(ids), pa.array(np.concatenate([at for _, at in found])).cast(pa.int32())], ["fp", "id", "place"])
 
-    return map_arrow(docs, run, "id long, th long, lines array<long>, counts array<int>, prints array<long>, places array<int>")
+    return map_arrow(found.select("id", "lines"), run, "fp long, id long, place int")
 
 
 def extend(lines: np.ndarray, source: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -140,8 +146,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text
     compared with each other, only within themselves.
     """
     found = materialize(_describe(_keyed(docs, id, text).where("id is not null and text is not null")), "lines")
-    prints = found.select("id", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(F.col("p.prints").alias("fp"), "id", F.col("p.places").alias("place"))
-    first = prints.groupBy("fp").agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    prints = _fingerprints(found)
+    first = prints.groupBy("fp").agg(F.min(F.struct("id", "place")).alias("f"))
     seeds = prints.join(first, "fp").where("id <> f.id or place <> f.place")
     pairs = seeds.groupBy("id", F.col("f.id").alias("sid")).agg(F.collect_set(F.struct("place", F.col("f.place").alias("splace"))).alias("seeds"))
     both = pairs.join(found.select("id", "th", "lines", "counts"), "id")
