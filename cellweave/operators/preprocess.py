@@ -51,19 +51,24 @@ def check_frames_present(cells: DataFrame, grid: Grid) -> None:
     require(lost, F.col("lost") >= grid.ny * grid.nx, "entire frame is missing")
 
 
+def cadence(frames: DataFrame) -> DataFrame:
+    """(sequence_id, frames, shortest, longest) of each sequence: steps between frames in seconds."""
+    order = Window.partitionBy("sequence_id").orderBy("t")
+    steps = frames.withColumn("step", seconds_between(F.lag("interval_start").over(order), F.col("interval_start")))
+    return steps.groupBy("sequence_id").agg(F.count("*").alias("frames"), F.min("step").alias("shortest"), F.max("step").alias("longest"))
+
+
 def check_cadence(frames: DataFrame, hours: float | None = None) -> None:
     """Frames' start times must rise by equal steps, of ``hours`` if given.
 
     Give one frame more on each side of a window, so that its ends are looked at as well.
     """
-    order = Window.partitionBy("sequence_id").orderBy("t")
-    steps = frames.withColumn("step", seconds_between(F.lag("interval_start").over(order), F.col("interval_start"))).withColumn("first", F.row_number().over(order) == 1)
     require(frames, F.col("interval_start").isNull(), "invalid time")
-    require(steps, ~F.col("first") & (F.col("step") <= 0), "times must be strictly increasing")
-    spread = steps.where("not first").groupBy("sequence_id").agg(F.min("step").alias("a"), F.max("step").alias("b"))
-    require(spread, F.col("a") != F.col("b"), "irregular time steps")
+    spread = cadence(frames)
+    require(spread, F.col("shortest") <= 0, "times must be strictly increasing")
+    require(spread, F.col("shortest") != F.col("longest"), "irregular time steps")
     if hours is not None:
-        require(spread, ~close_to(F.col("a") / 3600, F.lit(hours)), "time step disagrees with dt_hours")
+        require(spread, ~close_to(F.col("shortest") / 3600, F.lit(hours)), "time step disagrees with dt_hours")
 
 
 def check_interval(kind: str, unit: str) -> None:
