@@ -55,11 +55,8 @@ def branch_spans(nodes: DataFrame, hours: float = 1.0) -> DataFrame:
 def branch_speeds(nodes: DataFrame, edges: DataFrame, hours: float = 1.0, km: float | None = None) -> DataFrame:
     """Cells per hour along edges that stay on a branch; with the grid's spacing in km also km/h."""
     n = nodes.select("sequence_id", "node_id", "branch_id", "time", "centroid_y", "centroid_x")
-    p = n.select("sequence_id", *(F.col(c).alias(f"p_{c}") for c in n.columns[1:]))
-    c = n.select("sequence_id", *(F.col(k).alias(f"c_{k}") for k in n.columns[1:]))
-    e = edges.select("sequence_id", "parent_node_id", "child_node_id")
-    rows = e.join(p, (e.sequence_id == p.sequence_id) & (e.parent_node_id == p.p_node_id)).drop(p.sequence_id)
-    rows = rows.join(c, (rows.sequence_id == c.sequence_id) & (rows.child_node_id == c.c_node_id)).drop(c.sequence_id).where("p_branch_id = c_branch_id")
+    side = lambda k, id: n.select("sequence_id", F.col("node_id").alias(id), *(F.col(c).alias(f"{k}_{c}") for c in n.columns[2:]))
+    rows = edges.select("sequence_id", "parent_node_id", "child_node_id").join(side("p", "parent_node_id"), ["sequence_id", "parent_node_id"]).join(side("c", "child_node_id"), ["sequence_id", "child_node_id"]).where("p_branch_id = c_branch_id")
     far = F.hypot(F.col("c_centroid_y") - F.col("p_centroid_y"), F.col("c_centroid_x") - F.col("p_centroid_x"))
     out = rows.select("sequence_id", F.col("p_branch_id").alias("branch_id"), F.col("c_time").alias("time"), (far / (F.lit(hours) * (F.col("c_time") - F.col("p_time")))).alias("cells_per_hour"))
     return out if km is None else out.withColumn("km_per_hour", F.col("cells_per_hour") * km)
