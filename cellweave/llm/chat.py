@@ -24,21 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns are "### Role: text </turn>" and a line end. Inside texts a backslash stands before whatever could be
-#: read as a control string, and before backslashes.
+#: Turns are "### Role: text </turn>" and a line end. Inside roles and texts, codes stand for # : < and backslashes.
 HEAD, COLON, END = "### ", ": ", " </turn>\n"
 TEMPLATE = "{% for m in messages %}### {{ m.role | escape }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %} </turn>\n{% endfor %}"
 
-_CONTROL = re.compile(r"[\\#:<]")
+#: What stands for characters that control strings have, and for the backslash itself.
+_CODES = {"\\": "\\\\", "#": "\\h", ":": "\\c", "<": "\\l"}
+_CHARACTERS = {v[1]: k for k, v in _CODES.items()}
+_TABLE = str.maketrans(_CODES)
 
 
 def escape(text: str) -> str:
-    """A backslash before each character that a control string has: then none can occur, and ``unescape`` gives the text."""
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+    """The text with a code for each character that a control string has: none can occur in it, and ``unescape``
+    gives the text back."""
+    return text.translate(_TABLE)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: _CHARACTERS[m[1]], text, flags=re.S)
 
 
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
