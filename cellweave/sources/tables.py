@@ -45,8 +45,9 @@ def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], manife
     fs, place = _hadoop(spark, temporary)
     fs.delete(place, True)
     for name, df in tables.items():
-        writer = df.write.format(format)
-        (writer.option("header", True) if format == "csv" else writer).save(f"{temporary}/{name}")
+        kind = "json" if name == "states" else format  # states are JSON themselves, which CSV would garble
+        writer = df.write.format(kind)
+        (writer.option("header", True) if kind == "csv" else writer).save(f"{temporary}/{name}")
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{temporary}/manifest")  # last
     if not fs.rename(place, spark._jvm.org.apache.hadoop.fs.Path(path)):
         raise OSError(f"can't rename to {path}")
@@ -75,6 +76,13 @@ def read_part(spark: SparkSession, path: str, name: str, format: str = "csv") ->
     return spark.read.format(format).load(f"{path}/{name}")
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence_id, state) of a part: what the next chunk goes on from."""
+    if not exists(spark, f"{path}/states"):
+        raise FileNotFoundError(f"{path}/states")
+    return spark.read.json(f"{path}/states", schema="sequence_id string, state string")
+
+
 def canonical_families(nodes: DataFrame, family_map: DataFrame) -> DataFrame:
     """Nodes with ``canonical_family_id`` of the final map beside the family they had when they were written."""
     final = family_map.select("sequence_id", "branch_id", F.col("family_id").alias("canonical_family_id"))
