@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text is hashed in slices of about this many bytes, so that memory doesn't grow with a text.
 SLICE_BYTES = 1 << 20
 
+#: Most bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = "8m"
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -37,25 +42,61 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellweave-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def scratch_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where it is."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    return scratch_table(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing will read any more, and let Spark drop the shuffle files of
+    frames that are gone: at scale a phase's disk shouldn't add to the next one's."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 # ---------------------------------------------------------------- Arrow batches
 
 
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each, what the allocator holds of the one before goes back to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, with batches of BATCH_BYTES unless the session asks for other than Spark's default.
+
+    A batch is held several times over, by the executor and by Python, and by each task at once.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+                del out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -51,24 +51,32 @@ def block_pairs(members: DataFrame, group: str, counts: DataFrame, least: int =
     return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "n_blocks", "n_group")
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the graph of n vertices with these edges: at most n - 1 of them."""
-    root = list(range(n))
+class Forest:
+    """A spanning forest of n vertices that grows with the edges it is given: at most n - 1 are kept."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.left: list[int] = []
+        self.right: list[int] = []
 
-    def find(x: int) -> int:
+    def _find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    kept = []
-    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-    kept = np.array(kept, dtype=np.int64)
-    return left[kept], right[kept]
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in zip(left.tolist(), right.tolist()):
+            x, y = self._find(a), self._find(b)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.left.append(a)
+                self.right.append(b)
 
 
-__all__ = ["Window", "block_pairs", "connected_components", "forest"]
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph of n vertices with these edges."""
+    tree = Forest(n)
+    tree.add(left, right)
+    return np.array(tree.left, np.int64), np.array(tree.right, np.int64)

@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, WORDS, map_arrow, materialize, mix, shingles, signed, sorted_groups, utf8, words
-from .graph import block_pairs, connected_components, forest
+from .common import SLICE_BYTES, WORDS, discard, map_arrow, map_batches, materialize, mix, shingles, signed, sorted_groups, utf8, words
+from .graph import Forest, block_pairs, connected_components, forest
 
-#: Signatures of fewer features are left out where a set has enough others (see ``signatures``).
+#: Sets that share a signature of fewer features are compared by their sketches first.
 LEAST_FEATURES = 2
 
+#: Rows of a bucket whose sketches are compared at a time.
+SKETCHES = 256
+
+_ZERO = np.zeros(1, np.uint64)
 _PART, _PIECE, _VALUE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -38,14 +42,14 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def band_rule(band: int, num: int, den: int) -> tuple[int, int, np.ndarray]:
-    """(n1, spare, pairs) of a band: number of parts; how many parts' weak signatures a set may leave
-    out; and the pairs of a part's pieces that make its signatures.
+def band_rule(band: int, num: int, den: int) -> tuple[int, np.ndarray, int]:
+    """(n1, pairs, width) of a band: number of parts, the pairs of a part's pieces that make its
+    signatures, and the number of counters of a sketch.
 
     Two sets of sizes up to ``high`` and similarity num / den differ in at most
     k = 2 * high * (den - num) / (den + num) features. A small k is met by one part of k + 2 pieces:
-    two of them are equal. Else at most k // 2 parts differ in two features or more, so of
-    k // 2 + 1 + spare parts of 3 pieces at least spare + 1 have two equal pieces.
+    two of them are equal. Else at most k // 2 parts differ in two features or more, so one of
+    k // 2 + 1 parts of 3 pieces has two equal pieces.
     """
     low = 1
     for _ in range(band):
@@ -53,38 +57,39 @@ def band_rule(band: int, num: int, den: int) -> tuple[int, int, np.ndarray]:
     high = low * den // num
     k = 2 * high * (den - num) // (den + num)
     n1, pieces = (1, k + 2) if k <= 4 else (k // 2 + 1, 3)
-    spare = n1 // 8
-    return n1 + spare, spare, np.array([(i, j) for j in range(pieces) for i in range(j)])
+    return n1, np.array([(i, j) for j in range(pieces) for i in range(j)]), 2 * max(16, high // 16)
 
 
-def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit features, for its own size band and the next.
+def signatures(features: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[np.ndarray, bytes]]]:
+    """PartEnum signatures of a set of 64-bit features, for its own size band and the next: strong
+    ones, and for each band weak ones with the set's sketch.
 
     A signature of under LEAST_FEATURES features is weak: sets that have nothing to do with each
-    other share it. Weak ones are left out if at most ``spare`` parts have any. That loses
-    no pair: if one of two similar sets leaves its weak ones out, then of the spare + 1 parts where
-    they agree some part has none, and other signatures are always given by both.
+    other share it by chance. The sketch is the set's size and how many features (modulo 16) fall on each of so
+    many counters; the counters' distances on a ring of 16 add up to no more than the symmetric difference.
     """
     if not len(features):
-        return features
+        return features, []
     band = band_of(len(features), num, den)
     part, piece, value = mix(features ^ _PART), mix(features ^ _PIECE), mix(features ^ _VALUE)
-    found = []
+    strong, weak = [], []
     for b in (band, band + 1):
-        n1, spare, pairs = band_rule(b, num, den)
+        n1, pairs, width = band_rule(b, num, den)
         pieces = int(pairs.max()) + 1
         slot = ((part % np.uint64(n1)) * np.uint64(pieces) + piece % np.uint64(pieces)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         edge = np.searchsorted(slot[order], np.arange(n1 * pieces + 1))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(value[order])])
+        total = np.concatenate([_ZERO, np.cumsum(value[order])])
         sums = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, pieces)
         count = np.diff(edge).reshape(n1, pieces)
-        size = count[:, pairs[:, 0]] + count[:, pairs[:, 1]]
-        weak = size < LEAST_FEATURES
-        keep = ~weak if weak.any(axis=1).sum() <= spare else np.ones_like(weak)
-        tag = mix((np.uint64(b) << np.uint64(40)) + np.arange(weak.size, dtype=np.uint64)).reshape(weak.shape)
-        found.append(mix(mix(sums[:, pairs[:, 0]] + tag) + mix(sums[:, pairs[:, 1]] ^ _PIECE))[keep])
-    return np.unique(np.concatenate(found))
+        few = count[:, pairs[:, 0]] + count[:, pairs[:, 1]] < LEAST_FEATURES
+        tag = mix((np.uint64(b) << np.uint64(40)) + np.arange(few.size, dtype=np.uint64)).reshape(few.shape)
+        sig = mix(mix(sums[:, pairs[:, 0]] + tag) + mix(sums[:, pairs[:, 1]] ^ _PIECE))
+        strong.append(sig[~few])
+        if few.any():
+            counters = (np.bincount((value % np.uint64(width)).astype(np.int64), minlength=width) % 16).astype(np.uint8)
+            weak.append((sig[few], len(features).to_bytes(4, "little") + (counters[::2] | counters[1::2] << 4).tobytes()))
+    return np.concatenate(strong), weak
 
 
 def set_key(features: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -105,21 +110,112 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         low = high
 
 
-def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, sigs): size and key of each row's shingle set, and its signatures."""
+def _describe(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, k1, k2): size and key of each row's shingle set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, sigs = [], [], []
-        for s in _sets(batch.column(1), k):
-            sizes.append(len(s))
-            keys.append(set_key(s))
-            sigs.append(signatures(s, num, den))
-        key = np.array(keys, np.uint64).reshape(-1, 2)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sigs))))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed(np.ascontiguousarray(key[:, 0]))), pa.array(signed(np.ascontiguousarray(key[:, 1]))), lists], ["id", "n", "k1", "k2", "sigs"])
+        found = [(len(s), *set_key(s)) for s in _sets(batch.column(1), k)]
+        n, k1, k2 = zip(*found)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (k1, k2))], ["id", "n", "k1", "k2"])
+
+    return map_arrow(docs, run, "id long, n long, k1 long, k2 long")
 
-    return map_arrow(docs, run, "id long, n long, k1 long, k2 long, sigs array<long>")
+
+def _signed_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, k1, sketch): the signatures of each set, once for equal texts of a batch; strong ones have no sketch."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: set[int] = set()
+        sigs, keys, times, sketches = [], [], [], []
+        for s in _sets(batch.column(0), k):
+            key = int(set_key(s)[0])
+            if key in seen or not len(s):
+                continue
+            seen.add(key)
+            strong, weak = signatures(s, num, den)
+            for sig, sketch in ((strong, None), *weak):
+                sigs.append(sig)
+                keys.append(key)
+                times.append(len(sig))
+                sketches += [sketch] * len(sig)
+        if not sigs:
+            return None
+        keys = np.repeat(np.array(keys, np.uint64), times)
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(signed(keys)), pa.array(sketches, pa.binary())], ["sig", "k1", "sketch"])
+
+    return map_arrow(docs.where("text is not null").select("text"), run, "sig long, k1 long, sketch binary")
+
+
+def _similar_sketches(keys: np.ndarray, sketches: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's sets that their sketches don't rule out, block by block."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    size = raw[:, :4].copy().view(np.uint32)[:, 0].astype(np.int64)
+    counters = np.concatenate([raw[:, 4:] & 15, raw[:, 4:] >> 4], axis=1).astype(np.int8)
+    for i in range(0, len(keys), SKETCHES):
+        for j in range(i, len(keys), SKETCHES):
+            a, b = slice(i, i + SKETCHES), slice(j, j + SKETCHES)
+            small, large = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
+            x, y = np.nonzero(num * large <= den * small)
+            x, y = x[i + x < j + y] + i, y[i + x < j + y] + j
+            for low in range(0, len(x), 20_000):
+                p, q = x[low : low + 20_000], y[low : low + 20_000]
+                apart = np.abs(counters[p] - counters[q])
+                apart = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
+                near = (den + num) * apart <= (den - num) * (size[p] + size[q])
+                yield keys[p[near]], keys[q[near]]
+
+
+def _bucket_ties(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the rows (sig, k1, sketch), sorted by sig and k1: sets of a bucket are tied to its least key
+    if the signature is strong; if it is weak, a spanning forest ties those with similar sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, None
+        held_k: list[np.ndarray] = []
+        held_s: list[bytes] = []
+
+        def weak_bucket() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate(held_k) if held_k else np.zeros(0, np.int64)
+            if len(keys) > 1:
+                keys, first = np.unique(keys, return_index=True)
+                tree = Forest(len(keys))
+                for a, b in _similar_sketches(np.arange(len(keys)), [held_s[k] for k in first.tolist()], num, den):
+                    tree.add(a, b)
+                if tree.left:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[tree.left]), pa.array(keys[tree.right])], ["a", "b"])
+            held_k.clear()
+            held_s.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            first = k1[starts].copy()
+            if sig[0] == last:
+                first[0] = least
+            else:
+                yield from weak_bucket()
+            sketched = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sig))))
+            tied = np.flatnonzero((k1 != first[group]) & ~sketched)
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(first[group[tied]]), pa.array(k1[tied])], ["a", "b"])
+            some = np.flatnonzero(sketched)
+            if len(some):
+                sketches = batch.column(2).take(pa.array(some)).to_pylist()
+                cuts = np.flatnonzero(np.diff(group[some])) + 1
+                for part in np.split(np.arange(len(some)), cuts):
+                    if held_k and group[some[part[0]]] != 0:
+                        yield from weak_bucket()
+                    held_k.append(k1[some[part]])
+                    held_s += [sketches[j] for j in part.tolist()]
+                    if group[some[part[-1]]] != len(starts) - 1:  # ended within the batch
+                        yield from weak_bucket()
+            last, least = sig[-1], first[-1]
+        yield from weak_bucket()
+
+    return map_batches(rows, run, "a long, b long")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -181,7 +277,21 @@ def _verify(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return map_batches(work, run, "a long, b long")
+
+
+def _clusters(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(k1, g): cluster of each set that shares a signature.
+
+    Signatures are by far the most of all rows. They go through one shuffle and are never written: sets are
+    computed again for what else is needed of them.
+    """
+    rows = _signed_sets(docs, k, num, den).repartition("sig").sortWithinPartitions("sig", "k1")
+    ties = materialize(_bucket_ties(rows, num, den).distinct(), "ties")
+    del rows
+    discard(docs.sparkSession)
+    clusters = connected_components(ties)
+    return materialize(clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")), "clusters")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,12 +305,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     a null id is its own component.
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = materialize(_describe(docs, k, num, den), "sets")
-    # buckets: rows that share a signature, each tied to the least key in it
-    bucket = Window.partitionBy("sig")
-    ties = found.where("n > 0").select(F.explode("sigs").alias("sig"), "k1").withColumn("least", F.min("k1").over(bucket)).where("k1 <> least")
-    clusters = connected_components(ties.select(F.col("least").alias("a"), F.col("k1").alias("b")).distinct())
-    clusters = materialize(clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")), "clusters")
+    clusters = _clusters(docs, k, num, den)
+    found = materialize(_describe(docs, k), "sets")
     classes = materialize(found.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first")), "classes")
     # one row per set of a cluster, dealt to blocks by hash
     members = classes.join(clusters, "k1").withColumn("ord", F.xxhash64("k2"))
@@ -208,7 +314,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     work = block_pairs(members, "g", counts).select("g", "bi", "bj", "blk", F.col("first").alias("id"), "k1", "k2")
     work = work.join(docs, "id").select("g", "bi", "bj", "blk", "id", "k1", "k2", "text")
     work = work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
-    links = _verify(work, k, num, den)
+    links = materialize(_verify(work, k, num, den), "links")
+    del work
+    discard(docs.sparkSession)
     reach = connected_components(links).withColumnRenamed("id", "first")
     named = classes.join(reach, "first", "left").select("n", "k1", "k2", F.coalesce("component", "first").alias("component"))
     rows = found.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
