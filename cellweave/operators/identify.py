@@ -1,8 +1,9 @@
 """Objects of each frame: wet cells whose dilated neighbourhoods hang together.
 
-An object is the wet cells of one 8-connected component of (dilate(wet) AND valid) OR wet. Rows of cells
-are kept as runs, so a disk of radius 9 costs 19 rows per run of wet cells and not 253 per
-cell. Frames are independent: every step's key holds (sequence_id, t).
+An object is the wet cells of one 8-connected component of (dilate(wet) AND valid) OR wet. Cells are
+handled as runs, so a disk of radius 9 costs 19 spans per run of wet cells and not 253 per
+cell. Frames are independent, and the grid bounds them: identification is one shuffle by frame. The steps
+stand as DataFrame operations as well (``runs_of``, ``dilate_runs``, ``subtract_missing``, ``label_runs``).
 """
 
 from __future__ import annotations
@@ -105,15 +106,67 @@ def _label_frames(nx: int, min_size: int, connectivity: int):
     return run
 
 
+def _intervals(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of consecutive numbers of a sorted list."""
+    cut = np.flatnonzero(np.diff(place) > 1)
+    return place[np.append(0, cut + 1)], place[np.append(cut, len(place) - 1)]
+
+
+def _ground(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, spans: np.ndarray, grid: Grid, missing: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of cells that the footprint reaches from the given runs and that aren't missing. Cells are
+    numbered y * width + x with ``width`` over the grid's, so stretches of different rows don't touch."""
+    ry = (y[:, None] + spans[:, 0]).ravel()
+    a, b = np.maximum(x0[:, None] + spans[:, 1], 0).ravel(), np.minimum(x1[:, None] + spans[:, 2], grid.nx - 1).ravel()
+    inside = (ry >= 0) & (ry < grid.ny) & (a <= b)
+    start, stop = ry[inside] * width + a[inside], ry[inside] * width + b[inside] + 1
+    m0, m1 = _intervals(missing) if len(missing) else (missing, missing - 1)
+    # one sweep over all ends: how many reaches and how many gaps are open after each
+    at = np.concatenate([start, stop, m0, m1 + 1])
+    reach = np.concatenate([np.ones(len(start)), -np.ones(len(stop)), np.zeros(2 * len(m0))])
+    gap = np.concatenate([np.zeros(2 * len(start)), np.ones(len(m0)), -np.ones(len(m1))])
+    order = np.argsort(at, kind="stable")
+    at, last = np.unique(at[order], return_index=True)
+    last = np.append(last[1:], len(order)) - 1
+    held = (np.cumsum(reach[order])[last] > 0) & (np.cumsum(gap[order])[last] == 0)
+    first = np.flatnonzero(held & ~np.append(False, held[:-1]))
+    end = np.flatnonzero(~held & np.append(False, held[:-1]))
+    return at[first], at[end] - 1
+
+
+def _identify_frames(grid: Grid, shape: Footprint, min_size: int):
+    spans = np.array(shape.spans, np.int64)
+    if not shape.holds_origin:
+        spans = np.vstack([spans, (0, 0, 0)])  # wet cells belong to the ground, whatever they reach
+    width = grid.nx + 2
+    label = _label_frames(grid.nx, min_size, 8)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        place = (frame.y.to_numpy(np.int64) * width + frame.x.to_numpy(np.int64))
+        wet = np.unique(place[frame.wet.to_numpy(bool)])
+        if not len(wet):
+            return pd.DataFrame({"sequence_id": [], "t": [], "y": [], "x0": [], "x1": [], "label": []})
+        w0, w1 = _intervals(wet)
+        g0, g1 = _ground(w0 // width, w0 % width, w1 % width, spans, grid, np.unique(place[~frame.wet.to_numpy(bool)]), width)
+        both = pd.DataFrame({"y": np.concatenate([g0, w0]) // width, "x0": np.concatenate([g0, w0]) % width, "x1": np.concatenate([g1, w1]) % width, "wet": np.arange(len(g0) + len(w0)) >= len(g0)})
+        both.insert(0, "sequence_id", frame.sequence_id.iloc[0])
+        both.insert(1, "t", frame.t.iloc[0])
+        return label(both)
+
+    return run
+
+
 def identify_runs(cells: DataFrame, grid: Grid, threshold: float = 0.0, shape: Footprint = SQUARE, min_size: int = 1) -> DataFrame:
-    """(sequence_id, t, y, x0, x1, label): labelled runs of wet cells."""
+    """(sequence_id, t, y, x0, x1, label): labelled runs of wet cells.
+
+    One shuffle by frame of the wet and the missing cells; all else happens on a frame's runs.
+    """
     if min_size < 1:
         raise ValueError("min_size must be at least one")
-    wet = runs_of(wet_cells(cells, threshold))
-    allowed = subtract_missing(dilate_runs(wet, shape, grid), missing_cells(cells), grid)
-    if not shape.holds_origin:
-        allowed = merge_runs(allowed.unionByName(wet))
-    return label_runs(allowed, wet, grid, min_size)
+    wet = wet_cells(cells, threshold).select(*_ROW, "x", F.lit(True).alias("wet"))
+    both = wet.unionByName(missing_cells(cells).select(*_ROW, "x", F.lit(False).alias("wet")))
+    kinds = dict(both.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in _ROW) + f", x0 {kinds['x']}, x1 {kinds['x']}, label int"
+    return both.groupBy(*FRAME).applyInPandas(_identify_frames(grid, shape, min_size), schema)
 
 
 def label_runs(ground: DataFrame, wet: DataFrame, grid: Grid, min_size: int = 1, connectivity: int = 8) -> DataFrame:
