@@ -144,7 +144,8 @@ def _identify_frames(grid: Grid, shape: Footprint, min_size: int):
         place = (frame.y.to_numpy(np.int64) * width + frame.x.to_numpy(np.int64))
         wet = np.unique(place[frame.wet.to_numpy(bool)])
         if not len(wet):
-            return pd.DataFrame({"sequence_id": [], "t": [], "y": [], "x0": [], "x1": [], "label": []})
+            none = frame[["sequence_id", "t", "y"]].iloc[:0]
+            return none.assign(x0=none.y, x1=none.y, label=np.zeros(0, np.int32))
         w0, w1 = _intervals(wet)
         g0, g1 = _ground(w0 // width, w0 % width, w1 % width, spans, grid, np.unique(place[~frame.wet.to_numpy(bool)]), width)
         both = pd.DataFrame({"y": np.concatenate([g0, w0]) // width, "x0": np.concatenate([g0, w0]) % width, "x1": np.concatenate([g1, w1]) % width, "wet": np.arange(len(g0) + len(w0)) >= len(g0)})
