@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Turns are "### Role: text </turn>" and a line end. Inside roles and texts, codes stand for # : < and backslashes.
 HEAD, COLON, END = "### ", ": ", " </turn>\n"
 TEMPLATE = "{% for m in messages %}### {{ m.role | escape }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %} </turn>\n{% endfor %}"
@@ -451,7 +453,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, con
                 at += len(piece)
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array(["".join(pieces)]), pa.array([spans], kind)], ["conv", "n_turns", "formatted", "loss"])
 
-    return _ordered(conversations, conv, turn, role, text).mapInArrow(run, "conv long, n_turns long, formatted string, loss array<struct<start:long,end:long>>").withColumnRenamed("conv", conv)
+    return map_batches(_ordered(conversations, conv, turn, role, text), run, "conv long, n_turns long, formatted string, loss array<struct<start:long,end:long>>").withColumnRenamed("conv", conv)
 
 
 class _Reader:
@@ -502,7 +504,7 @@ def digests(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
             yield batch()
 
     shape = "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _ordered(conversations, conv, turn, role, text).mapInArrow(run, shape).withColumnRenamed("conv", conv)
+    return map_batches(_ordered(conversations, conv, turn, role, text), run, shape).withColumnRenamed("conv", conv)
 
 
 def with_probe(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,15 +30,19 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where a session doesn't set it, as in tests, a temporary folder is made and set.
+    Where a session doesn't set it, as in tests, a temporary folder is made once.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _made:
+            _made.append(tempfile.mkdtemp(prefix="cellweave-"))
+        found = _made[0]
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellweave-{name}-{uuid.uuid4().hex}"
 
@@ -68,12 +73,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
 # ---------------------------------------------------------------- Arrow batches
 
 
-def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; before each, what the allocator holds of the one before goes back to the system."""
-    for batch in batches:
-        yield batch
-        del batch
-        pa.default_memory_pool().release_unused()
+def _give_back() -> None:
+    """What the allocators hold beyond what is in use goes back to the system: workers stay when a task is over."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -84,14 +90,19 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     conf = df.sparkSession.conf
     if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
         conf.set(_BATCH_CONF, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(frugal, schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frugal(batches):
+        for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
                 del out

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, SLICE_BYTES, mix, utf8, words
+from .common import LETTERS, SLICE_BYTES, map_batches, mix, utf8, words
 
 #: Least length of a tile in words; and share of an item under tiles from which it counts as leaked.
 MATCH, COVERAGE = 4, 0.5
@@ -187,7 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, covera
                     row, k, share, n, longest = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([items.ids[x] for x in k], pa.int64()), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], ["id", "item_id", "coverage", "n_tiles", "longest_tile"])
 
-        parts.append(docs.mapInArrow(run, "id long, item_id long, coverage double, n_tiles int, longest_tile int"))
+        parts.append(map_batches(docs, run, "id long, item_id long, coverage double, n_tiles int, longest_tile int"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -207,5 +207,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, covera
                 keep[[x[0] for x in sent.value.leaks(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

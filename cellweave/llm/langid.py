@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 UNKNOWN = "und"
 
 #: Bytes of text that are encoded at a time, and zstandard's level.
@@ -103,7 +105,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
             score = np.where(known, margins / (margins + 0.02), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(margins), pa.array(known & (margins >= margin))], ["id", "lang_pred", "score", "margin", "accepted"])
 
-    return docs.mapInArrow(run, "id long, lang_pred string, score double, margin double, accepted boolean").withColumnRenamed("id", id)
+    return map_batches(docs, run, "id long, lang_pred string, score double, margin double, accepted boolean").withColumnRenamed("id", id)
 
 
 def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
@@ -117,7 +119,7 @@ def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float
             names, margins = _judge(encoders, batch.column(at))
             yield batch.filter(pa.array([n != UNKNOWN and m >= margin for n, m in zip(names, margins.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def identify_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

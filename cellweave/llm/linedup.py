@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, WORDS, map_arrow, materialize, mix, signed, utf8, words
+from .common import SLICE_BYTES, WORDS, discard, map_arrow, materialize, mix, scratch_table, signed, utf8, words
 
 #: A line is wrapped after words whose hash is divisible by WRAP, and after LONGEST words.
 WRAP, LONGEST = 8, 16
@@ -145,7 +146,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text
     more; words are compared with A-Z as a-z. Null texts and null ids have none; rows with equal id are not
     compared with each other, only within themselves.
     """
-    found = materialize(_describe(_keyed(docs, id, text).where("id is not null and text is not null")), "lines")
+    found, path = scratch_table(_describe(_keyed(docs, id, text).where("id is not null and text is not null")), "lines")
     prints = _fingerprints(found)
     first = prints.groupBy("fp").agg(F.min(F.struct("id", "place")).alias("f"))
     seeds = prints.join(first, "fp").where("id <> f.id or place <> f.place")
@@ -153,7 +154,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text
     both = pairs.join(found.select("id", "th", "lines", "counts"), "id")
     source = found.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("lines").alias("source"))
     both = both.join(source, "sid").where("sid <> id or sth = th")
-    return _match(both, min_words)
+    runs = materialize(_match(both, min_words), "runs")
+    del found, prints, first, seeds, pairs, both, source
+    discard(docs.sparkSession, path)
+    return runs
 
 
 def merged_runs(runs: DataFrame) -> DataFrame:
@@ -203,22 +207,22 @@ def delete_repeats(docs: DataFrame, min_words: int = 20, id: str = "doc_id", tex
         at = names.index(text)
         hit = np.flatnonzero(batch.column(len(names)).is_valid().to_numpy(zero_copy_only=False))
         left = batch.column(at)
+        gone = np.zeros(batch.num_rows, bool)
         if len(hit):
-            chosen = left.take(pa.array(hit))
-            data, offsets = utf8(chosen)
-            texts = left.to_pylist()
-            spans = batch.column(len(names)).take(pa.array(hit)).to_pylist()
-            for k, (row, (line, _, start, _)) in enumerate(zip(hit.tolist(), _lines(data, offsets))):
+            data, offsets = utf8(left.take(pa.array(hit)))
+            spans, texts = batch.column(len(names)), []
+            for k, (row, (_, _, start, _)) in enumerate(zip(hit.tolist(), _lines(data, offsets))):
                 raw = data[offsets[k] : offsets[k + 1]]
                 keep = np.ones(len(raw), bool)
                 edges = np.append(start, len(raw))
-                for s in spans[k]:
+                for s in spans[row].as_py():
                     keep[edges[s["first"]] : edges[s["last"]]] = False
-                texts[row] = raw[keep].tobytes().decode("utf-8", "replace")
-            left = pa.array(texts, left.type)
+                texts.append(raw[keep].tobytes())
+                gone[row] = not texts[-1].strip()
+            mask = np.zeros(batch.num_rows, bool)
+            mask[hit] = True
+            left = pc.replace_with_mask(left, pa.array(mask), pa.array(texts, pa.binary()).cast(left.type))
         columns = [left if j == at else batch.column(j) for j in range(len(names))]
-        gone = np.zeros(batch.num_rows, bool)
-        gone[hit] = [not t.strip() for t in left.take(pa.array(hit)).to_pylist()] if len(hit) else []
         return pa.RecordBatch.from_arrays([*columns, pa.array(gone)], [*names, "__gone"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __gone boolean"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import map_batches, materialize, scratch_path
 
 #: Rows whose ids the shards' bounds are taken from (by hash of id: about that many at most).
 BOUND_SAMPLE = 20_000
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["shard", "file", "records", "bytes", "sha256", "first", "last"])
 
-    manifest = placed.select(*names).mapInArrow(run, "shard int, file string, records long, bytes long, sha256 string, first long, last long")
+    manifest = map_batches(placed.select(*names), run, "shard int, file string, records long, bytes long, sha256 string, first long, last long")
     manifest.write.parquet(f"{folder}/_manifest")  # its _SUCCESS is the commit
     return folder, spark.read.schema("shard int, file string, records long, bytes long, sha256 string, first long, last long").parquet(f"{folder}/_manifest")
 
@@ -251,7 +251,7 @@ def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return listed.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return map_batches(listed.select("content"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
