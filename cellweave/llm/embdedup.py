@@ -18,12 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, sorted_groups
+from .common import map_arrow, map_batches, materialize, sorted_groups
 from .graph import block_pairs, connected_components, forest
 
 #: Blocks of the rotated vector, and leading coordinates of a block that the grid is over.
 BLOCKS, GRID = 4, 2
 
+#: Most rows of a cell in a block; a unit of work has two blocks.
+CELL_ROWS = 256
+
 #: Rounding room of single precision coordinates, of squared distances of unit vectors.
 SLACK = 1e-5
 
@@ -82,6 +85,20 @@ def _cells(distinct: DataFrame, cosine: float) -> DataFrame:
     return placed.withColumn("g", F.xxhash64("label", "b", "dims", *(f"c{j}" for j in range(GRID)))).select("g", "vkey", "home", "part", F.xxhash64("vkey").alias("ord"))
 
 
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Copies of the rows such that any two at home in a cell, and any of them and a neighbour, meet.
+
+    Rows at home and neighbours are cut into blocks of CELL_ROWS; each pair of blocks of which one is at home is a unit of
+    work. Two neighbours need not meet.
+    """
+    counts = placed.groupBy("g").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("others")).where("homes > 0 and homes + others > 1")
+    blocks = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+    held = placed.join(counts, "g").withColumns({"h": blocks("homes"), "o": blocks("others")})
+    held = held.withColumn("blk", F.when(F.col("home"), F.pmod("ord", "h")).otherwise(F.col("h") + F.pmod("ord", "o")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("o")).otherwise(F.col("h")) - 1)))
+    return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
+
+
 def _candidates(work: DataFrame, cosine: float) -> DataFrame:
     """(a, b): a spanning forest of the pairs within a block's budget, for each unit of work."""
     budget = (2 - 2 * cosine) / BLOCKS + SLACK
@@ -104,7 +121,7 @@ def _candidates(work: DataFrame, cosine: float) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return map_batches(work, run, "a long, b long")
 
 
 def _verify(work: DataFrame, cosine: float) -> DataFrame:
@@ -134,7 +151,7 @@ def _verify(work: DataFrame, cosine: float) -> DataFrame:
                     b = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[q]]), mask=np.arange(len(some) + len(p)) < len(some))
                     yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([here[some], np.zeros(len(p), np.int64)]))], ["a", "b", "n"])
 
-    return work.mapInArrow(run, "a long, b long, n long")
+    return map_batches(work, run, "a long, b long, n long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -157,8 +174,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "
     distinct = keyed.where("ok").groupBy("vkey").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     distinct = materialize(distinct, "vectors")
     placed = materialize(_cells(distinct.select("vkey", "label", "embedding"), cosine), "cells")
-    counts = placed.groupBy("g").agg(F.count("*").alias("n_group"), F.count_if("home").alias("homes")).where("n_group > 1 and homes > 0").drop("homes")
-    work = block_pairs(placed, "g", counts).select("g", "bi", "bj", "blk", "vkey", "home", "part")
+    work = _meetings(placed).select("g", "bi", "bj", "blk", "vkey", "home", "part")
     near = _candidates(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine)
     clusters = materialize(connected_components(near).select(F.col("id").alias("vkey"), F.col("component").alias("g")), "clusters")
     members = distinct.join(clusters, "vkey").select("g", "vkey", "times", "embedding", F.xxhash64("vkey").alias("ord"))
