@@ -1,10 +1,10 @@
-"""Line dedup: winnowing over line hashes, matches extended both ways, later repeats deleted.
+"""Line dedup: runs of words that stand earlier in the corpus, found by winnowing and deleted where they stand later.
 
-A text is a sequence of lines; long ones are wrapped at places that depend on the words only, so
-that a repeated passage is wrapped alike wherever it stands. Hashes of two lines in a row are
-winnowed: of every WINDOW of them the least is a fingerprint, so any repeat of WINDOW + 1 lines
-shares one. Each fingerprint is joined with its first occurrence in the corpus, the match is
-extended both ways line by line, and long enough matches are deleted where they stand later.
+Line feeds are white space like any other, so a passage is found wherever in a line it stands. With
+``min_words`` = 20, every window of 20 words has a fingerprint: the least hash of its shingles of SHINGLE words. Equal
+windows have equal fingerprints, so only windows whose fingerprint occurs twice in the corpus can
+be repeats, and only these are hashed whole and grouped, those of one fingerprint as one row where all are alike. A window that isn't the first of its group is a repeat: a short
+quote that has a fingerprint of a longer passage hides nothing, and no two texts are compared.
 """
 
 from __future__ import annotations
@@ -14,123 +14,293 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, WORDS, discard, map_arrow, materialize, mix, scratch_table, signed, utf8, words
+from .common import SLICE_BYTES, WORDS, discard, map_arrow, map_batches, materialize, mix, scratch_table, signed, utf8, words
 
-#: A line is wrapped after words whose hash is divisible by WRAP, and after LONGEST words.
-WRAP, LONGEST = 8, 16
-
-#: Consecutive hashes of line pairs of which the least is a fingerprint.
-WINDOW = 2
+#: Words of a shingle, of which a window's least is its fingerprint.
+SHINGLE = 8
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _lines(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, word counts, start bytes, end bytes) of each text's wrapped lines; bytes are from the text's start."""
+def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, hashes, starts, ends, offsets) of the words of some texts at a time, see words()."""
     low, n = 0, len(at) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(at, at[low] + 2 * SLICE_BYTES, "right")) - 1)
-        h, start, end, offsets = words(data, at[low : high + 1], WORDS)
-        if not len(h):
-            for _ in range(low, high):
-                yield (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-            low = high
-            continue
-        base = int(at[low])
-        feeds = np.flatnonzero(data[base : int(at[high])] == 10) + base
-        first = np.zeros(len(h), bool)
-        first[offsets[:-1][offsets[:-1] < len(h)]] = True
-        k = np.searchsorted(feeds, start)
-        first[1:] |= k[1:] != np.searchsorted(feeds, end[:-1])  # a line feed between two words
-        first[1:] |= h[:-1] % np.uint64(WRAP) == 0
-        index = np.arange(len(h))
-        run = index - np.maximum.accumulate(np.where(first, index, 0))
-        first |= run % LONGEST == 0
-        begin = np.flatnonzero(first)
-        stop = np.append(begin[1:], len(h))
-        # a line's hash: its words' hashes with their places in the line
-        place = mix((index - np.repeat(begin, stop - begin)).astype(np.uint64) + _STEP)
-        line = mix(np.add.reduceat(mix(h ^ place), begin) + (stop - begin).astype(np.uint64))
-        bounds = np.searchsorted(begin, offsets)
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            text = int(at[low + i])
-            yield line[a:b], stop[a:b] - begin[a:b], start[begin[a:b]] - text, end[stop[a:b] - 1] - text
+        yield low, high, *words(data, at[low : high + 1], WORDS)
         low = high
 
 
-def winnow(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, positions): of every WINDOW hashes of line pairs in a row the least, the last one if equal."""
-    if len(lines) < 2:
-        return lines[:0], np.zeros(0, np.int64)
-    pairs = mix(lines[:-1] * _STEP + lines[1:])
-    if len(pairs) <= WINDOW:
-        at = np.array([len(pairs) - 1 - int(np.argmin(pairs[::-1]))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)
-        at = np.unique(np.arange(len(views)) + WINDOW - 1 - np.argmin(views[:, ::-1], axis=1))
-    return pairs[at], at
+def _lines(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, counts of 1, start bytes, end bytes) of each text's words, the units of runs; bytes are from the text's start."""
+    for low, high, h, start, end, offsets in _parts(data, at):
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            text = int(at[low + i])
+            yield h[a:b], np.ones(b - a, np.int64), start[a:b] - text, end[a:b] - text
+
 
+def _least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Where the least of every ``window`` hashes in a row is, the last one if equal."""
+    at, size = np.arange(len(hashes)), 1
+    while size < window:
+        d = min(size, window - size)
+        later = hashes[d:] <= hashes[:-d]
+        hashes, at, size = np.where(later, hashes[d:], hashes[:-d]), np.where(later, at[d:], at[:-d]), size + d
+    return at
 
-def _describe(docs: DataFrame) -> DataFrame:
-    """(id, th, lines, counts) per text: hashes and word counts of its wrapped lines."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(signed(line), count) for line, count, _, _ in _lines(*utf8(batch.column(2)))]
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(line) for line, _ in found])]).astype(np.int32))
-        lines, counts = (pa.array(np.concatenate(parts)) for parts in zip(*found))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, lines), pa.ListArray.from_arrays(offsets, counts.cast(pa.int32()))], ["id", "th", "lines", "counts"])
+def _runs_of(units: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` units."""
+    out = units[: len(units) - k + 1]
+    for j in range(1, k):
+        out = out * _STEP + units[j : len(units) - k + 1 + j]
+    return mix(out)
 
-    return map_arrow(docs, run, "id long, th long, lines array<long>, counts array<int>")
 
+def winnow(units: np.ndarray, k: int = 2, window: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, positions) of one text: of every ``window`` hashes of ``k`` units in a row the least, the last one if equal.
 
-def _fingerprints(found: DataFrame) -> DataFrame:
-    """(fp, id, place) of every fingerprint."""
+    By default every pair is one, which is what tests compare runs with; _windows() has those of many texts at once.
+    """
+    if len(units) < k:
+        return units[:0], np.zeros(0, np.int64)
+    found = _runs_of(units, k)
+    at = np.unique(_least(found, min(window, len(found))))
+    return found[at], at
+
+
+def _windows(h: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, chosen, fingerprints): of every window of ``min_words`` words of every text the first word, the first
+    word of the least shingle, and that shingle's hash."""
+    k = min(SHINGLE, min_words)
+    if len(h) < min_words:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    end = np.repeat(offsets[1:], np.diff(offsets))
+    starts = np.flatnonzero(np.arange(min_words, len(h) + 1) <= end[: len(h) - min_words + 1])
+    found = _runs_of(h, k)
+    chosen = _least(found, min_words - k + 1)[starts]
+    return starts, chosen, found[chosen]
+
+
+def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """(fp, id, place) of the fingerprints of all windows, each place once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = batch.column(1).flatten().to_numpy().view(np.uint64)
-        cuts = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
-        found = [winnow(flat[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        ids = np.repeat(batch.column(0).to_numpy(), [len(at) for _, at in found])
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([fp for fp, _ in found]))), pa.array(ids), pa.array(np.concatenate([at for _, at in found])).cast(pa.int32())], ["fp", "id", "place"])
+        ids, out = batch.column(0).to_numpy(), []
+        for low, _, h, _, _, offsets in _parts(*utf8(batch.column(1))):
+            _, chosen, fp = _windows(h, offsets, min_words)
+            new = np.flatnonzero(np.diff(chosen, prepend=-1))
+            row = np.searchsorted(offsets, chosen[new], "right") - 1
+            out.append((signed(fp[new]), ids[low + row], (chosen[new] - offsets[row]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["fp", "id", "place"])
 
-    return map_arrow(found.select("id", "lines"), run, "fp long, id long, place int")
+    return map_arrow(docs.select("id", "text"), run, "fp long, id long, place int")
 
 
-def extend(lines: np.ndarray, source: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, source start) of the longest equal runs through each seed (place, source place)."""
-    found = []
-    for shift in sorted({p - q for p, q in seeds}):
-        low, high = max(0, shift), min(len(lines), len(source) + shift)
-        equal = lines[low:high] == source[low - shift : high - shift]
-        breaks = np.concatenate([[low - 1], np.flatnonzero(~equal) + low, [high]])
-        places = np.array(sorted({p for p, q in seeds if p - q == shift and low <= p < high}), np.int64)
-        k = np.unique(np.searchsorted(breaks, places[equal[places - low]], "right"))
-        found += [(int(breaks[j - 1]) + 1, int(breaks[j]), int(breaks[j - 1]) + 1 - shift) for j in k]
-    return found
+def _repeated_places(prints: DataFrame) -> DataFrame:
+    """(id, places) of the fingerprints that occur more than once."""
+    by = Window.partitionBy("fp").orderBy("id", "place")
+    near = prints.select("id", "place", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
+    return near.where("before is not null or after is not null").groupBy("id").agg(F.collect_set("place").alias("places"))
 
 
-def _match(pairs: DataFrame, min_words: int) -> DataFrame:
-    """Runs of at least ``min_words`` words of each row (id, th, sid, lines, counts, source, seeds)."""
+def _spans(found: DataFrame, min_words: int) -> DataFrame:
+    """(fp, span, id, th, start, grams) of rows (id, th, text, places): the windows in a row whose fingerprint is at one
+    of the places, the first one's start, hashes of each and of all together.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        part = {n: batch.column(n) for n in ("lines", "counts", "source", "seeds")}
-        for k, (i, th, sid) in enumerate(zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("sid").to_pylist())):
-            seeds = part["seeds"][k].values
-            counts = part["counts"][k].values.to_numpy(zero_copy_only=False)
-            pairs_of = list(zip(seeds.field(0).to_pylist(), seeds.field(1).to_pylist()))
-            for a, b, s in extend(part["lines"][k].values.to_numpy(zero_copy_only=False), part["source"][k].values.to_numpy(zero_copy_only=False), pairs_of):
-                n = int(counts[a:b].sum())
-                if n >= min_words:
-                    out.append((i, th, a, b, n, sid, s))
+        ids, ths, places = (batch.column(k) for k in (0, 1, 3))
+        ids, ths = ids.to_numpy(), ths.to_numpy()
+        sizes, flat, out = places.value_lengths().to_numpy(zero_copy_only=False), places.flatten().to_numpy(), []
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        for low, high, h, _, _, offsets in _parts(*utf8(batch.column(2))):
+            starts, chosen, fp = _windows(h, offsets, min_words)
+            if not len(starts):
+                continue
+            at = np.repeat(offsets[:-1], sizes[low:high]) + flat[cuts[low] : cuts[high]]
+            at = at[at < np.repeat(offsets[1:], sizes[low:high])]  # a place of another text of the same id may be none here
+            marked = np.zeros(len(h), bool)
+            marked[at] = True
+            keep = marked[chosen]
+            starts, chosen, fp = starts[keep], chosen[keep], fp[keep]
+            if not len(starts):
+                continue
+            grams = _runs_of(h, min_words)[starts]
+            begin = np.flatnonzero(np.diff(chosen, prepend=-1))
+            size = np.diff(np.append(begin, len(starts)))
+            span = mix((grams[begin] * _STEP + grams[begin + size - 1]) * _STEP + size.astype(np.uint64))
+            row = np.searchsorted(offsets, starts[begin], "right") - 1
+            out.append((signed(fp[begin]), signed(span), ids[low + row], ths[low + row], (starts[begin] - offsets[row]).astype(np.int32), size, signed(grams)))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["id", "th", "first", "last", "n_words", "sid", "sfirst"])
+        *columns, size, grams = (np.concatenate(c) for c in zip(*out))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(grams))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["fp", "span", "id", "th", "start", "grams"])
+
+    return map_arrow(found.select("id", "th", "text", "places"), run, "fp long, span long, id long, th long, start int, grams array<long>")
 
-    return map_arrow(pairs, run, "id long, th long, first int, last int, n_words int, sid long, sfirst int")
+
+def _first(rows: DataFrame, by: list[str], start: str) -> DataFrame:
+    """``rows`` with (lid, lth, lstart), the first row of equal ``by`` in a smaller id or else in the same text."""
+    till = (Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*by).orderBy("id", "th", start).rowsBetween(*till)
+    own = Window.partitionBy(*by, "id", "th").orderBy(start).rowsBetween(*till)
+    found = rows.withColumns({"f": F.first(F.struct("id", "th", F.col(start).alias("start"))).over(every), "o": F.first(start).over(own)})
+    return found.withColumns({"lid": F.expr("f.id"), "lth": F.expr("if(f.id < id, f.th, th)"), "lstart": F.expr("if(f.id < id, f.start, o)")}).drop("f", "o")
+
+
+def _repeats(spans: DataFrame) -> tuple[DataFrame, str]:
+    """(id, th, first, n, sid, sth, sfirst): ``n`` windows in a row and their first occurrences, and the scratch table they need.
+
+    All windows of a span that isn't the first of its kind are repeats. Where spans of one fingerprint differ, the windows
+    of the first spans are looked up one by one, and other spans take what their first one has.
+    """
+    found = _first(spans.repartition("fp"), ["fp", "span"], "start")
+    alike = Window.partitionBy("fp")
+    found = found.withColumns({"differ": F.min("span").over(alike) != F.max("span").over(alike), "leads": F.expr("lid = id and lth = th and lstart = start")})
+    kept = found.select("id", "th", "start", "lid", "lth", "lstart", "differ", "leads", F.size("grams").alias("n"), F.expr("if(differ and leads, grams, null)").alias("grams"))
+    kept, path = scratch_table(kept.where("differ or not leads"), "spans")
+    grams = kept.where("grams is not null").select("id", "th", "start", F.posexplode("grams").alias("k", "gram")).withColumn("at", F.expr("start + k"))
+    known = _first(grams, ["gram"], "at").where("lid < id or lstart < at")
+    known = known.groupBy(F.col("id").alias("lid"), F.col("th").alias("lth"), F.col("start").alias("lstart"))
+    known = known.agg(F.map_from_entries(F.collect_set(F.struct("k", F.struct("lid", "lth", "lstart")))).alias("known"))
+    whole = kept.where("not differ").selectExpr("id", "th", "start AS first", "n", "lid AS sid", "lth AS sth", "lstart AS sfirst")
+    parts = kept.where("differ").select("id", "th", "start", "n", "lid", "lth", "lstart").join(known, ["lid", "lth", "lstart"], "left")
+    parts = parts.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k"))
+    parts = parts.selectExpr("id", "th", "start + k AS first", "1 AS n", "coalesce(known[k], named_struct('lid', lid, 'lth', lth, 'lstart', lstart + k)) AS s")
+    parts = parts.selectExpr("id", "th", "first", "n", "s.lid AS sid", "s.lth AS sth", "s.lstart AS sfirst").where("sid < id or sfirst < first")
+    return whole.unionByName(parts), path
+
+
+def _segments(repeats: DataFrame) -> DataFrame:
+    """(id, th, first, last, sid, sth, sfirst, adjoins): repeated windows in a row of one text whose first occurrences are
+    in a row in one text. ``last`` is the last window's start; ``adjoins`` tells that another segment goes on before or behind.
+    """
+    names = ["id", "th", "first", "n", "sid", "sth", "sfirst"]
+    out = ["id", "th", "first", "last", "sid", "sth", "sfirst", "adjoins"]
+
+    def process(rows: pa.Table) -> pa.RecordBatch:
+        x = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in names])
+        x = x[:, np.append(True, (np.diff(x[:3]) != 0).any(axis=0))]  # a repeated row has its windows twice
+        id, th, start, n, sid, sth, sstart = x
+        step = np.diff(x)
+        near = (step[:2] == 0).all(axis=0) & (step[2] == n[:-1])
+        begin = np.flatnonzero(np.append(True, ~(near & (step[4:6] == 0).all(axis=0) & (step[6] == n[:-1]))))
+        end = np.append(begin[1:], len(id)) - 1
+        beside = near[begin[1:] - 1]
+        adjoins = np.append(False, beside) | np.append(beside, False)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        found = id[begin], th[begin], start[begin], (start + n - 1)[end], sid[begin], sth[begin], sstart[begin], adjoins
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(found, kinds)], out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the text at the end
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            other = np.flatnonzero((id != id[-1]) | (th != th[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and not cut and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (id[0], th[0]):
+                yield process(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield process(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield process(pa.Table.from_batches(held))
+
+    rows = repeats.select(*names).repartition("id", "th").sortWithinPartitions("id", "th", "first")
+    return map_batches(rows, run, "id long, th long, first int, last int, sid long, sth long, sfirst int, adjoins boolean")
+
+
+def _agree(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many labels from a[i] and from b[i] on are equal (a[i] > b[i])."""
+    n, ranks = len(labels), [np.unique(labels, return_inverse=True)[1].reshape(-1).astype(np.int64)]
+    while True:  # ranks of runs of twice as many labels, as long as any two are equal
+        last, width = ranks[-1], 1 << (len(ranks) - 1)
+        fit = a + width <= n
+        if 2 * width > n or not (last[a[fit]] == last[b[fit]]).any():
+            break
+        ranks.append(np.unique(last[:-width] * n + last[width:], return_inverse=True)[1].reshape(-1).astype(np.int64))
+    a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    for k in reversed(range(len(ranks))):
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            fit = np.flatnonzero(a + (1 << k) <= n)
+            step = np.zeros(len(a), np.int64)
+            step[fit] = (ranks[k][a[fit]] == ranks[k][b[fit]]).astype(np.int64) << k
+            a, b, total = a + step, b + step, total + step
+    return total
+
+
+def extend(segments: np.ndarray, others: np.ndarray | None, me: tuple[int, int], source: tuple[int, int], first: np.ndarray, sfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) windows of the longest equal runs of text ``me`` and ``source`` through windows ``first`` and ``sfirst``.
+
+    ``segments`` and ``others`` are the segments of the two, rows (first, last, sid, sth, sfirst). Two windows are
+    equal if they have the same first occurrence; a window in no segment is its own. No ``others``: the source is the text itself.
+    """
+    known = np.unique(np.array([me, source, *map(tuple, segments[2:4].T), *(() if others is None else map(tuple, others[2:4].T))], np.int64), axis=0)
+    number = {key: k << 32 for k, key in enumerate(map(tuple, known.tolist()))}
+
+    def label(found: np.ndarray, key: tuple[int, int], n: int) -> np.ndarray:
+        labels = np.arange(n) + number[key]
+        size = found[1] - found[0] + 1
+        into = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        base = np.array([number[k] for k in map(tuple, found[2:4].T.tolist())], np.int64) + found[4]
+        labels[np.repeat(found[0], size) + into] = np.repeat(base, size) + into
+        return labels
+
+    labels, shift = label(segments, me, int(segments[1].max()) + 1), 0
+    if others is not None:
+        here = (segments[2] == source[0]) & (segments[3] == source[1])
+        n = 1 + max(int((segments[4] + segments[1] - segments[0])[here].max()), int(others[1].max(initial=0)))
+        labels, shift = np.concatenate([label(others, source, n), [-1], labels]), n + 1
+    n, at = len(labels), first + shift
+    right = _agree(labels, at, sfirst)
+    left = _agree(labels[::-1], n - 1 - sfirst, n - 1 - at)
+    return first - left + 1, first + right - 1
+
+
+def _longest(segments: DataFrame, min_words: int) -> DataFrame:
+    """Runs of words of segments, each as long as its text and its source are equal.
+
+    Only a segment beside another one can go on: the window behind it, if equal, is a repeat too.
+    """
+    shape = "id long, th long, first int, last int, n_words int, sid long, sfirst int"
+    ready = segments.where("not adjoins").selectExpr("id", "th", "first", f"last + {min_words} AS last", f"last - first + {min_words} AS n_words", "sid", "sfirst")
+    fields = "first", "last", "sid", "sth", "sfirst"
+    texts = segments.groupBy("id", "th").agg(F.collect_list(F.struct(*fields)).alias("segments"))
+    open_ = segments.where("adjoins")
+    pairs = open_.groupBy("id", "th", "sid", "sth").agg(F.collect_list(F.struct("first", "sfirst")).alias("seeds"))
+    pairs = pairs.join(texts.join(open_.select("id", "th").distinct(), ["id", "th"], "left_semi"), ["id", "th"])
+    sources = texts.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("segments").alias("others"))
+    pairs = pairs.join(sources, ["sid", "sth"], "left")
+
+    def matrix(rows: pa.StructScalar, n: int) -> np.ndarray:
+        if rows.values is None:
+            return np.zeros((n, 0), np.int64)
+        return np.stack([rows.values.field(k).to_numpy().astype(np.int64) for k in range(n)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        keys = [batch.column(n).to_pylist() for n in ("id", "th", "sid", "sth")]
+        seeds, own, others = (batch.column(n) for n in ("seeds", "segments", "others"))
+        for k, (id, th, sid, sth) in enumerate(zip(*keys)):
+            inside = (id, th) == (sid, sth)
+            first, sfirst = matrix(seeds[k], 2)
+            low, high = extend(matrix(own[k], 5), None if inside else matrix(others[k], 5), (id, th), (sid, sth), first, sfirst)
+            low, high, source = np.unique(np.stack([low, high, sfirst - first + low]), axis=1)
+            whole = np.ones(len(low), np.int64)
+            out.append((id * whole, th * whole, low, high + min_words, high - low + min_words, sid * whole, source))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out), kinds)], ["id", "th", "first", "last", "n_words", "sid", "sfirst"])
+
+    return ready.unionByName(map_arrow(pairs, run, shape))
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -138,28 +308,36 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, first, last, n_words, sid, sfirst): runs of lines that repeat earlier ones.
+    """(id, th, first, last, n_words, sid, sfirst): runs of words that repeat earlier ones.
 
-    Lines ``first`` to ``last`` - 1 of row (id, th: hash of its text) are those from ``sfirst`` of row sid. Earlier is a
-    smaller id, or an earlier place in the same text; the source is the first occurrence of the
-    fingerprint that led to the run. Runs are as long as equality goes and have ``min_words`` words or
-    more; words are compared with A-Z as a-z. Null texts and null ids have none; rows with equal id are not
-    compared with each other, only within themselves.
+    Words ``first`` to ``last`` - 1 of row (id, th: hash of its text) are those from ``sfirst`` of row sid. Earlier is a
+    smaller id, or an earlier place in the same text. Every run of ``min_words`` words or more that stands earlier anywhere
+    in the corpus is covered, and nothing else. Sources are the first occurrences of ``min_words`` words; runs are as
+    long as equality with their source goes. Words are compared with A-Z as a-z; white space doesn't count. Null
+    texts and null ids have none; rows with equal id are not compared with each other, only within themselves.
     """
-    found, path = scratch_table(_describe(_keyed(docs, id, text).where("id is not null and text is not null")), "lines")
-    prints = _fingerprints(found)
-    first = prints.groupBy("fp").agg(F.min(F.struct("id", "place")).alias("f"))
-    seeds = prints.join(first, "fp").where("id <> f.id or place <> f.place")
-    pairs = seeds.groupBy("id", F.col("f.id").alias("sid")).agg(F.collect_set(F.struct("place", F.col("f.place").alias("splace"))).alias("seeds"))
-    both = pairs.join(found.select("id", "th", "lines", "counts"), "id")
-    source = found.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("lines").alias("source"))
-    both = both.join(source, "sid").where("sid <> id or sth = th")
-    runs = materialize(_match(both, min_words), "runs")
-    del found, prints, first, seeds, pairs, both, source
+    segments, path = _segment_table(docs, min_words, id, text)
+    runs = materialize(_longest(segments, min_words), "runs")
+    del segments
     discard(docs.sparkSession, path)
     return runs
 
 
+def _segment_table(docs: DataFrame, min_words: int, id: str, text: str) -> tuple[DataFrame, str]:
+    """The segments of all texts as a scratch table, and where it is."""
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
+    found = _keyed(docs, id, text).where("id is not null and text is not null")
+    places, path = scratch_table(_repeated_places(_fingerprints(found, min_words)), "places")
+    discard(docs.sparkSession)
+    repeats, kept = _repeats(_spans(found.join(places, "id"), min_words))
+    discard(docs.sparkSession, path)
+    segments = scratch_table(_segments(repeats), "segments")
+    del found, places, repeats
+    discard(docs.sparkSession, kept)
+    return segments
+
+
 def merged_runs(runs: DataFrame) -> DataFrame:
     """(id, first, last, n_words, sid, sfirst) with runs of a text that overlap made one, under the longest's source."""
 
@@ -175,7 +353,7 @@ def merged_runs(runs: DataFrame) -> DataFrame:
 
 
 def _by_text(runs: DataFrame) -> DataFrame:
-    """One row per text: at most as many runs as pairs with a source, so no more than its lines."""
+    """One row per text: no more runs than its words."""
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last", "n_words", "sid", "sfirst")).alias("runs"))
 
 
@@ -192,12 +370,14 @@ def _merge(spans: list[tuple]) -> list[list[tuple]]:
 
 
 def delete_repeats(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` without later repeated runs; rows of which nothing is left are dropped.
+    """``docs`` without later repeated runs of words; rows of which nothing is left are dropped.
 
     A run goes with the white space after it. All columns stay; ``chars``, where present, becomes the length of
     the text that is left. Null texts, null ids and texts that were empty before stay.
     """
-    runs = _by_text(repeated_runs(docs, min_words, id, text)).select("id", "th", F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("runs"))
+    # segments cover what runs cover: how far a run goes on under one source makes no difference here
+    segments, _ = _segment_table(docs, min_words, id, text)
+    runs = segments.groupBy("id", "th").agg(F.collect_set(F.struct("first", F.expr(f"last + {min_words}").cast("int").alias("last"))).alias("runs"))
     names = docs.columns
     rows = docs.withColumns({"__id": F.col(id).cast("long"), "__th": F.xxhash64(text)})
     runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
@@ -213,10 +393,12 @@ def delete_repeats(docs: DataFrame, min_words: int = 20, id: str = "doc_id", tex
             spans, texts = batch.column(len(names)), []
             for k, (row, (_, _, start, _)) in enumerate(zip(hit.tolist(), _lines(data, offsets))):
                 raw = data[offsets[k] : offsets[k + 1]]
+                runs_of, edges = spans[row].values, np.append(start, len(raw))
+                depth = np.zeros(len(edges), np.int64)
+                np.add.at(depth, runs_of.field(0).to_numpy(), 1)
+                np.add.at(depth, runs_of.field(1).to_numpy(), -1)
                 keep = np.ones(len(raw), bool)
-                edges = np.append(start, len(raw))
-                for s in spans[row].as_py():
-                    keep[edges[s["first"]] : edges[s["last"]]] = False
+                keep[edges[0] :] = np.repeat(np.cumsum(depth)[:-1] == 0, np.diff(edges))
                 texts.append(raw[keep].tobytes())
                 gone[row] = not texts[-1].strip()
             mask = np.zeros(batch.num_rows, bool)

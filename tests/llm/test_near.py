@@ -209,6 +209,53 @@ def test_any_repeat_of_three_lines_has_a_fingerprint():
         assert len(np.intersect1d(linedup.winnow(one)[0], linedup.winnow(two)[0]))
 
 
+def repeated_words(docs, min_words):
+    """{id: places of words in windows that stand earlier}, from all windows of all texts."""
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        w = naive.words(t)
+        out[i] = set()
+        for a in range(len(w) - min_words + 1):
+            gram = tuple(w[a : a + min_words])
+            if gram in seen:
+                out[i].update(range(a, a + min_words))
+            seen.add(gram)
+    return out
+
+
+def check_repeats(spark, docs, min_words=20):
+    """Runs and deletions against all windows; returns what is repeated."""
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in docs], DOCS)
+    want, got, texts = repeated_words(docs, min_words), {i: set() for i, _ in docs}, dict(docs)
+    for r in linedup.repeated_runs(df, min_words).collect():
+        got[r.id].update(range(r["first"], r["last"]))
+        assert r.n_words == r["last"] - r["first"] >= min_words and (r.sid, r.sfirst) < (r.id, r["first"])
+        assert naive.words(texts[r.id])[r["first"] : r["last"]] == naive.words(texts[r.sid])[r.sfirst : r.sfirst + r.n_words]
+    assert got == want
+    left = {i: [w for k, w in enumerate(naive.words(t)) if k not in want[i]] for i, t in docs}
+    clean = {r.doc_id: naive.words(r.text) for r in linedup.delete_repeats(df, min_words).collect()}
+    assert clean == {i: w for i, w in left.items() if w}
+    return want
+
+
+def test_passages_planted_mid_line(spark):
+    rng = random.Random(14)
+    passages = [invented(rng, "aa", n).split() for n in (19, 20, 21, 27, 34, 51, 60, 90)]
+    docs = []
+    for i in range(80):
+        w = invented(rng, "bb", rng.randrange(60, 200)).split()
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            cut = rng.randrange(4)  # some start or end elsewhere
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p[cut : len(p) - rng.randrange(4)]
+        docs.append((i, "".join(x + rng.choice("     \n") for x in w)))
+    assert sum(map(len, check_repeats(spark, docs).values())) > 800
+    assert sum(map(len, check_repeats(spark, docs[:40], 5).values())) > 400
+    periods = [(100 + k, " ".join(f"w{j % n}" for j in range(120))) for k, n in enumerate((1, 2, 7, 25))]
+    check_repeats(spark, docs[:5] + periods)
+
+
 # ---------------------------------------------------------------- decontamination
 
 
