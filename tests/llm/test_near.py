@@ -256,6 +256,16 @@ def test_passages_planted_mid_line(spark):
     check_repeats(spark, docs[:5] + periods)
 
 
+def test_short_quotes_hide_no_passage(spark):
+    for seed in range(4):
+        rng = random.Random(40 + seed)
+        notice = [invented(rng, "aa", 6) for _ in range(9)]
+        docs = [(i, "\n".join([invented(rng, "bb", 30), *notice[i : i + 3], invented(rng, "bb", 30)])) for i in range(7)]
+        docs += [(i, "\n".join([invented(rng, "bb", 30), *notice, invented(rng, "bb", 30)])) for i in (7, 8)]
+        want = check_repeats(spark, docs)
+        assert len(want[8]) >= 54 and not any(want[i] for i in range(7))
+
+
 # ---------------------------------------------------------------- decontamination
 
 
