@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,10 +30,12 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where a session doesn't set it, as in tests, a temporary folder is made once.
+    Where a session doesn't set it, a temporary folder is made once if all runs on this machine; else it's an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _made:
             _made.append(tempfile.mkdtemp(prefix="cellweave-"))
         found = _made[0]
@@ -43,6 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``taken`` has, however it is written."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        k = 0
+        while f"__{name}{k}" in used:
+            k += 1
+        out.append(f"__{name}{k}")
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellweave-{name}-{uuid.uuid4().hex}"
 
@@ -60,14 +74,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing will read any more, and let Spark drop the shuffle files of
-    frames that are gone: at scale a phase's disk shouldn't add to the next one's."""
+    """Delete scratch tables that nothing will read any more."""
     jvm = spark.sparkContext._jvm
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 # ---------------------------------------------------------------- Arrow batches

@@ -1,10 +1,15 @@
 """Line dedup: runs of words that stand earlier in the corpus, found by winnowing and deleted where they stand later.
 
 Line feeds are white space like any other, so a passage is found wherever in a line it stands. With
-``min_words`` = 20, every window of 20 words has a fingerprint: the least hash of its shingles of SHINGLE words. Equal
-windows have equal fingerprints, so only windows whose fingerprint occurs twice in the corpus can
-be repeats, and only these are hashed whole and grouped, those of one fingerprint as one row where all are alike. A window that isn't the first of its group is a repeat: a short
-quote that has a fingerprint of a longer passage hides nothing, and no two texts are compared.
+``min_words`` = 20, every window of 20 words has a fingerprint: the least hash of its shingles of SHINGLE words. The windows
+in a row that have one fingerprint are a span. Equal windows have equal fingerprints, so spans are joined by fingerprint:
+equal spans repeat the first of them, window by window, and of unequal ones only the first of each kind are looked into:
+their windows are hashed whole and joined. What repeats is then extended both ways, over all windows that follow
+one another in a text. No two texts are compared, and no short quote hides a longer passage.
+
+A fingerprint may stand in a third of all texts. Each task joins its own rows first and ships one row of each kind; a
+fingerprint with over OFTEN kinds in a task ships one row that says so. So no fingerprint has more than
+OFTEN rows of any task.
 """
 
 from __future__ import annotations
@@ -14,14 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, WORDS, discard, map_arrow, map_batches, materialize, mix, scratch_table, signed, utf8, words
+from .common import SLICE_BYTES, WORDS, discard, fresh, map_arrow, map_batches, mix, scratch_table, signed, utf8, words
 
 #: Words of a shingle, of which a window's least is its fingerprint.
 SHINGLE = 8
 
+#: Rows that a task joins at a time, and kinds of a fingerprint from which it is frequent there.
+CHUNK, OFTEN = 1 << 19, 8
+
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -34,14 +42,6 @@ def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         low = high
 
 
-def _lines(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, counts of 1, start bytes, end bytes) of each text's words, the units of runs; bytes are from the text's start."""
-    for low, high, h, start, end, offsets in _parts(data, at):
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            text = int(at[low + i])
-            yield h[a:b], np.ones(b - a, np.int64), start[a:b] - text, end[a:b] - text
-
-
 def _least(hashes: np.ndarray, window: int) -> np.ndarray:
     """Where the least of every ``window`` hashes in a row is, the last one if equal."""
     at, size = np.arange(len(hashes)), 1
@@ -60,18 +60,6 @@ def _runs_of(units: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def winnow(units: np.ndarray, k: int = 2, window: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, positions) of one text: of every ``window`` hashes of ``k`` units in a row the least, the last one if equal.
-
-    By default every pair is one, which is what tests compare runs with; _windows() has those of many texts at once.
-    """
-    if len(units) < k:
-        return units[:0], np.zeros(0, np.int64)
-    found = _runs_of(units, k)
-    at = np.unique(_least(found, min(window, len(found))))
-    return found[at], at
-
-
 def _windows(h: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, chosen, fingerprints): of every window of ``min_words`` words of every text the first word, the first
     word of the least shingle, and that shingle's hash."""
@@ -85,116 +73,203 @@ def _windows(h: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.nda
     return starts, chosen, found[chosen]
 
 
-def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(fp, id, place) of the fingerprints of all windows, each place once."""
+# ---------------------------------------------------------------- joining rows by key
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = batch.column(0).to_numpy(), []
-        for low, _, h, _, _, offsets in _parts(*utf8(batch.column(1))):
-            _, chosen, fp = _windows(h, offsets, min_words)
-            new = np.flatnonzero(np.diff(chosen, prepend=-1))
-            row = np.searchsorted(offsets, chosen[new], "right") - 1
-            out.append((signed(fp[new]), ids[low + row], (chosen[new] - offsets[row]).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["fp", "id", "place"])
+#: Kinds of rows: to be joined; the same, of a frequent key; windows that repeat others; first ones that must be looked into.
+_JOIN, _FREQUENT, _REPEAT, _LOOK = range(4)
+
+#: key; kind; kind of span under the key, or the source's id; place (id, th, start) of ``n`` windows in a row; the source's th and start.
+_ROWS = "key long, kind byte, x long, id long, th long, start int, n int, y long, z int"
+_TYPES = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+KEY, KIND, X, ID, TH, START, N, Y, Z = range(9)
 
-    return map_arrow(docs.select("id", "text"), run, "fp long, id long, place int")
 
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, _TYPES)], _NAMES)
 
-def _repeated_places(prints: DataFrame) -> DataFrame:
-    """(id, places) of the fingerprints that occur more than once."""
-    by = Window.partitionBy("fp").orderBy("id", "place")
-    near = prints.select("id", "place", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
-    return near.where("before is not null or after is not null").groupBy("id").agg(F.collect_set("place").alias("places"))
 
+def _first_of(rows: list[np.ndarray], some: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first) of the rows ``some``: sorted by group and place, and for each of them its group's first row."""
+    order = some[np.lexsort((rows[START][some], rows[TH][some], rows[ID][some], groups))]
+    g = np.sort(groups)
+    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
+    return order, np.repeat(order[begin], np.diff(np.append(begin, len(g))))
 
-def _spans(found: DataFrame, min_words: int) -> DataFrame:
-    """(fp, span, id, th, start, grams) of rows (id, th, text, places): the windows in a row whose fingerprint is at one
-    of the places, the first one's start, hashes of each and of all together.
+
+def _later(rows: list[np.ndarray], order: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Those of ``order`` that stand elsewhere than their ``first``, as rows that repeat it.
+
+    A repeated row of a table stands where its like does, and is no repeat.
     """
+    apart = (rows[ID][order] != rows[ID][first]) | (rows[TH][order] != rows[TH][first]) | (rows[START][order] != rows[START][first])
+    late, source = order[apart], first[apart]
+    return [mix(rows[ID][late].view(np.uint64) + rows[START][late].astype(np.uint64)).view(np.int64), np.full(len(late), _REPEAT), rows[ID][source], rows[ID][late], rows[TH][late], rows[START][late], rows[N][late], rows[TH][source], rows[START][source]]
+
+
+def _chunk(rows: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """What a task ships of its own rows: the first of each kind; others as repeats of it; frequent keys by one row."""
+    both = mix(rows[KEY].view(np.uint64) * _STEP + rows[X].view(np.uint64)).view(np.int64)
+    sort = np.argsort(both)
+    same = both[sort][1:] == both[sort][:-1]
+    many = np.append(same, False) | np.append(False, same)
+    order, first = _first_of(rows, sort[many], both[sort[many]])
+    yield _batch(_later(rows, order, first))
+    stays = np.ones(len(both), bool)
+    stays[order[order != first]] = False
+    stays = np.flatnonzero(stays)
+    sort = stays[np.argsort(rows[KEY][stays], kind="stable")]
+    keys = rows[KEY][sort]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(keys)))
+    often = np.repeat(size > most, size)
+    kind = np.full(len(keys), _JOIN)
+    kind[begin[size > most]] = _FREQUENT
+    ship = ~often
+    ship[begin] = True
+    part = [c[sort[ship]] for c in rows]
+    part[KIND] = kind[ship]
+    yield _batch(part)
+    look = [c[sort[often]] for c in rows]
+    look[KIND] = np.full(int(often.sum()), _LOOK)
+    look[KEY] = mix(look[ID].view(np.uint64) + look[START].astype(np.uint64)).view(np.int64)
+    yield _batch(look)
+
+
+def _chunked(parts: Iterator[list[np.ndarray]], chunk: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``_chunk`` of about ``chunk`` rows at a time."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= chunk:
+            yield from _chunk([np.concatenate(c) for c in zip(*held)], most)
+            held, size = [], 0
+    if size:
+        yield from _chunk([np.concatenate(c) for c in zip(*held)], most)
+
+
+def _joined(shipped: DataFrame) -> DataFrame:
+    """Repeats, and first rows to be looked into, of what tasks have shipped."""
+
+    def resolve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        done = rows[KIND] >= _REPEAT
+        yield _batch([c[done] for c in rows])
+        rows = [c[~done] for c in rows]
+        key = rows[KEY]  # sorted
+        if not len(key):
+            return
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        some = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(some):
+            return
+        both = mix(key[some].view(np.uint64) * _STEP + rows[X][some].view(np.uint64))
+        order, first = _first_of(rows, some, both)
+        yield _batch(_later(rows, *(c[rows[KIND][order] != _FREQUENT] for c in (order, first))))  # all of a frequent key's are looked into
+        # first rows of a key that has several kinds, or may have more that weren't shipped
+        number = np.repeat(np.arange(len(begin)), size)
+        kinds = np.bincount(number[order[order == first]], minlength=len(begin)) > 1
+        kinds |= np.bincount(number, weights=rows[KIND] == _FREQUENT, minlength=len(begin)) > 0
+        look = order[(order == first) & kinds[number[order]] & (rows[KIND][order] != _FREQUENT)]
+        part = [c[look] for c in rows]
+        part[KIND] = np.full(len(look), _LOOK)
+        yield _batch(part)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, ths, places = (batch.column(k) for k in (0, 1, 3))
-        ids, ths = ids.to_numpy(), ths.to_numpy()
-        sizes, flat, out = places.value_lengths().to_numpy(zero_copy_only=False), places.flatten().to_numpy(), []
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        for low, high, h, _, _, offsets in _parts(*utf8(batch.column(2))):
-            starts, chosen, fp = _windows(h, offsets, min_words)
-            if not len(starts):
-                continue
-            at = np.repeat(offsets[:-1], sizes[low:high]) + flat[cuts[low] : cuts[high]]
-            at = at[at < np.repeat(offsets[1:], sizes[low:high])]  # a place of another text of the same id may be none here
-            marked = np.zeros(len(h), bool)
-            marked[at] = True
-            keep = marked[chosen]
-            starts, chosen, fp = starts[keep], chosen[keep], fp[keep]
-            if not len(starts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            grams = _runs_of(h, min_words)[starts]
-            begin = np.flatnonzero(np.diff(chosen, prepend=-1))
-            size = np.diff(np.append(begin, len(starts)))
-            span = mix((grams[begin] * _STEP + grams[begin + size - 1]) * _STEP + size.astype(np.uint64))
-            row = np.searchsorted(offsets, starts[begin], "right") - 1
-            out.append((signed(fp[begin]), signed(span), ids[low + row], ths[low + row], (starts[begin] - offsets[row]).astype(np.int32), size, signed(grams)))
-        if not out:
-            return None
-        *columns, size, grams = (np.concatenate(c) for c in zip(*out))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(grams))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["fp", "span", "id", "th", "start", "grams"])
-
-    return map_arrow(found.select("id", "th", "text", "places"), run, "fp long, span long, id long, th long, start int, grams array<long>")
-
-
-def _first(rows: DataFrame, by: list[str], start: str) -> DataFrame:
-    """``rows`` with (lid, lth, lstart), the first row of equal ``by`` in a smaller id or else in the same text."""
-    till = (Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by).orderBy("id", "th", start).rowsBetween(*till)
-    own = Window.partitionBy(*by, "id", "th").orderBy(start).rowsBetween(*till)
-    found = rows.withColumns({"f": F.first(F.struct("id", "th", F.col(start).alias("start"))).over(every), "o": F.first(start).over(own)})
-    return found.withColumns({"lid": F.expr("f.id"), "lth": F.expr("if(f.id < id, f.th, th)"), "lstart": F.expr("if(f.id < id, f.start, o)")}).drop("f", "o")
-
-
-def _repeats(spans: DataFrame) -> tuple[DataFrame, str]:
-    """(id, th, first, n, sid, sth, sfirst): ``n`` windows in a row and their first occurrences, and the scratch table they need.
-
-    All windows of a span that isn't the first of its kind are repeats. Where spans of one fingerprint differ, the windows
-    of the first spans are looked up one by one, and other spans take what their first one has.
-    """
-    found = _first(spans.repartition("fp"), ["fp", "span"], "start")
-    alike = Window.partitionBy("fp")
-    found = found.withColumns({"differ": F.min("span").over(alike) != F.max("span").over(alike), "leads": F.expr("lid = id and lth = th and lstart = start")})
-    kept = found.select("id", "th", "start", "lid", "lth", "lstart", "differ", "leads", F.size("grams").alias("n"), F.expr("if(differ and leads, grams, null)").alias("grams"))
-    kept, path = scratch_table(kept.where("differ or not leads"), "spans")
-    grams = kept.where("grams is not null").select("id", "th", "start", F.posexplode("grams").alias("k", "gram")).withColumn("at", F.expr("start + k"))
-    known = _first(grams, ["gram"], "at").where("lid < id or lstart < at")
-    known = known.groupBy(F.col("id").alias("lid"), F.col("th").alias("lth"), F.col("start").alias("lstart"))
-    known = known.agg(F.map_from_entries(F.collect_set(F.struct("k", F.struct("lid", "lth", "lstart")))).alias("known"))
-    whole = kept.where("not differ").selectExpr("id", "th", "start AS first", "n", "lid AS sid", "lth AS sth", "lstart AS sfirst")
-    parts = kept.where("differ").select("id", "th", "start", "n", "lid", "lth", "lstart").join(known, ["lid", "lth", "lstart"], "left")
-    parts = parts.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k"))
-    parts = parts.selectExpr("id", "th", "start + k AS first", "1 AS n", "coalesce(known[k], named_struct('lid', lid, 'lth', lth, 'lstart', lstart + k)) AS s")
-    parts = parts.selectExpr("id", "th", "first", "n", "s.lid AS sid", "s.lth AS sth", "s.lstart AS sfirst").where("sid < id or sfirst < first")
-    return whole.unionByName(parts), path
-
-
-def _segments(repeats: DataFrame) -> DataFrame:
-    """(id, th, first, last, sid, sth, sfirst, adjoins): repeated windows in a row of one text whose first occurrences are
-    in a row in one text. ``last`` is the last window's start; ``adjoins`` tells that another segment goes on before or behind.
-    """
-    names = ["id", "th", "first", "n", "sid", "sth", "sfirst"]
-    out = ["id", "th", "first", "last", "sid", "sth", "sfirst", "adjoins"]
+            rows = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(rows[KEY], rows[KEY][-1]))
+            if cut:
+                yield from resolve([np.concatenate(c) for c in zip(*held, [r[:cut] for r in rows])])
+                held = []
+            elif held and held[-1][KEY][-1] != rows[KEY][0]:
+                yield from resolve([np.concatenate(c) for c in zip(*held)])
+                held = []
+            held.append([r[cut:] for r in rows])
+        if held:
+            yield from resolve([np.concatenate(c) for c in zip(*held)])
+
+    return map_batches(shipped.repartition("key").sortWithinPartitions("key"), run, _ROWS)
+
+
+# ---------------------------------------------------------------- spans and windows
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """The spans of all texts, as tasks ship them."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for low, _, h, _, _, offsets in _parts(*utf8(batch.column(2))):
+                starts, chosen, fp = _windows(h, offsets, min_words)
+                if not len(starts):
+                    continue
+                begin = np.flatnonzero(np.diff(chosen, prepend=-1))
+                n = np.diff(np.append(begin, len(starts)))
+                grams = _runs_of(h, min_words)
+                # its first and last window hold all words of a span
+                span = mix((grams[starts[begin]] * _STEP + grams[starts[begin] + n - 1]) * _STEP + n.astype(np.uint64))
+                row = np.searchsorted(offsets, starts[begin], "right") - 1
+                zero = np.zeros(len(begin), np.int64)
+                yield [signed(fp[begin]), zero, signed(span), ids[low + row], ths[low + row], starts[begin] - offsets[row], n, zero, zero]
+
+    chunk, often = CHUNK, OFTEN
+    return map_batches(docs.select("id", "th", "text"), lambda batches: _chunked(parts(batches), chunk, often), _ROWS)
+
+
+def _looked_into(found: DataFrame, min_words: int) -> DataFrame:
+    """Of rows (id, th, text, spans) the windows of the ``spans`` (start, n), by hash, as tasks ship them."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            ids, ths, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            many, flat = spans.value_lengths().to_numpy(zero_copy_only=False), spans.flatten()
+            begin, size = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            cuts = np.concatenate([[0], np.cumsum(many)])
+            for low, high, h, _, _, offsets in _parts(*utf8(batch.column(2))):
+                here = slice(cuts[low], cuts[high])
+                n = size[here]
+                row = np.repeat(np.repeat(np.arange(high - low), many[low:high]), n)
+                start = np.repeat(begin[here], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                grams = _runs_of(h, min_words)[offsets[row] + start]
+                zero = np.zeros(len(row), np.int64)
+                yield [signed(grams), zero, zero, ids[low + row], ths[low + row], start, zero + 1, zero, zero]
+
+    chunk, often = CHUNK, OFTEN
+    return map_batches(found.select("id", "th", "text", "spans"), lambda batches: _chunked(parts(batches), chunk, often), _ROWS)
+
+
+def _segments(repeats: DataFrame, min_words: int, merged: bool) -> DataFrame:
+    """(id, th, first, last, n_words, sid, sfirst): words of windows in a row of one text that repeat windows in a row of
+    one source; if ``merged`` all that overlap are one row, under the source of the longest part."""
+    names = ["id", "th", "start", "n", "x", "y", "z"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    out = ["id", "th", "first", "last", "n_words", "sid", "sfirst"]
 
     def process(rows: pa.Table) -> pa.RecordBatch:
         x = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in names])
         x = x[:, np.append(True, (np.diff(x[:3]) != 0).any(axis=0))]  # a repeated row has its windows twice
         id, th, start, n, sid, sth, sstart = x
         step = np.diff(x)
-        near = (step[:2] == 0).all(axis=0) & (step[2] == n[:-1])
-        begin = np.flatnonzero(np.append(True, ~(near & (step[4:6] == 0).all(axis=0) & (step[6] == n[:-1]))))
+        same = (step[:2] == 0).all(axis=0)
+        goes_on = same & (step[2] == n[:-1]) & (step[4:6] == 0).all(axis=0) & (step[6] == n[:-1])
+        begin = np.flatnonzero(np.append(True, ~goes_on))
         end = np.append(begin[1:], len(id)) - 1
-        beside = near[begin[1:] - 1]
-        adjoins = np.append(False, beside) | np.append(beside, False)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-        found = id[begin], th[begin], start[begin], (start + n - 1)[end], sid[begin], sth[begin], sstart[begin], adjoins
+        id, th, first, last, sid, sfirst = id[begin], th[begin], start[begin], (start + n - 1)[end] + min_words, sid[begin], sstart[begin]
+        if merged:
+            apart = (id[1:] != id[:-1]) | (th[1:] != th[:-1]) | (first[1:] >= last[:-1])
+            begin = np.flatnonzero(np.append(True, apart))
+            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(id))))
+            order = np.lexsort((first, first - last, group))  # the longest of each group, the first if equal
+            best = order[np.searchsorted(group[order], np.arange(len(begin)))]
+            id, th, first, last, sid, sfirst = id[begin], th[begin], first[begin], np.maximum.reduceat(last, begin), sid[best], sfirst[best]
+        found = id, th, first, last, last - first, sid, sfirst
         return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(found, kinds)], out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,200 +290,102 @@ def _segments(repeats: DataFrame) -> DataFrame:
         if held:
             yield process(pa.Table.from_batches(held))
 
-    rows = repeats.select(*names).repartition("id", "th").sortWithinPartitions("id", "th", "first")
-    return map_batches(rows, run, "id long, th long, first int, last int, sid long, sth long, sfirst int, adjoins boolean")
-
-
-def _agree(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many labels from a[i] and from b[i] on are equal (a[i] > b[i])."""
-    n, ranks = len(labels), [np.unique(labels, return_inverse=True)[1].reshape(-1).astype(np.int64)]
-    while True:  # ranks of runs of twice as many labels, as long as any two are equal
-        last, width = ranks[-1], 1 << (len(ranks) - 1)
-        fit = a + width <= n
-        if 2 * width > n or not (last[a[fit]] == last[b[fit]]).any():
-            break
-        ranks.append(np.unique(last[:-width] * n + last[width:], return_inverse=True)[1].reshape(-1).astype(np.int64))
-    a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    for k in reversed(range(len(ranks))):
-        for _ in range(2 if k == len(ranks) - 1 else 1):
-            fit = np.flatnonzero(a + (1 << k) <= n)
-            step = np.zeros(len(a), np.int64)
-            step[fit] = (ranks[k][a[fit]] == ranks[k][b[fit]]).astype(np.int64) << k
-            a, b, total = a + step, b + step, total + step
-    return total
-
-
-def extend(segments: np.ndarray, others: np.ndarray | None, me: tuple[int, int], source: tuple[int, int], first: np.ndarray, sfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) windows of the longest equal runs of text ``me`` and ``source`` through windows ``first`` and ``sfirst``.
-
-    ``segments`` and ``others`` are the segments of the two, rows (first, last, sid, sth, sfirst). Two windows are
-    equal if they have the same first occurrence; a window in no segment is its own. No ``others``: the source is the text itself.
-    """
-    known = np.unique(np.array([me, source, *map(tuple, segments[2:4].T), *(() if others is None else map(tuple, others[2:4].T))], np.int64), axis=0)
-    number = {key: k << 32 for k, key in enumerate(map(tuple, known.tolist()))}
-
-    def label(found: np.ndarray, key: tuple[int, int], n: int) -> np.ndarray:
-        labels = np.arange(n) + number[key]
-        size = found[1] - found[0] + 1
-        into = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        base = np.array([number[k] for k in map(tuple, found[2:4].T.tolist())], np.int64) + found[4]
-        labels[np.repeat(found[0], size) + into] = np.repeat(base, size) + into
-        return labels
-
-    labels, shift = label(segments, me, int(segments[1].max()) + 1), 0
-    if others is not None:
-        here = (segments[2] == source[0]) & (segments[3] == source[1])
-        n = 1 + max(int((segments[4] + segments[1] - segments[0])[here].max()), int(others[1].max(initial=0)))
-        labels, shift = np.concatenate([label(others, source, n), [-1], labels]), n + 1
-    n, at = len(labels), first + shift
-    right = _agree(labels, at, sfirst)
-    left = _agree(labels[::-1], n - 1 - sfirst, n - 1 - at)
-    return first - left + 1, first + right - 1
-
-
-def _longest(segments: DataFrame, min_words: int) -> DataFrame:
-    """Runs of words of segments, each as long as its text and its source are equal.
-
-    Only a segment beside another one can go on: the window behind it, if equal, is a repeat too.
-    """
-    shape = "id long, th long, first int, last int, n_words int, sid long, sfirst int"
-    ready = segments.where("not adjoins").selectExpr("id", "th", "first", f"last + {min_words} AS last", f"last - first + {min_words} AS n_words", "sid", "sfirst")
-    fields = "first", "last", "sid", "sth", "sfirst"
-    texts = segments.groupBy("id", "th").agg(F.collect_list(F.struct(*fields)).alias("segments"))
-    open_ = segments.where("adjoins")
-    pairs = open_.groupBy("id", "th", "sid", "sth").agg(F.collect_list(F.struct("first", "sfirst")).alias("seeds"))
-    pairs = pairs.join(texts.join(open_.select("id", "th").distinct(), ["id", "th"], "left_semi"), ["id", "th"])
-    sources = texts.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("segments").alias("others"))
-    pairs = pairs.join(sources, ["sid", "sth"], "left")
-
-    def matrix(rows: pa.StructScalar, n: int) -> np.ndarray:
-        if rows.values is None:
-            return np.zeros((n, 0), np.int64)
-        return np.stack([rows.values.field(k).to_numpy().astype(np.int64) for k in range(n)])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        keys = [batch.column(n).to_pylist() for n in ("id", "th", "sid", "sth")]
-        seeds, own, others = (batch.column(n) for n in ("seeds", "segments", "others"))
-        for k, (id, th, sid, sth) in enumerate(zip(*keys)):
-            inside = (id, th) == (sid, sth)
-            first, sfirst = matrix(seeds[k], 2)
-            low, high = extend(matrix(own[k], 5), None if inside else matrix(others[k], 5), (id, th), (sid, sth), first, sfirst)
-            low, high, source = np.unique(np.stack([low, high, sfirst - first + low]), axis=1)
-            whole = np.ones(len(low), np.int64)
-            out.append((id * whole, th * whole, low, high + min_words, high - low + min_words, sid * whole, source))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out), kinds)], ["id", "th", "first", "last", "n_words", "sid", "sfirst"])
-
-    return ready.unionByName(map_arrow(pairs, run, shape))
-
+    rows = repeats.select(*names).repartition("id", "th").sortWithinPartitions("id", "th", "start")
+    return map_batches(rows, run, "id long, th long, first int, last int, n_words int, sid long, sfirst int")
 
-def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
+# ---------------------------------------------------------------- over a table
 
-def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, first, last, n_words, sid, sfirst): runs of words that repeat earlier ones.
 
-    Words ``first`` to ``last`` - 1 of row (id, th: hash of its text) are those from ``sfirst`` of row sid. Earlier is a
-    smaller id, or an earlier place in the same text. Every run of ``min_words`` words or more that stands earlier anywhere
-    in the corpus is covered, and nothing else. Sources are the first occurrences of ``min_words`` words; runs are as
-    long as equality with their source goes. Words are compared with A-Z as a-z; white space doesn't count. Null
-    texts and null ids have none; rows with equal id are not compared with each other, only within themselves.
-    """
-    segments, path = _segment_table(docs, min_words, id, text)
-    runs = materialize(_longest(segments, min_words), "runs")
-    del segments
-    discard(docs.sparkSession, path)
-    return runs
+def _which_text(docs: DataFrame, id: str, text: str) -> Column:
+    """What tells the texts of one id apart: their hash, or 0 where no id occurs twice."""
+    twice = docs.select(F.col(id).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(F.col(text))
 
 
-def _segment_table(docs: DataFrame, min_words: int, id: str, text: str) -> tuple[DataFrame, str]:
-    """The segments of all texts as a scratch table, and where it is."""
+def _runs(docs: DataFrame, th: Column, min_words: int, id: str, text: str, merged: bool) -> tuple[DataFrame, list[str]]:
+    """The runs of all texts, and the scratch tables they are read from."""
     if min_words < 1:
         raise ValueError("min_words must be 1 or more")
-    found = _keyed(docs, id, text).where("id is not null and text is not null")
-    places, path = scratch_table(_repeated_places(_fingerprints(found, min_words)), "places")
-    discard(docs.sparkSession)
-    repeats, kept = _repeats(_spans(found.join(places, "id"), min_words))
-    discard(docs.sparkSession, path)
-    segments = scratch_table(_segments(repeats), "segments")
-    del found, places, repeats
-    discard(docs.sparkSession, kept)
-    return segments
-
-
-def merged_runs(runs: DataFrame) -> DataFrame:
-    """(id, first, last, n_words, sid, sfirst) with runs of a text that overlap made one, under the longest's source."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for i, th, spans in zip(*(batch.column(n).to_pylist() for n in ("id", "th", "runs"))):
-            for group in _merge([tuple(s.values()) for s in spans]):
-                best = max(group, key=lambda r: (r[2], -r[3], -r[0]))
-                out.append((i, th, min(r[0] for r in group), max(r[1] for r in group), best[3], best[4]))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["id", "th", "first", "last", "sid", "sfirst"])
+    found = docs.select(F.col(id).cast("long").alias("id"), th.alias("th"), F.col(text).alias("text")).where("id is not null and text is not null")
+    spans, one = scratch_table(_joined(_spans(found, min_words)).drop("key"), "spans")
+    some = spans.where(F.col("kind") == _LOOK).groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    windows, two = scratch_table(_joined(_looked_into(found.join(some, ["id", "th"]), min_words)).drop("key"), "windows")
+    return _segments(spans.where(F.col("kind") == _REPEAT).unionByName(windows.where(F.col("kind") == _REPEAT)), min_words, merged), [one, two]
 
-    return map_arrow(_by_text(runs), run, "id long, th long, first int, last int, sid long, sfirst int")
 
+def _run_table(docs: DataFrame, min_words: int, id: str, text: str, merged: bool) -> DataFrame:
+    runs, paths = _runs(docs, _which_text(docs, id, text), min_words, id, text, merged)
+    runs, _ = scratch_table(runs, "runs")
+    discard(docs.sparkSession, *paths)
+    return runs
 
-def _by_text(runs: DataFrame) -> DataFrame:
-    """One row per text: no more runs than its words."""
-    return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last", "n_words", "sid", "sfirst")).alias("runs"))
 
+def repeated_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, first, last, n_words, sid, sfirst): runs of words that repeat earlier ones.
 
-def _merge(spans: list[tuple]) -> list[list[tuple]]:
-    groups: list[list[tuple]] = []
-    reach = -1
-    for s in sorted(spans):
-        if groups and s[0] < reach:
-            groups[-1].append(s)
-        else:
-            groups.append([s])
-        reach = max(reach, s[1]) if len(groups[-1]) > 1 else s[1]
-    return groups
+    Words ``first`` to ``last`` - 1 of a row are those from ``sfirst`` of row ``sid``. Earlier is a smaller id, or an earlier
+    place in the same text; rows with equal id go by the hash of their text, ``th`` (0 where all ids differ). Every run of
+    ``min_words`` words or more that stands earlier anywhere in the corpus is covered, and nothing else. Of several
+    earlier places one is named; which one may change with the number of tasks, what is covered doesn't. Words
+    are compared with A-Z as a-z; white space doesn't count. Null texts and null ids have no runs. Rows equal in id and
+    text are one text. Other columns are ignored; an empty table has none; long texts are read slice by slice.
+    """
+    return _run_table(docs, min_words, id, text, False)
+
+
+def merged_runs(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``repeated_runs`` with those of a text that overlap made one, under the source of the longest."""
+    return _run_table(docs, min_words, id, text, True)
+
+
+def _without(column: pa.Array, runs: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the words of their ``runs`` (first, last), and whether nothing else was in them."""
+    hit = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+    gone = np.zeros(len(column), bool)
+    if not len(hit):
+        return column, gone
+    data, offsets = utf8(column.take(pa.array(hit)))
+    texts: list[bytes] = []
+    for low, high, _, start, _, cuts in _parts(data, offsets):
+        for k in range(low, high):
+            raw = data[offsets[k] : offsets[k + 1]]
+            edges = np.append(start[cuts[k - low] : cuts[k - low + 1]] - offsets[k], len(raw))
+            depth = np.zeros(len(edges), np.int64)
+            spans = runs[int(hit[k])].values
+            np.add.at(depth, spans.field(0).to_numpy(), 1)
+            np.add.at(depth, spans.field(1).to_numpy(), -1)
+            keep = np.ones(len(raw), bool)
+            keep[edges[0] :] = np.repeat(np.cumsum(depth)[:-1] == 0, np.diff(edges))
+            texts.append(raw[keep].tobytes())
+            gone[hit[k]] = not texts[-1].strip()
+    mask = np.zeros(len(column), bool)
+    mask[hit] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(texts, pa.binary()).cast(column.type)), gone
 
 
 def delete_repeats(docs: DataFrame, min_words: int = 20, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` without later repeated runs of words; rows of which nothing is left are dropped.
+    """``docs`` without later repeated runs of words (see ``repeated_runs``); rows of which nothing is left are dropped.
 
-    A run goes with the white space after it. All columns stay; ``chars``, where present, becomes the length of
-    the text that is left. Null texts, null ids and texts that were empty before stay.
+    A run goes with the white space after it. All columns stay, whatever their names; ``chars``, where present, becomes the
+    length of the text that is left. Null texts, null ids and texts that were empty before stay. Rows equal in id and
+    text lose the same runs, and all stay.
     """
-    # segments cover what runs cover: how far a run goes on under one source makes no difference here
-    segments, _ = _segment_table(docs, min_words, id, text)
-    runs = segments.groupBy("id", "th").agg(F.collect_set(F.struct("first", F.expr(f"last + {min_words}").cast("int").alias("last"))).alias("runs"))
     names = docs.columns
-    rows = docs.withColumns({"__id": F.col(id).cast("long"), "__th": F.xxhash64(text)})
-    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    rows = rows.join(runs, ["__id", "__th"], "left").drop("__id", "__th").select(*names, "__runs")
+    i, t, r, g = fresh(names, "id", "th", "runs", "gone")
+    th = _which_text(docs, id, text)
+    runs, paths = _runs(docs, th, min_words, id, text, True)
+    runs, _ = scratch_table(runs.groupBy(F.col("id").alias(i), F.col("th").alias(t)).agg(F.collect_list(F.struct("first", "last")).alias(r)), "runs")
+    discard(docs.sparkSession, *paths)
+    rows = docs.withColumns({i: F.col(id).cast("long"), t: th}).join(runs, [i, t], "left").select(*names, r)
+    at = names.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = names.index(text)
-        hit = np.flatnonzero(batch.column(len(names)).is_valid().to_numpy(zero_copy_only=False))
-        left = batch.column(at)
-        gone = np.zeros(batch.num_rows, bool)
-        if len(hit):
-            data, offsets = utf8(left.take(pa.array(hit)))
-            spans, texts = batch.column(len(names)), []
-            for k, (row, (_, _, start, _)) in enumerate(zip(hit.tolist(), _lines(data, offsets))):
-                raw = data[offsets[k] : offsets[k + 1]]
-                runs_of, edges = spans[row].values, np.append(start, len(raw))
-                depth = np.zeros(len(edges), np.int64)
-                np.add.at(depth, runs_of.field(0).to_numpy(), 1)
-                np.add.at(depth, runs_of.field(1).to_numpy(), -1)
-                keep = np.ones(len(raw), bool)
-                keep[edges[0] :] = np.repeat(np.cumsum(depth)[:-1] == 0, np.diff(edges))
-                texts.append(raw[keep].tobytes())
-                gone[row] = not texts[-1].strip()
-            mask = np.zeros(batch.num_rows, bool)
-            mask[hit] = True
-            left = pc.replace_with_mask(left, pa.array(mask), pa.array(texts, pa.binary()).cast(left.type))
-        columns = [left if j == at else batch.column(j) for j in range(len(names))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(gone)], [*names, "__gone"])
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __gone boolean"
-    out = map_arrow(rows, run, shape).where("not __gone").drop("__gone")
+        left, gone = _without(batch.column(at), batch.column(len(names)))
+        return pa.RecordBatch.from_arrays([*(left if j == at else batch.column(j) for j in range(len(names))), pa.array(gone)], [*names, g])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {g} boolean"
+    out = map_arrow(rows, run, shape).where(~F.col(g)).drop(g)
     if chars in names:
         out = out.withColumn(chars, F.when(F.col(text).isNull(), F.col(chars)).otherwise(F.length(text)).cast(docs.schema[chars].dataType))
     return out.select(*names)

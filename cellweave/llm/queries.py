@@ -54,8 +54,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per deleted run: document, its words, and the earlier document and word it repeats."""
-    runs = linedup.merged_runs(linedup.repeated_runs(_read(spark, sf_dir, "documents")))
+    """One row per deleted run: document, its words, and an earlier document and word that its longest part repeats."""
+    runs = linedup.merged_runs(_read(spark, sf_dir, "documents"))
     return runs.selectExpr("id AS doc_id", "first AS first_word", "last - first AS n_words", "sid AS source_doc_id", "sfirst AS source_word")
 
 

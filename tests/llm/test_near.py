@@ -133,37 +133,6 @@ def test_rotation_keeps_lengths():
 # ---------------------------------------------------------------- line dedup
 
 
-def lines_of(text):
-    data, at = utf8(pa.array([text]))
-    return next(linedup._lines(data, at))
-
-
-def naive_runs(docs, min_words):
-    """Runs by the definition, with dictionaries."""
-    found = {i: lines_of(t) for i, t in docs}
-    first = {}
-    for i in sorted(found):
-        for fp, at in zip(*linedup.winnow(found[i][0])):
-            first.setdefault(int(fp), (i, int(at)))
-    out = set()
-    for i, (h, n, *_) in found.items():
-        for fp, at in zip(*linedup.winnow(h)):
-            j, q = first[int(fp)]
-            p = int(at)
-            if (j, q) == (i, p):
-                continue
-            g = found[j][0]
-            a = 0
-            while p - a > 0 and q - a > 0 and h[p - a - 1] == g[q - a - 1]:
-                a += 1
-            b = 0
-            while p + b < len(h) and q + b < len(g) and h[p + b] == g[q + b]:
-                b += 1
-            if n[p - a : p + b].sum() >= min_words:
-                out.add((i, p - a, p + b, j, q - a))
-    return out
-
-
 def test_line_runs(spark):
     rng = random.Random(12)
     passage = [invented(rng, "aa", rng.randrange(10, 30)) for _ in range(4)]
@@ -178,9 +147,7 @@ def test_line_runs(spark):
         docs.append((i, "\n".join(lines)))
     docs.append((60, "again " * 400))
     df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in docs] + [(100 + k, t, None, None, 0) for k, t in enumerate(NASTY)] + [(None, docs[0][1], None, None, 0)], DOCS)
-    got = {(r.id, r.first, r.last, r.sid, r.sfirst) for r in linedup.repeated_runs(df).collect()}
-    want = naive_runs([*docs, *((100 + k, t) for k, t in enumerate(NASTY) if t is not None)], 20)
-    assert got == want and len(want) > 15
+    check_repeats(spark, [*docs, *((100 + k, t) for k, t in enumerate(NASTY) if t is not None)])
     clean = {r.doc_id: r for r in linedup.delete_repeats(df.where("doc_id is not null")).collect()}
     for i, t in docs:
         if i % 4 == 0 and i:  # the passage stays in the first only
@@ -190,7 +157,7 @@ def test_line_runs(spark):
     assert passage[1] in clean[0].text
     assert clean[100].text is None and clean[101].text == ""
     assert 0 < clean[60].text.count("again") < 400 and clean[60].n_chars == len(clean[60].text)
-    assert linedup.merged_runs(linedup.repeated_runs(df)).count() > 0
+    assert linedup.merged_runs(df).count() > 0
     assert linedup.delete_repeats(df.where("false")).count() == 0
 
 
@@ -201,14 +168,6 @@ def test_a_repeated_row_is_no_repeat_of_itself(spark):
     assert [(r.doc_id, r.runs) for r in out.collect()] == [(1, "clash")] * 2 and out.columns == df.columns
 
 
-def test_any_repeat_of_three_lines_has_a_fingerprint():
-    rng = np.random.default_rng(13)
-    for _ in range(300):
-        run = rng.integers(0, 1 << 62, 3).astype(np.uint64)
-        one, two = (np.concatenate([rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64), run, rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64)]) for _ in range(2))
-        assert len(np.intersect1d(linedup.winnow(one)[0], linedup.winnow(two)[0]))
-
-
 def repeated_words(docs, min_words):
     """{id: places of words in windows that stand earlier}, from all windows of all texts."""
     seen, out = set(), {}
@@ -234,10 +193,41 @@ def check_repeats(spark, docs, min_words=20):
     assert got == want
     left = {i: [w for k, w in enumerate(naive.words(t)) if k not in want[i]] for i, t in docs}
     clean = {r.doc_id: naive.words(r.text) for r in linedup.delete_repeats(df, min_words).collect()}
-    assert clean == {i: w for i, w in left.items() if w}
+    assert clean == {i: w for i, w in left.items() if w or not naive.words(texts[i])}
+    merged = [(r.id, r["first"], r["last"]) for r in linedup.merged_runs(df, min_words).collect()]
+    assert {(i, k) for i, a, b in merged for k in range(a, b)} == {(i, k) for i, at in want.items() for k in at} and sum(b - a for _, a, b in merged) == sum(map(len, want.values()))
     return want
 
 
+@pytest.mark.parametrize(("chunk", "often"), [(300, 1), (2000, 2), (1 << 19, 8)])
+def test_every_planted_repeat_is_found(spark, monkeypatch, chunk, often):
+    """Repeats of 20 to 40 words in otherwise distinct texts, however tasks cut their rows and whatever is frequent."""
+    monkeypatch.setattr(linedup, "CHUNK", chunk)
+    monkeypatch.setattr(linedup, "OFTEN", often)
+    rng = random.Random(chunk)
+    passages = [invented(rng, "aa", rng.randrange(20, 41)).split() for _ in range(60)]
+    notice = invented(rng, "cc", 26).split()
+    docs = []
+    for i in range(200):
+        w = invented(rng, "bb", rng.randrange(30, 120)).split()
+        if i < 120:
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = passages[i % 60]
+        docs.append((i, " ".join(notice[: rng.randrange(15, 27)] * (i % 2) + w)))
+    want = check_repeats(spark, docs)
+    assert all(len(want[i]) >= 20 for i in range(60, 120))
+
+
+def test_line_dedup_of_repeated_ids_and_clashing_names(spark):
+    a, b = (invented(random.Random(k), "aa", 40) for k in (1, 2))
+    rows = [(1, a, None, None, 0), (1, a, None, None, 0), (1, b + " " + a, None, None, 0), (2, a, None, None, 0), (3, None, None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"__id0": F.lit(1), "__TH0": F.lit(2), "__runs0": F.lit(3), "__gone0": F.lit(4), "id": F.lit(5), "runs": F.lit(6)})
+    out = linedup.delete_repeats(df)
+    got = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert out.columns == df.columns and 2 not in [i for i, _ in got] and (3, "") in got
+    assert sum(len(naive.words(t)) for i, t in set(got) if i == 1) == 80  # each of a and b stays once among different texts of an id
+
+
 def test_passages_planted_mid_line(spark):
     rng = random.Random(14)
     passages = [invented(rng, "aa", n).split() for n in (19, 20, 21, 27, 34, 51, 60, 90)]
