@@ -2,10 +2,10 @@
 
 Unit vectors with cosine >= c are at a squared distance of at most 2 - 2c. They are rotated (which
 keeps distances) and split into blocks; some block's squared distance is then at most its share of
-that budget. Each block is range-joined on a grid over its first coordinates, pairs within the
-block's budget become candidates, and the union of candidates of all blocks is verified exactly:
-candidates are gathered into clusters, and each cluster's pairs are compared in blocks of bounded size.
-What leaves a task are counts and spanning forests, never all pairs.
+that budget. Each block is range-joined: vectors go to the cells of a grid over the block's first coordinates, and to
+the neighbours that come after; where they meet, pairs within the block's budget are candidates, and a candidate is verified
+by its cosine there and then, in the first block that admits it. So every pair is counted once, and no other is looked
+at. What leaves a task are counts and spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, materialize, sorted_groups
-from .graph import block_pairs, connected_components, forest
+from .common import discard, map_arrow, map_batches, scratch_table, sorted_groups
+from .graph import connected_components, forest, meetings
 
-#: Blocks of the rotated vector, and leading coordinates of a block that the grid is over.
-BLOCKS, GRID = 4, 2
+#: Blocks of the rotated vector, and leading coordinates of a block that the grid is over. More of either
+#: means more copies of every vector; a cell is as wide as a block's budget, which narrow blocks of unit vectors hardly exceed.
+BLOCKS, GRID = 2, 1
 
-#: Most rows of a cell in a block; a unit of work has two blocks.
-CELL_ROWS = 256
+#: Most rows of a cell in a block of rows; a unit of work has two.
+CELL_ROWS = 2048
 
-#: Rounding room of single precision coordinates, of squared distances of unit vectors.
+#: Rounding room of squared distances of unit vectors in single precision.
 SLACK = 1e-5
 
 
@@ -54,102 +55,84 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _cuts(dims: int) -> np.ndarray:
+    return np.linspace(0, dims, BLOCKS + 1).astype(int)
+
+
 def _cells(distinct: DataFrame, cosine: float) -> DataFrame:
-    """(b, group, vkey, home, part): for each block the vector's own cell and the neighbours that come after it."""
-    budget = (2 - 2 * cosine) / BLOCKS
-    width = np.sqrt(budget + SLACK)
+    """(g, lab, b, vkey, times, home, embedding): each vector for each block in its own cell and in the neighbours that come after it."""
+    width = np.sqrt((2 - 2 * cosine) / BLOCKS + SLACK)
     shifts = np.array([s for s in np.ndindex(*(3,) * GRID)]) - 1
     shifts = np.array([s for s in shifts.tolist() if s >= [0] * GRID])  # itself, and one of each two opposite neighbours
+    names = [f"c{j}" for j in range(GRID)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts: list[tuple] = []
-        for rows, x in _vectors(batch.column(2)):
-            y = _unit(x) @ rotation(x.shape[1])
-            cuts = np.linspace(0, x.shape[1], BLOCKS + 1).astype(int)
+        for rows, x in _vectors(batch.column(3)):
+            y, cuts = _unit(x) @ rotation(x.shape[1]), _cuts(x.shape[1])
             for b in range(BLOCKS):
-                z = np.ascontiguousarray(y[:, cuts[b] : cuts[b + 1]])
-                cell = np.zeros((len(z), GRID), np.int64)
-                lead = z[:, :GRID]
+                lead = y[:, cuts[b] : cuts[b + 1]][:, :GRID]
+                cell = np.zeros((len(y), GRID), np.int64)
                 cell[:, : lead.shape[1]] = np.floor(lead / width)
                 for s in shifts:
-                    parts.append((rows, np.full(len(rows), b), np.full(len(rows), x.shape[1]), cell - s, np.full(len(rows), not s.any()), z))
+                    parts.append((rows, np.full(len(rows), b, np.int32), np.full(len(rows), x.shape[1], np.int32), cell - s, np.full(len(rows), not s.any())))
         if not parts:
             return None
-        rows = np.concatenate([p[0] for p in parts])
-        cells = np.concatenate([p[3] for p in parts])
-        lists = pa.chunked_array([pa.array(list(p[5].astype(np.float32)), pa.list_(pa.float32())) for p in parts]).combine_chunks()
-        columns = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts])), *(pa.array(np.ascontiguousarray(cells[:, j])) for j in range(GRID)), pa.array(np.concatenate([p[4] for p in parts])), lists]
-        return pa.RecordBatch.from_arrays(columns, ["vkey", "label", "b", "dims", *(f"c{j}" for j in range(GRID)), "home", "part"])
+        rows, b, dims, cells, home = (np.concatenate(c) for c in zip(*parts))
+        held = batch.take(pa.array(rows))
+        columns = [*held.columns, pa.array(b), pa.array(dims), *(pa.array(np.ascontiguousarray(cells[:, j])) for j in range(GRID)), pa.array(home)]
+        return pa.RecordBatch.from_arrays(columns, ["vkey", "label", "times", "embedding", "b", "dims", *names, "home"])
 
-    placed = map_arrow(distinct, run, "vkey long, label string, b long, dims long, " + ", ".join(f"c{j} long" for j in range(GRID)) + ", home boolean, part array<float>")
-    return placed.withColumn("g", F.xxhash64("label", "b", "dims", *(f"c{j}" for j in range(GRID)))).select("g", "vkey", "home", "part", F.xxhash64("vkey").alias("ord"))
+    kind = distinct.schema["embedding"].dataType.simpleString()
+    placed = map_arrow(distinct.select("vkey", "label", "times", "embedding"), run, f"vkey long, label string, times long, embedding {kind}, b int, dims int, " + ", ".join(f"{c} long" for c in names) + ", home boolean")
+    return placed.select(F.xxhash64("label", "b", "dims", *names).alias("g"), F.xxhash64(F.lit("label"), "label").alias("lab"), "b", "vkey", "times", "home", "embedding", F.xxhash64("vkey").alias("tie"))
 
 
-def _meetings(placed: DataFrame) -> DataFrame:
-    """Copies of the rows such that any two at home in a cell, and any of them and a neighbour, meet.
+def _verified(u: np.ndarray, y: np.ndarray, cuts: np.ndarray, p: np.ndarray, q: np.ndarray, block: int, budget: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates (p, q) of ``block`` with cosine enough that no earlier block admits: there they are counted."""
+    linked = (u[p] * u[q]).sum(axis=1) >= cosine
+    p, q = p[linked], q[linked]
+    for b in range(block):
+        d = y[p, cuts[b] : cuts[b + 1]] - y[q, cuts[b] : cuts[b + 1]]
+        later = (d * d).sum(axis=1) > budget
+        p, q = p[later], q[later]
+    return p, q
 
-    Rows at home and neighbours are cut into blocks of CELL_ROWS; each pair of blocks of which one is at home is a unit of
-    work. Two neighbours need not meet.
-    """
-    counts = placed.groupBy("g").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("others")).where("homes > 0 and homes + others > 1")
-    blocks = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
-    held = placed.join(counts, "g").withColumns({"h": blocks("homes"), "o": blocks("others")})
-    held = held.withColumn("blk", F.when(F.col("home"), F.pmod("ord", "h")).otherwise(F.col("h") + F.pmod("ord", "o")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("o")).otherwise(F.col("h")) - 1)))
-    return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
 
-
-def _candidates(work: DataFrame, cosine: float) -> DataFrame:
-    """(a, b): a spanning forest of the pairs within a block's budget, for each unit of work."""
-    budget = (2 - 2 * cosine) / BLOCKS + SLACK
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, 3):
-            ids, blk, home = group.column("vkey").to_numpy(), group.column("blk").to_numpy(), group.column("home").to_numpy()
-            part = group.column("part").combine_chunks()
-            z = part.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-            one, two = np.flatnonzero(blk == group.column("bi")[0].as_py()), np.flatnonzero(blk == group.column("bj")[0].as_py())
-            if len(one) == 0 or len(two) == 0:
-                continue
-            norms = (z * z).sum(axis=1)
-            near = norms[one][:, None] + norms[two][None, :] - 2 * (z[one] @ z[two].T) <= budget + 1e-9
-            near &= home[one][:, None] | home[two][None, :]  # two neighbours of a cell meet elsewhere, or are too far apart
-            x, y = np.nonzero(near)
-            x, y = one[x], two[y]
-            apart = ids[x] != ids[y]
-            x, y = forest(len(ids), x[apart], y[apart])
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
-
-    return map_batches(work, run, "a long, b long")
-
-
-def _verify(work: DataFrame, cosine: float) -> DataFrame:
+def _linked(work: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): rows with b null say that a has n links here; others are edges of a spanning forest."""
+    budget = (2 - 2 * cosine) / BLOCKS + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
-            ids, blk, times = group.column("vkey").to_numpy(), group.column("blk").to_numpy(), group.column("times").to_numpy()
+            ids, lab, block, blk, times, home = (group.column(n).to_numpy() for n in ("vkey", "lab", "b", "blk", "times", "home"))
             bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
-            values = group.column("embedding").combine_chunks()
-            for rows, x in _vectors(values):
-                u = _unit(x)
-                i, j = np.flatnonzero(blk[rows] == bi), np.flatnonzero(blk[rows] == bj)
-                if not len(i) or not len(j):
-                    continue
-                linked = u[i] @ u[j].T >= cosine
-                linked &= ids[rows[i]][:, None] != ids[rows[j]][None, :]
-                here = np.zeros(len(ids), np.int64)
-                here[rows[i]] += linked @ times[rows[j]]
-                if bi != bj:
-                    here[rows[j]] += times[rows[i]] @ linked
-                p, q = np.nonzero(linked)
-                p, q = forest(len(ids), rows[i][p], rows[j][q])
-                some = np.flatnonzero(here)
-                if len(some):
-                    a = pa.array(np.concatenate([ids[some], ids[p]]))
-                    b = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[q]]), mask=np.arange(len(some) + len(p)) < len(some))
-                    yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([here[some], np.zeros(len(p), np.int64)]))], ["a", "b", "n"])
+            for rows, x in _vectors(group.column("embedding").combine_chunks()):
+                u, cuts = _unit(x), _cuts(x.shape[1])
+                y = u @ rotation(x.shape[1])
+                for b in np.unique(block[rows]).tolist():  # one, unless hashes of cells collide
+                    z = y[:, cuts[b] : cuts[b + 1]]
+                    norms = (z * z).sum(axis=1)
+                    i, j = (np.flatnonzero((blk[rows] == side) & (block[rows] == b)) for side in (bi, bj))
+                    near = norms[i][:, None] + norms[j][None, :] - 2 * (z[i] @ z[j].T) <= budget
+                    near &= home[rows[i]][:, None] | home[rows[j]][None, :]  # two neighbours of a cell meet elsewhere, or are too far apart
+                    p, q = np.nonzero(near)
+                    p, q = i[p], j[q]
+                    good = (ids[rows[p]] != ids[rows[q]]) & (lab[rows[p]] == lab[rows[q]])
+                    good &= (rows[p] < rows[q]) if bi == bj else True
+                    p, q = p[good], q[good]
+                    for low in range(0, len(p), 1 << 16):
+                        l, r = _verified(u, y, cuts, p[low : low + (1 << 16)], q[low : low + (1 << 16)], b, budget, cosine)
+                        if not len(l):
+                            continue
+                        l, r = rows[l], rows[r]
+                        here = np.bincount(l, times[r], len(ids)) + np.bincount(r, times[l], len(ids))
+                        some = np.flatnonzero(here)
+                        l, r = forest(len(ids), l, r)
+                        a = pa.array(np.concatenate([ids[some], ids[l]]))
+                        mask = np.arange(len(some) + len(l)) < len(some)
+                        n = np.concatenate([here[some].astype(np.int64), np.zeros(len(l), np.int64)])
+                        yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[r]]), mask=mask), pa.array(n)], ["a", "b", "n"])
 
     return map_batches(work, run, "a long, b long, n long")
 
@@ -170,23 +153,19 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "
     # a key of label and vector; -0 counts as 0
     plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0)).otherwise(v).cast("double"))
     keyed = rows.withColumn("ok", valid & F.coalesce(sound, F.lit(False))).withColumn("vkey", F.when(F.col("ok"), F.xxhash64("label", plain)))
-    keys = materialize(keyed.select("id", "vkey"), "keys")
+    spark = vectors.sparkSession
     distinct = keyed.where("ok").groupBy("vkey").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    distinct = materialize(distinct, "vectors")
-    placed = materialize(_cells(distinct.select("vkey", "label", "embedding"), cosine), "cells")
-    work = _meetings(placed).select("g", "bi", "bj", "blk", "vkey", "home", "part")
-    near = _candidates(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine)
-    clusters = materialize(connected_components(near).select(F.col("id").alias("vkey"), F.col("component").alias("g")), "clusters")
-    members = distinct.join(clusters, "vkey").select("g", "vkey", "times", "embedding", F.xxhash64("vkey").alias("ord"))
-    counts = clusters.groupBy("g").agg(F.count("*").alias("n_group"))
-    work = block_pairs(members, "g", counts).select("g", "bi", "bj", "blk", "vkey", "times", "embedding")
-    seen = materialize(_verify(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine), "links")
+    distinct, one = scratch_table(distinct, "vectors")
+    work = meetings(_cells(distinct, cosine), CELL_ROWS, CELL_ROWS).select("g", "bi", "bj", "blk", "lab", "b", "vkey", "times", "home", "embedding")
+    seen, two = scratch_table(_linked(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine), "links")
     links = seen.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "vkey")
     # components by key; then each is named by the smallest id of its rows
     reach = connected_components(seen.where("b is not null")).withColumnRenamed("id", "vkey")
     named = distinct.select("vkey", "times", "first").join(reach, "vkey", "left").withColumn("component", F.coalesce("component", "vkey"))
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(names, "component").join(links, "vkey", "left").select("vkey", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    out = keys.join(named, "vkey", "left")
+    named, _ = scratch_table(named, "components")
+    discard(spark, one, two)
+    out = keyed.select("id", "vkey").join(named, "vkey", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, scratch_table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,39 +16,46 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     and so on until none is left; each round keeps an expected constant share of the vertices.
     Every round is written to the shared folder; nothing goes to the driver but whether edges are left.
     """
-    left = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    spark = edges.sparkSession
+    left, path = scratch_table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     steps: list[DataFrame] = []
+    paths: list[str] = []
     while not left.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = left.union(left.select("b", "a"))
         step = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("id"), F.least(F.col("m"), rank("a")).getField("v").alias("to"))
-        step = materialize(step, "step")
+        step, place = scratch_table(step, "step")
+        paths.append(place)
         renamed = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
-        left = materialize(renamed.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct(), "edges")
+        last = path
+        left, path = scratch_table(renamed.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct(), "edges")
+        discard(spark, last)
         steps.append(step)
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     ends = steps[0]
     for step in steps[1:]:
         ends = ends.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    ends = materialize(ends, "ends")
+    ends, place = scratch_table(ends, "ends")
     least = ends.groupBy("to").agg(F.min("id").alias("component"))
-    return ends.join(least, "to").select("id", "component")
+    out, _ = scratch_table(ends.join(least, "to").select("id", "component"), "components")
+    discard(spark, path, place, *paths)
+    return out
 
 
-def block_pairs(members: DataFrame, group: str, counts: DataFrame, least: int = 128, most: int = 1000) -> DataFrame:
-    """Copies of ``members`` with columns bi, bj, blk such that any two rows of a group meet.
+def meetings(members: DataFrame, least: int = 128, most: int = 1000) -> DataFrame:
+    """Copies of ``members`` (g, home, tie, ...) with columns bi, bj, blk such that any two rows of a group of which one is at home meet.
 
-    A group of n rows is cut into blocks (row order in ``ord``) of n / 16 rows, ``least`` to
-    ``most``; each pair of blocks becomes a unit of work of bounded size. ``counts`` has (group, n_group)
-    of groups.
+    Rows at home and others of a group of n rows are cut into blocks of n / 16 rows, ``least`` to ``most``; each pair of
+    blocks of which one is at home becomes a unit of work of bounded size. ``tie`` deals rows to blocks.
     """
-    size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col("n_group") / 16))).cast("int")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_group") / size)).cast("int")
-    held = members.join(counts, group).withColumn("n_blocks", n_blocks)
-    held = held.withColumn("blk", F.pmod(F.col("ord"), F.col("n_blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "n_blocks", "n_group")
+    counts = members.groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other")).where("n_home > 0 and n_home + n_other > 1")
+    size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil((F.col("n_home") + F.col("n_other")) / 16)))
+    blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
+    held = members.join(counts, "g").withColumns({"h": blocks("n_home"), "o": blocks("n_other")})
+    held = held.withColumn("blk", F.when(F.col("home"), F.pmod("tie", "h")).otherwise(F.col("h") + F.pmod("tie", F.greatest(F.col("o"), F.lit(1)))).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("o")).otherwise(F.col("h")) - 1)))
+    return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "h", "o", "n_home", "n_other")
 
 
 class Forest:

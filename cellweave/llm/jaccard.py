@@ -1,11 +1,14 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles are put into size bands; inside a band, similarity bounds the symmetric
-difference by k. The feature domain is cut into n1 parts, each into 3 pieces: some part differs in
+difference by k. The feature domain is cut into more than k / 2 parts, each into 3 pieces: some part differs in
 at most one feature, so two of its pieces are equal, and hashes of such pairs of pieces are
-signatures that two similar sets must share. Sets that share a signature are gathered into
-candidate clusters, whose members are compared exactly in blocks of bounded size; what leaves a
-block is a spanning forest of its links, never all pairs.
+signatures that two similar sets must share. Sets that share a signature are candidates: their features meet, once for
+each pair or, where many share one, first with the least of them; what these don't tie is compared in blocks of bounded size.
+
+A signature of few features is shared by chance, by a share of all sets. Some parts more than the pigeonhole
+needs make up for such signatures in most sets; other sets refine them by signatures of a second partition, so
+that no bucket holds a share of the corpus. Neither loses a pair.
 """
 
 from __future__ import annotations
@@ -15,19 +18,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, WORDS, discard, map_arrow, map_batches, materialize, mix, shingles, signed, sorted_groups, utf8, words
-from .graph import Forest, block_pairs, connected_components, forest
+from .common import SLICE_BYTES, WORDS, discard, fresh, map_batches, mix, scratch_table, shingles, signed, sorted_groups, utf8, words
+from .graph import connected_components, forest, meetings
+
+#: Weak signatures are refined at most so many times.
+REFINED = 2
+
+#: Parts beyond those that the pigeonhole needs, as shares of them that are tried.
+SPARE = (0.1, 0.15, 0.22, 0.3)
 
-#: Sets that share a signature of fewer features are compared by their sketches first.
-LEAST_FEATURES = 2
+#: Sets of a bucket that all meet; in larger ones all meet the least first.
+SMALL = 32
 
-#: Rows of a bucket whose sketches are compared at a time.
-SKETCHES = 256
+#: Features signed at a time, signatures of a packet, and features (times rows) of a unit of verification.
+SIGNED, PACKET, UNIT = 1 << 21, 1 << 20, 1 << 21
 
-_ZERO = np.zeros(1, np.uint64)
 _PART, _PIECE, _VALUE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -42,60 +50,96 @@ def band_of(n: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def band_rule(band: int, num: int, den: int) -> tuple[int, np.ndarray, int]:
-    """(n1, pairs, width) of a band: number of parts, the pairs of a part's pieces that make its
-    signatures, and the number of counters of a sketch.
+def band_rule(band: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]:
+    """(parts, spare, least, pairs) of a band: number of parts, how many of them aren't needed, the features below which a
+    signature is weak, and the pairs of a part's pieces that make its signatures.
 
     Two sets of sizes up to ``high`` and similarity num / den differ in at most
     k = 2 * high * (den - num) / (den + num) features. A small k is met by one part of k + 2 pieces:
-    two of them are equal. Else at most k // 2 parts differ in two features or more, so one of
-    k // 2 + 1 parts of 3 pieces has two equal pieces.
+    two of them are equal. Else at most k // 2 parts differ in two features or more, so of
+    k // 2 + 1 + spare parts of 3 pieces spare + 1 have two equal pieces. Weak are signatures of none or one feature, or of
+    none, or no signature at all: the most for which twice the weak parts to be expected of a set can be spared.
     """
     low = 1
     for _ in range(band):
         low = low * den // num + 1
     high = low * den // num
     k = 2 * high * (den - num) // (den + num)
-    n1, pieces = (1, k + 2) if k <= 4 else (k // 2 + 1, 3)
-    return n1, np.array([(i, j) for j in range(pieces) for i in range(j)]), 2 * max(16, high // 16)
+    if k <= 4:
+        return 1, 0, 2, _pairs(k + 2)
+    need = k // 2 + 1
+    for least in (2, 1):
+        for share in SPARE:
+            spare = max(1, round(share * need))
+            features = 2 * low / (3 * (need + spare))
+            if 6 * np.exp(-features) * (1 + features * (least - 1)) * (need + spare) <= spare:
+                return need + spare, spare, least, _pairs(3)
+    return need, 0, 0, _pairs(3)
 
 
-def signatures(features: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[np.ndarray, bytes]]]:
-    """PartEnum signatures of a set of 64-bit features, for its own size band and the next: strong
-    ones, and for each band weak ones with the set's sketch.
+def _pairs(pieces: int) -> np.ndarray:
+    return np.array([(i, j) for j in range(pieces) for i in range(j)])
 
-    A signature of under LEAST_FEATURES features is weak: sets that have nothing to do with each
-    other share it by chance. The sketch is the set's size and how many features (modulo 16) fall on each of so
-    many counters; the counters' distances on a ring of 16 add up to no more than the symmetric difference.
+
+def _band_signatures(features: np.ndarray, sizes: np.ndarray, band: int, num: int, den: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, set) of sets of ``sizes`` by a band's rule; ``features`` has them one behind another.
+
+    A set with no more weak parts than are spare has a strong signature in common with every similar set, which has it as
+    well: of its weak ones none is needed. Other sets have their weak ones combined with their signatures of another partition.
     """
-    if not len(features):
-        return features, []
-    band = band_of(len(features), num, den)
-    part, piece, value = mix(features ^ _PART), mix(features ^ _PIECE), mix(features ^ _VALUE)
-    strong, weak = [], []
-    for b in (band, band + 1):
-        n1, pairs, width = band_rule(b, num, den)
-        pieces = int(pairs.max()) + 1
-        slot = ((part % np.uint64(n1)) * np.uint64(pieces) + piece % np.uint64(pieces)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        edge = np.searchsorted(slot[order], np.arange(n1 * pieces + 1))
-        total = np.concatenate([_ZERO, np.cumsum(value[order])])
-        sums = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, pieces)
-        count = np.diff(edge).reshape(n1, pieces)
-        few = count[:, pairs[:, 0]] + count[:, pairs[:, 1]] < LEAST_FEATURES
-        tag = mix((np.uint64(b) << np.uint64(40)) + np.arange(few.size, dtype=np.uint64)).reshape(few.shape)
-        sig = mix(mix(sums[:, pairs[:, 0]] + tag) + mix(sums[:, pairs[:, 1]] ^ _PIECE))
-        strong.append(sig[~few])
-        if few.any():
-            counters = (np.bincount((value % np.uint64(width)).astype(np.int64), minlength=width) % 16).astype(np.uint8)
-            weak.append((sig[few], len(features).to_bytes(4, "little") + (counters[::2] | counters[1::2] << 4).tobytes()))
-    return np.concatenate(strong), weak
-
-
-def set_key(features: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    parts, spare, least, pairs = band_rule(band, num, den)
+    pieces, m = int(pairs.max()) + 1, len(sizes)
+    seed = mix(np.array([depth * 2 + 1], np.uint64))[0] * np.uint64(depth > 0)
+    owner = np.repeat(np.arange(m), sizes)
+    part, piece = mix(features ^ _PART ^ seed) % np.uint64(parts), mix(features ^ _PIECE ^ seed) % np.uint64(pieces)
+    slot = (owner * parts + part.astype(np.int64)) * pieces + piece.astype(np.int64)
+    value, n = mix(features ^ _VALUE), m * parts * pieces
+    # sums of 64-bit words modulo 2^64, by halves that are exact in double precision
+    low, high = (np.bincount(slot, x.astype(float), n).astype(np.uint64) for x in (value & np.uint64(0xFFFFFFFF), value >> np.uint64(32)))
+    sums = ((high << np.uint64(32)) + low).reshape(m, parts, pieces)
+    count = np.bincount(slot, minlength=n).reshape(m, parts, pieces)
+    weak = count[:, :, pairs[:, 0]] + count[:, :, pairs[:, 1]] < least
+    tag = mix(seed ^ ((np.uint64(band) << np.uint64(40)) + np.arange(parts * len(pairs), dtype=np.uint64))).reshape(parts, len(pairs))
+    sig = mix(mix(sums[:, :, pairs[:, 0]] + tag) + mix(sums[:, :, pairs[:, 1]] ^ _PIECE))
+    needy = weak.any(axis=2).sum(axis=1) > spare
+    out, whose = [sig[~weak]], [np.nonzero(~weak)[0]]
+    if needy.any():
+        poor, at = sig[weak & needy[:, None, None]], np.nonzero(weak & needy[:, None, None])[0]
+        if depth < REFINED:
+            some = np.flatnonzero(needy)
+            finer, of = _band_signatures(features[needy[owner]], sizes[some], band, num, den, depth + 1)
+            order = np.argsort(of, kind="stable")
+            finer, many = finer[order], np.bincount(of, minlength=len(some))
+            begin = (np.cumsum(many) - many)[np.searchsorted(some, at)]
+            many = many[np.searchsorted(some, at)]
+            pick = np.repeat(begin, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            poor, at = mix(np.repeat(poor, many) ^ (finer[pick] + _PART)), np.repeat(at, many)
+        out.append(poor)
+        whose.append(at)
+    return np.concatenate(out), np.concatenate(whose)
+
+
+def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, set) of the PartEnum signatures of sets of 64-bit features, for their own size bands and the next."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bands = np.array([band_of(int(n), num, den) if n else -2 for n in sizes])
+    out, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for band in np.unique(np.concatenate([bands, bands + 1])):
+        if band < 0:
+            continue
+        members = np.flatnonzero((bands == band) | (bands == band - 1))
+        if not len(members):
+            continue
+        found, at = _band_signatures(np.concatenate([sets[k] for k in members.tolist()]), sizes[members], int(band), num, den)
+        out.append(found)
+        whose.append(members[at])
+    return np.concatenate(out), np.concatenate(whose)
+
+
+def set_key(features: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, the same for equal sets."""
     n = np.uint64(len(features))
-    return mix(np.array([np.sum(mix(features)) + n]))[0], mix(np.array([np.sum(mix(features ^ _VALUE)) ^ n]))[0]
+    return int(mix(np.array([np.sum(mix(features)) + n]))[0]), int(mix(np.array([np.sum(mix(features ^ _VALUE)) ^ n]))[0])
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -110,110 +154,182 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         low = high
 
 
-def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, k1, k2): size and key of each row's shingle set."""
+# ---------------------------------------------------------------- signatures in packets
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(len(s), *set_key(s)) for s in _sets(batch.column(1), k)]
-        n, k1, k2 = zip(*found)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (k1, k2))], ["id", "n", "k1", "k2"])
 
-    return map_arrow(docs, run, "id long, n long, k1 long, k2 long")
+#: A packet has the signatures that go to ``p``: 40 bits of each (candidates are verified), by set; or what sets there are.
+_PACKETS = "p int, low binary, high binary, key binary, many binary, ids binary, sets binary"
 
 
-def _signed_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, k1, sketch): the signatures of each set, once for equal texts of a batch; strong ones have no sketch."""
+def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
+    """Signatures of the sets of rows (id, text), one set of each task's equal ones, and (id, size, key) of all rows."""
+    signed_, packet = SIGNED, PACKET
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: set[int] = set()
-        sigs, keys, times, sketches = [], [], [], []
-        for s in _sets(batch.column(0), k):
-            key = int(set_key(s)[0])
-            if key in seen or not len(s):
-                continue
-            seen.add(key)
-            strong, weak = signatures(s, num, den)
-            for sig, sketch in ((strong, None), *weak):
-                sigs.append(sig)
-                keys.append(key)
-                times.append(len(sig))
-                sketches += [sketch] * len(sig)
-        if not sigs:
-            return None
-        keys = np.repeat(np.array(keys, np.uint64), times)
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(signed(keys)), pa.array(sketches, pa.binary())], ["sig", "k1", "sketch"])
-
-    return map_arrow(docs.where("text is not null").select("text"), run, "sig long, k1 long, sketch binary")
-
-
-def _similar_sketches(keys: np.ndarray, sketches: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's sets that their sketches don't rule out, block by block."""
-    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    size = raw[:, :4].copy().view(np.uint32)[:, 0].astype(np.int64)
-    counters = np.concatenate([raw[:, 4:] & 15, raw[:, 4:] >> 4], axis=1).astype(np.int8)
-    for i in range(0, len(keys), SKETCHES):
-        for j in range(i, len(keys), SKETCHES):
-            a, b = slice(i, i + SKETCHES), slice(j, j + SKETCHES)
-            small, large = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
-            x, y = np.nonzero(num * large <= den * small)
-            x, y = x[i + x < j + y] + i, y[i + x < j + y] + j
-            for low in range(0, len(x), 20_000):
-                p, q = x[low : low + 20_000], y[low : low + 20_000]
-                apart = np.abs(counters[p] - counters[q])
-                apart = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
-                near = (den + num) * apart <= (den - num) * (size[p] + size[q])
-                yield keys[p[near]], keys[q[near]]
-
-
-def _bucket_ties(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the rows (sig, k1, sketch), sorted by sig and k1: sets of a bucket are tied to its least key
-    if the signature is strong; if it is weak, a spanning forest ties those with similar sketches."""
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig, key = (np.concatenate(c) for c in zip(*held))
+        p = ((sig >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(p.astype(np.uint16) if groups < 1 << 16 else p, kind="stable")
+        sig, key, p = sig[order], key[order], p[order]
+        edges = np.searchsorted(p, np.arange(groups + 1))
+        rows: list[tuple] = []
+        for g in np.flatnonzero(np.diff(edges)).tolist():
+            s, x = sig[edges[g] : edges[g + 1]], key[edges[g] : edges[g + 1]]
+            begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            many = np.diff(np.append(begin, len(x))).astype(np.uint32)
+            rows.append((g, s.astype(np.uint32).tobytes(), (s >> np.uint64(32)).astype(np.uint8).tobytes(), x[begin].tobytes(), many.tobytes(), None, None))
+        yield _packet(rows)
+
+    def _packet(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*rows))], [c.split()[0] for c in _PACKETS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, least = None, None
-        held_k: list[np.ndarray] = []
-        held_s: list[bytes] = []
-
-        def weak_bucket() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(held_k) if held_k else np.zeros(0, np.int64)
-            if len(keys) > 1:
-                keys, first = np.unique(keys, return_index=True)
-                tree = Forest(len(keys))
-                for a, b in _similar_sketches(np.arange(len(keys)), [held_s[k] for k in first.tolist()], num, den):
-                    tree.add(a, b)
-                if tree.left:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[tree.left]), pa.array(keys[tree.right])], ["a", "b"])
-            held_k.clear()
-            held_s.clear()
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sign(sets: list[np.ndarray], keys: list[int]) -> None:
+            nonlocal size
+            sig, whose = signatures(sets, num, den)
+            held.append((sig, np.array(keys, np.uint64)[whose]))
+            size += len(sig)
 
         for batch in batches:
-            if not batch.num_rows:
+            ids = batch.column(0)
+            described, sets, keys, waiting = [], [], [], 0
+            for s in _sets(batch.column(1), k):
+                key = set_key(s)
+                described.append((len(s), *key))
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    sets.append(s)
+                    keys.append(key[0])
+                    waiting += len(s)
+                    if waiting > signed_:
+                        sign(sets, keys)
+                        sets, keys, waiting = [], [], 0
+            if sets:
+                sign(sets, keys)
+            rows = np.array(described, np.uint64).reshape(-1, 3)
+            valid = ids.is_valid().to_numpy(zero_copy_only=False)
+            whole = np.column_stack([ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64), valid.astype(np.uint64), rows])
+            yield _packet([(int(rows[:, 1].sum(dtype=np.uint64) % np.uint64(groups)), None, None, None, None, None, whole.tobytes())])
+            if size > packet:
+                yield from packed(held)
+                held, size = [], 0
+                if len(seen) > 1 << 18:
+                    seen = set()
+        if held:
+            yield from packed(held)
+
+    return map_batches(docs, run, _PACKETS)
+
+
+#: kind 0: sets a and b share a signature; 1: set a is in the large bucket c, whose least is b; 2: row id a has a set of b features, key (c, d).
+_FOUND = "kind byte, a long, b long, c long, d long"
+_PAIR, _MEMBER, _ROW = range(3)
+
+
+def _buckets(packets: DataFrame, small: int) -> DataFrame:
+    """What the packets of each group say."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def batch(kind: int, columns: list[np.ndarray], null: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(columns[0])
+        arrays = [pa.array(signed(np.ascontiguousarray(c).view(np.uint64)), mask=null if j == 0 else None) for j, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *arrays], names)
+
+    def join(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sig)
+        sig, key = sig[order], key[order]
+        same = sig[1:] == sig[:-1]
+        many = np.append(same, False) | np.append(False, same)
+        sig, key = sig[many], key[many]
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))[: len(sig)]
+        sig, key = sig[new], key[new]
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        size = np.diff(np.append(begin, len(sig)))
+        pairs = []
+        for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
+            at = begin[size == m]
+            for j in range(1, m):
+                for i in range(j):
+                    pairs.append(np.stack([key[at + i], key[at + j]]))
+        if pairs:
+            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            zero = np.zeros(both.shape[1], np.uint64)
+            yield batch(_PAIR, [both[0], both[1], zero, zero])
+        large = np.repeat(size > small, size)
+        if large.any():
+            least = np.repeat(key[begin], size)[large]
+            yield batch(_MEMBER, [key[large], least, sig[large], np.zeros(len(least), np.uint64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 1):
+            p = np.uint64(group.column("p")[0].as_py())
+            sigs, keys = [], []
+            for part in group.to_batches():
+                for low, high, key, many, sets in zip(*(part.column(n) for n in ("low", "high", "key", "many", "sets"))):
+                    if sets.is_valid:
+                        rows = np.frombuffer(sets.as_buffer(), np.uint64).reshape(-1, 5)
+                        yield batch(_ROW, [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4]], rows[:, 1] == 0)
+                        continue
+                    s = np.frombuffer(low.as_buffer(), np.uint32).astype(np.uint64) | np.frombuffer(high.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(32)
+                    sigs.append(s | (p << np.uint64(40)))
+                    keys.append(np.repeat(np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(many.as_buffer(), np.uint32)))
+            if sigs:
+                yield from join(np.concatenate(sigs), np.concatenate(keys))
+
+    return map_batches(packets, run, _FOUND)
+
+
+# ---------------------------------------------------------------- verification
+
+
+def _featured(needs: DataFrame, docs: DataFrame, k: int, shape: str, names: list[str]) -> DataFrame:
+    """``needs`` (id, k1, k2, units: arrays of structs of ``names``) with the features of their sets, a row per unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column(batch.schema.get_field_index("units"))
+            ids, k1, k2 = (batch.column(batch.schema.get_field_index(n)) for n in ("id", "k1", "k2"))
+            many, flat = units.value_lengths().to_numpy(zero_copy_only=False), units.flatten()
+            cuts = np.concatenate([[0], np.cumsum(many)])
+            for at, s in enumerate(_sets(batch.column(batch.schema.get_field_index("text")), k)):
+                # an id may stand for several rows: only the text whose set is meant counts
+                if tuple(signed(np.array(set_key(s), np.uint64)).tolist()) != (k1[at].as_py(), k2[at].as_py()):
+                    continue
+                n, raw = int(many[at]), s.tobytes()
+                here = flat.slice(int(cuts[at]), n)
+                step = max(1, (4 << 20) // max(1, len(raw)))
+                for low in range(0, n, step):
+                    part = here.slice(low, step)
+                    yield pa.RecordBatch.from_arrays([*(part.field(names.index(x)) for x in names), *(pa.repeat(c[at], len(part)) for c in (ids, k1)), pa.array([raw] * len(part), pa.binary())], [*names, "id", "k1", "f"])
+
+    found = needs.join(docs, "id").select("id", "k1", "k2", "units", "text")
+    return map_batches(found, run, f"{shape}, id long, k1 long, f binary")
+
+
+def _verify_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): ids of linked sets, of units (ua, us): one set (role 0) and those that it is to be compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 2):
+            role, ids = group.column("role").to_numpy(), group.column("id").to_numpy()
+            sets = [np.frombuffer(f.as_buffer(), np.uint64) for chunk in group.column("f").chunks for f in chunk]
+            rest = np.flatnonzero(role == 1)
+            if not len(rest):
                 continue
-            sig, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            first = k1[starts].copy()
-            if sig[0] == last:
-                first[0] = least
-            else:
-                yield from weak_bucket()
-            sketched = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sig))))
-            tied = np.flatnonzero((k1 != first[group]) & ~sketched)
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(first[group[tied]]), pa.array(k1[tied])], ["a", "b"])
-            some = np.flatnonzero(sketched)
-            if len(some):
-                sketches = batch.column(2).take(pa.array(some)).to_pylist()
-                cuts = np.flatnonzero(np.diff(group[some])) + 1
-                for part in np.split(np.arange(len(some)), cuts):
-                    if held_k and group[some[part[0]]] != 0:
-                        yield from weak_bucket()
-                    held_k.append(k1[some[part]])
-                    held_s += [sketches[j] for j in part.tolist()]
-                    if group[some[part[-1]]] != len(starts) - 1:  # ended within the batch
-                        yield from weak_bucket()
-            last, least = sig[-1], first[-1]
-        yield from weak_bucket()
+            size = np.array([len(sets[j]) for j in rest.tolist()])
+            every, owner = np.concatenate([sets[j] for j in rest.tolist()]), np.repeat(np.arange(len(rest)), size)
+            for c in np.flatnonzero(role == 0).tolist():
+                one = sets[c]
+                at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+                shared = np.bincount(owner[one[at] == every], minlength=len(rest))
+                linked = (den * shared >= num * (len(one) + size - shared)) & (ids[rest] != ids[c])
+                if linked.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(linked.sum()), ids[c])), pa.array(ids[rest[linked]])], ["a", "b"])
 
     return map_batches(rows, run, "a long, b long")
 
@@ -242,56 +358,73 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _verify(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): a spanning forest of the links in each unit of work (columns g, bi, bj, blk, id, k1, k2, text)."""
+def _verify_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between different components ``comp`` in each unit (g, bi, bj)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
         for group in sorted_groups(batches, 3):
-            ids, blk = group.column("id").to_numpy(), group.column("blk").to_numpy()
-            bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
-            want = np.stack([group.column("k1").to_numpy(), group.column("k2").to_numpy()], 1)
-            sets = list(_sets(group.column("text").combine_chunks(), k))
-            # an id may stand for several rows: only the text whose set is meant counts, and once
-            keys = np.array([set_key(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            good = np.flatnonzero((keys == want).all(axis=1) & np.array([len(s) > 0 for s in sets]))
-            _, first = np.unique(want[good, 0], return_index=True)
-            good = good[first]
-            one, two = good[blk[good] == bi], good[blk[good] == bj]
+            ids, blk, comp = (group.column(n).to_numpy() for n in ("id", "blk", "comp"))
+            sets = [np.frombuffer(f.as_buffer(), np.uint64) for chunk in group.column("f").chunks for f in chunk]
+            one, two = (np.flatnonzero(blk == group.column(n)[0].as_py()) for n in ("bi", "bj"))
             if not len(one) or not len(two):
                 continue
             size = np.array([len(s) for s in sets])
             shared = _intersections([sets[x] for x in one], [sets[x] for x in two]).astype(np.int64)
             linked = den * shared >= num * (size[one][:, None] + size[two][None, :] - shared)
-            x, y = np.nonzero(linked)
-            x, y = one[x], two[y]
-            apart = ids[x] != ids[y]
-            if apart.any():
-                x, y = forest(len(sets), x[apart], y[apart])
-                out_a.append(ids[x])
-                out_b.append(ids[y])
-                held += len(x)
-            if held > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                out_a, out_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            x, y = np.nonzero(linked & (comp[one][:, None] != comp[two][None, :]))
+            x, y = forest(len(sets), one[x], two[y])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
 
-    return map_batches(work, run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
-def _clusters(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(k1, g): cluster of each set that shares a signature.
+def _unresolved(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(g, bi, bj, blk, comp, id, k1, k2): units of the sets of large buckets that the links so far don't tie, None if all are.
 
-    Signatures are by far the most of all rows. They go through one shuffle and are never written: sets are
-    computed again for what else is needed of them.
+    Buckets that hang together are one cluster g. What is in its largest component meets all others, but not one another.
     """
-    rows = _signed_sets(docs, k, num, den).repartition("sig").sortWithinPartitions("sig", "k1")
-    ties = materialize(_bucket_ties(rows, num, den).distinct(), "ties")
-    del rows
-    discard(docs.sparkSession)
-    clusters = connected_components(ties)
-    return materialize(clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")), "clusters")
+    spark = members.sparkSession
+    reach = connected_components(links)
+    named = classes.select("k1", F.col("first").alias("id")).join(reach, "id", "left").select("k1", F.coalesce("component", "id").alias("comp"))
+    held, path = scratch_table(members.select(F.col("a").alias("k1"), F.col("b").alias("least"), F.col("c").alias("bucket")).join(named, "k1"), "members")
+    open_ = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    if open_.isEmpty():
+        discard(spark, path)
+        return None
+    left = held.join(open_, "bucket")
+    clusters = connected_components(left.select(F.col("least").alias("a"), F.col("k1").alias("b")))
+    every = clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")).join(named, "k1").join(classes.select("k1", "k2", "first", "n"), "k1")
+    top = every.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"))
+    rows = every.join(top, "g").select("g", "k1", "k2", F.col("first").alias("id"), "comp", (F.col("comp") != F.col("main")).alias("home"), F.xxhash64("k2").alias("tie"))
+    return meetings(rows, least=128, most=1000).select("g", "bi", "bj", "blk", "comp", "id", "k1", "k2")
+
+
+def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """(a, b): linked ids of classes, enough to tie all that links reach; and the scratch tables it is read from."""
+    pairs = found.where(f"kind = {_PAIR}").select("a", "b")
+    members = found.where(f"kind = {_MEMBER}")  # of large buckets
+    stars = members.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs, one = scratch_table(pairs.unionByName(stars).distinct(), "pairs")
+    # units of one set and so many others that they fit together
+    centre = pairs.groupBy("a").agg(F.count("*").alias("deg")).withColumnRenamed("a", "k1").join(classes.select("k1", "n"), "k1")
+    centre = centre.groupBy("k1").agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("deg") * F.col("n") / UNIT))).cast("int").alias("cuts"))
+    role = lambda x: F.lit(x).cast("int").alias("role")
+    mine = centre.select("k1", F.col("k1").alias("ua"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("us"), role(0))
+    theirs = pairs.join(centre.withColumnRenamed("k1", "a"), "a").select(F.col("b").alias("k1"), F.col("a").alias("ua"), F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("us"), role(1))
+    needs = mine.unionByName(theirs).groupBy("k1").agg(F.collect_list(F.struct("ua", "us", "role")).alias("units"))
+    needs = needs.join(classes.select("k1", "k2", F.col("first").alias("id")), "k1")
+    rows = _featured(needs, docs, k, "ua long, us int, role int", ["ua", "us", "role"])
+    links, two = scratch_table(_verify_pairs(rows.repartition("ua", "us").sortWithinPartitions("ua", "us", "role"), num, den), "links")
+    paths = [one, two]
+    if not members.isEmpty() and (work := _unresolved(members, classes, links)) is not None:
+        names = ["g", "bi", "bj", "blk", "comp"]
+        needs = work.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct(*names)).alias("units"))
+        rows = _featured(needs, docs, k, "g long, bi int, bj int, blk int, comp long", names)
+        more, three = scratch_table(_verify_blocks(rows.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den), "links")
+        links = links.unionByName(more)
+        paths.append(three)
+    return links, paths
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,41 +435,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     A-Z count as a-z. Rows with den * intersection >= num * union are linked; component_id is
     the smallest id that links reach. Equal sets are one vertex, however many rows have them; rows
     with the same id count as one document. Features are 64-bit hashes. Other columns are ignored;
-    a null id is its own component.
+    a null id is its own component. Long texts are cut into words slice by slice; an empty table has no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    clusters = _clusters(docs, k, num, den)
-    found = materialize(_describe(docs, k), "sets")
-    classes = materialize(found.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first")), "classes")
-    # one row per set of a cluster, dealt to blocks by hash
-    members = classes.join(clusters, "k1").withColumn("ord", F.xxhash64("k2"))
-    counts = members.groupBy("g").agg(F.count("*").alias("n_group"))
-    work = block_pairs(members, "g", counts).select("g", "bi", "bj", "blk", F.col("first").alias("id"), "k1", "k2")
-    work = work.join(docs, "id").select("g", "bi", "bj", "blk", "id", "k1", "k2", "text")
-    work = work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
-    links = materialize(_verify(work, k, num, den), "links")
-    del work
-    discard(docs.sparkSession)
+    # a packet group for each two million signatures: a byte of text has about a tenth of one
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 20_000_000 + 1)
+    packets = _packets(docs, k, num, den, groups).repartitionById(groups, "p").sortWithinPartitions("p")
+    found, one = scratch_table(_buckets(packets, SMALL), "buckets")
+    sets = found.where(f"kind = {_ROW}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
+    classes, two = scratch_table(sets.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first")), "classes")
+    links, paths = _links(found, classes, docs.where("id is not null and text is not null"), k, num, den)
     reach = connected_components(links).withColumnRenamed("id", "first")
     named = classes.join(reach, "first", "left").select("n", "k1", "k2", F.coalesce("component", "first").alias("component"))
-    rows = found.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    rows, _ = scratch_table(sets.join(named, ["n", "k1", "k2"], "left").select("id", "n", "component"), "components")
+    discard(spark, one, two, *paths)
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of ``jaccard_components``: the one with the smallest id; all columns stay.
+    """One row of each group of ``jaccard_components``: the one with the smallest id; all columns stay, whatever their names.
 
-    Rows of empty sets are in no group and all stay, and so do rows without an id. Of rows that repeat
-    the smallest id one stays (the least by text).
+    Rows of empty sets (null and empty texts) are in no group and all stay, and so do rows without an id. Of rows that repeat
+    the smallest id one stays (the least by text). Rows of an empty table are none.
     """
     names = docs.columns
-    found = materialize(jaccard_components(docs, k, num, den, id, text).where(F.col("n_shingles") > 0), "groups")
-    gone = found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("__id")).distinct()
-    kept = docs.join(gone, F.col(id).cast("long") == F.col("__id"), "left_anti")
-    twice = found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("__id")).count().where("count > 1").drop("count")
+    i, r = fresh(names, "id", "row")
+    found, _ = scratch_table(jaccard_components(docs, k, num, den, id, text).where(F.col("n_shingles") > 0), "groups")
+    gone = found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(i)).distinct()
+    kept = docs.join(gone, F.col(id).cast("long") == F.col(i), "left_anti")
+    twice = found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias(i)).count().where("count > 1").drop("count")
     if twice.isEmpty():
         return kept
-    repeated = F.col(id).cast("long") == F.col("__id")
-    order = Window.partitionBy(id).orderBy(F.col(text).isNull(), text)
-    first = kept.join(twice, repeated, "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*names)
+    repeated = F.col(id).cast("long") == F.col(i)
+    order = F.struct(F.col(text).isNull(), F.col(text), F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))))
+    some = kept.join(twice, repeated, "left_semi")
+    first = some.groupBy(F.col(id).alias(i)).agg(F.min_by(F.struct(*(F.col(f"`{n}`") for n in names)), order).alias(r)).select(f"{r}.*")
     return kept.join(twice, repeated, "left_anti").unionByName(first)

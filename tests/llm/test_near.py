@@ -53,6 +53,8 @@ def test_jaccard_edges(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).where("doc_id is not null").collect())
     assert got == [(1, 2, 1)] * 3 + [(2, 0, 2), (3, 0, 3), (3, 0, 3)]
     assert sorted(r.doc_id or -1 for r in jaccard.keep_first(docs).collect()) == [-1, 1, 2, 3, 3]
+    clash = docs.withColumns({"__id0": F.lit(1), "__ROW0": F.lit(2), "k1": F.lit(3), "n": F.lit(4)})
+    assert jaccard.keep_first(clash).columns == clash.columns and jaccard.keep_first(clash).count() == 5
 
 
 def test_similar_sets_share_a_signature():
@@ -70,22 +72,33 @@ def test_similar_sets_share_a_signature():
                 if 100 * both < num * (len(a) + len(c) - both):
                     break
                 b = c
-            one, two = jaccard.signatures(np.unique(a), num, 100), jaccard.signatures(np.unique(b), num, 100)
-            if len(np.intersect1d(one[0], two[0])):
-                continue
-            weak = {s: sk for sigs, sk in one[1] for s in sigs.tolist()}
-            pairs = [(weak[s], sk) for sigs, sk in two[1] for s in sigs.tolist() if s in weak]
-            assert any(len(x) for p, q in pairs for x, _ in jaccard._similar_sketches(np.array([1, 2]), [p, q], num, 100))
+            sig, whose = jaccard.signatures([np.unique(a), np.unique(b)], num, 100)
+            assert len(np.intersect1d(sig[whose == 0], sig[whose == 1]))
 
 
-def test_weak_buckets_block_by_block(monkeypatch):
+def test_sets_that_share_most_pieces_by_chance():
+    """Sets whose features leave most pieces empty: weak signatures are refined, and none is shared by all sets."""
     rng = np.random.default_rng(8)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
-    sketches = [len(s).to_bytes(4, "little") + np.bincount((s % 32).astype(int), minlength=32).astype(np.uint8)[::2].tobytes() for s in sets]
-    run = lambda: {(int(a), int(b)) for x, y in jaccard._similar_sketches(np.arange(30), sketches, 80, 100) for a, b in zip(x, y)}
-    whole = run()
-    monkeypatch.setattr(jaccard, "SKETCHES", 7)
-    assert run() == whole and whole
+    sets = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(3000)]
+    sig, _ = jaccard.signatures(sets, 85, 100)
+    assert np.unique(sig, return_counts=True)[1].max() <= 6
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Groups of near copies that hang together by chains, all through large buckets."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        w = invented(rng, "aa", 120).split()
+        for _ in range(60):
+            w[rng.randrange(len(w))] = invented(rng, "bb", 1)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    want = naive.jaccard(list(enumerate(texts)), 4, 85, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 4, 85, 100).collect()}
+    assert got == want and len({c for _, c in want.values()}) < 30
 
 
 def test_components(spark):
