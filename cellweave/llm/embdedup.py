@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, map_arrow, map_batches, scratch_table, sorted_groups
-from .graph import connected_components, forest, meetings
+from .graph import connected_components, forest, meetings, spread_join
 
 #: Blocks of the rotated vector, and leading coordinates of a block that the grid is over. More of either
 #: means more copies of every vector; a cell is as wide as a block's budget, which narrow blocks of unit vectors hardly exceed.
@@ -156,7 +156,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "
     spark = vectors.sparkSession
     distinct = keyed.where("ok").groupBy("vkey").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     distinct, one = scratch_table(distinct, "vectors")
-    work = meetings(_cells(distinct, cosine), CELL_ROWS, CELL_ROWS).select("g", "bi", "bj", "blk", "lab", "b", "vkey", "times", "home", "embedding")
+    placed = _cells(distinct, cosine)
+    counts = placed.groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other"))
+    work = meetings(spread_join(placed, counts, "g", "tie"), CELL_ROWS, CELL_ROWS).select("g", "bi", "bj", "blk", "lab", "b", "vkey", "times", "home", "embedding")
     seen, two = scratch_table(_linked(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine), "links")
     links = seen.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "vkey")
     # components by key; then each is named by the smallest id of its rows

@@ -43,16 +43,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out
 
 
+#: Ways in which the rows of one group are dealt to tasks when they are joined with what is known of it.
+WAYS = 32
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, deal: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``, without all rows of a key in one task."""
+    ways = table.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).cast("long"))
+    return rows.withColumn("way", F.pmod(F.col(deal), F.lit(WAYS).cast("long"))).join(ways, [key, "way"]).drop("way")
+
+
 def meetings(members: DataFrame, least: int = 128, most: int = 1000) -> DataFrame:
-    """Copies of ``members`` (g, home, tie, ...) with columns bi, bj, blk such that any two rows of a group of which one is at home meet.
+    """Copies of ``members`` with columns bi, bj, blk such that any two rows of a group g of which one is at home meet.
 
-    Rows at home and others of a group of n rows are cut into blocks of n / 16 rows, ``least`` to ``most``; each pair of
-    blocks of which one is at home becomes a unit of work of bounded size. ``tie`` deals rows to blocks.
+    Of ``members``, ``home`` is true or not, ``tie`` is a hash that deals rows to blocks, and (n_home, n_other) are the group's numbers of
+    rows. Rows at home and others of a group of n rows are cut into blocks of n / 16 rows, ``least`` to ``most``; each pair of
+    blocks of which one is at home becomes a unit of work of bounded size.
     """
-    counts = members.groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other")).where("n_home > 0 and n_home + n_other > 1")
     size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil((F.col("n_home") + F.col("n_other")) / 16)))
     blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
-    held = members.join(counts, "g").withColumns({"h": blocks("n_home"), "o": blocks("n_other")})
+    held = members.where("n_home > 0 and n_home + n_other > 1").withColumns({"h": blocks("n_home"), "o": blocks("n_other")})
     held = held.withColumn("blk", F.when(F.col("home"), F.pmod("tie", "h")).otherwise(F.col("h") + F.pmod("tie", F.greatest(F.col("o"), F.lit(1)))).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("o")).otherwise(F.col("h")) - 1)))
     return held.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "h", "o", "n_home", "n_other")

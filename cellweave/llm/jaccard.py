@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, WORDS, discard, fresh, map_batches, mix, scratch_table, shingles, signed, sorted_groups, utf8, words
-from .graph import connected_components, forest, meetings
+from .graph import connected_components, forest, meetings, spread_join
 
 #: Weak signatures are refined at most so many times.
 REFINED = 2
@@ -395,9 +395,10 @@ def _unresolved(members: DataFrame, classes: DataFrame, links: DataFrame) -> Dat
     left = held.join(open_, "bucket")
     clusters = connected_components(left.select(F.col("least").alias("a"), F.col("k1").alias("b")))
     every = clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")).join(named, "k1").join(classes.select("k1", "k2", "first", "n"), "k1")
-    top = every.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"))
-    rows = every.join(top, "g").select("g", "k1", "k2", F.col("first").alias("id"), "comp", (F.col("comp") != F.col("main")).alias("home"), F.xxhash64("k2").alias("tie"))
-    return meetings(rows, least=128, most=1000).select("g", "bi", "bj", "blk", "comp", "id", "k1", "k2")
+    top = every.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"))
+    top = top.select("g", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.m")).alias("n_home"), F.col("top.m").alias("n_other"))
+    rows = spread_join(every.withColumn("tie", F.xxhash64("k2")), top, "g", "tie").withColumn("home", F.col("comp") != F.col("main"))
+    return meetings(rows).select("g", "bi", "bj", "blk", "comp", F.col("first").alias("id"), "k1", "k2")
 
 
 def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
