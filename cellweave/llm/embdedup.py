@@ -157,7 +157,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "
     distinct = keyed.where("ok").groupBy("vkey").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     distinct, one = scratch_table(distinct, "vectors")
     placed = _cells(distinct, cosine)
-    counts = placed.groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other"))
+    counts = _cells(distinct, cosine).select("g", "home").groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other"))
     work = meetings(spread_join(placed, counts, "g", "tie"), CELL_ROWS, CELL_ROWS).select("g", "bi", "bj", "blk", "lab", "b", "vkey", "times", "home", "embedding")
     seen, two = scratch_table(_linked(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine), "links")
     links = seen.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "vkey")

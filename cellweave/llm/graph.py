@@ -49,7 +49,7 @@ WAYS = 32
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, deal: str) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per ``key``, without all rows of a key in one task."""
-    ways = table.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).cast("long"))
+    ways = table.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
     return rows.withColumn("way", F.pmod(F.col(deal), F.lit(WAYS).cast("long"))).join(ways, [key, "way"]).drop("way")
 
 

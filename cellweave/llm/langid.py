@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -34,22 +34,27 @@ def fold_of(id: str, folds: int):
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds))
 
 
-def learn_dictionaries(docs: DataFrame, per_language: int = 300, chars: int = 1500, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """{language: dictionary}, frequent languages first. The sample is ``per_language`` rows of each language by hash of id, of
-    which the first ``chars`` characters are kept: the bound of what training brings to the driver."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+def learn_dictionaries(docs: DataFrame, per_language: int = 300, least_rows: int = 1, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """{language: dictionary}, frequent languages first.
+
+    The sample is at most ``per_language`` rows of each language, the least by hash of id and text, each of them whole; that and the
+    number of languages (those of ``least_rows`` rows or more) bound what training brings to the driver. Rows without text or language
+    teach nothing; equal rows count once each; other columns are ignored; an empty table teaches no language.
+    """
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(id, F.lit("langid"), text).alias("h"), F.col(text).alias("t"))
+    counts = {r.l: r["count"] for r in rows.groupBy("l").count().where(F.col("count") >= least_rows).collect()}
     if not counts:
         return {}
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(k, min(1.0, 1.5 * per_language / n)) for k, n in counts.items()], "l string, share double")
-    order = F.pmod(F.xxhash64(id, F.lit("langid")), F.lit(1 << 30))
-    kept = rows.select(F.col(lang).alias("l"), order.alias("h"), F.substring(text, 1, chars).alias("t")).join(F.broadcast(share), "l").where(F.col("h") < F.col("share") * (1 << 30))
+    # a share of rows by hash that has some more than wanted of each language: only these are sorted
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * per_language + 100) / n)) for k, n in counts.items()], "l string, share double")
+    order = F.pmod("h", F.lit(1 << 30))
+    some = rows.join(F.broadcast(share), "l").where(order < F.col("share") * (1 << 30)).withColumn("o", order)
+    kept = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "t"))).where(F.col("k") <= per_language)
     found: dict[str, list] = {}
-    for r in kept.collect():
-        found.setdefault(r.l, []).append((r.h, r.t))
+    for r in kept.select("l", "k", "t").collect():
+        found.setdefault(r.l, []).append((r.k, r.t))
     # zstandard finds what stands last at the least cost, so the order among equals is kept fixed
-    return {k: "\n".join(t for _, t in sorted(found[k])[:per_language]).lower().encode()[:262_144] for k in sorted(found, key=lambda k: (-counts[k], k))}
+    return {k: "\n".join(t for _, t in sorted(found[k])).lower().encode() for k in sorted(found, key=lambda k: (-counts[k], k))}
 
 
 class Encoders:
@@ -92,7 +97,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     learned; ties go to the language that is more frequent in training. ``margin`` (the column) is the share by which the
     best total is under the second, 1 if there is one language only; ``accepted`` is false for
     ``und`` and below the ``margin`` given. ``score`` maps the margin to 0 to 1 (half at 2 %).
-    Other columns are ignored; repeated rows give equal results.
+    Other columns are ignored; repeated rows give equal results; long texts are encoded whole, block by block.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -109,7 +114,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
 
 
 def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``predict`` accepts, whole and where they are: no join."""
+    """The rows of ``docs`` that ``predict`` accepts, whole and where they are: no join.
+
+    Null, empty and letterless texts go, and those of two languages that compress about alike; repeated rows share their fate, all
+    columns stay, an empty table stays empty, and without any dictionary all rows go.
+    """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     at = docs.columns.index(text)
 
