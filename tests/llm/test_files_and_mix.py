@@ -73,6 +73,40 @@ def test_warc_reader_checks(spark):
     with open(f"{folder.removeprefix('file://')}/part-999999-00000.warc.gz", "wb") as f:
         f.write(files(folder)[name])  # not in the manifest
     assert warc.read_archives(folder, manifest).count() == 5
+    with pytest.raises(ValueError):
+        warc.write_archives(df, folder)
+
+
+def damage(whole, how):
+    return {"gone": None, "short": whole[: len(whole) // 2], "flipped": whole[:500] + bytes([whole[500] ^ 1]) + whole[501:], "doubled": whole + whole}[how]
+
+
+@pytest.mark.parametrize("how", ["gone", "short", "flipped", "doubled"])
+def test_no_record_is_lost_in_silence(spark, how):
+    _, df = pages(spark)
+    folder, manifest = warc.write_archives(df, shard_bytes=60_000, roll_bytes=6_000)
+    held = files(folder)
+    name = sorted(held)[1]
+    place = f"{folder.removeprefix('file://')}/{name}"
+    os.remove(place)
+    if (left := damage(held[name], how)) is not None:
+        with open(place, "wb") as f:
+            f.write(left)
+    with pytest.raises(Exception, match="(?s)(No such file|archive ends|manifest says|digest|length|decompress)"):
+        warc.read_archives(folder, manifest).count()
+
+
+def test_shards_of_one_id_and_of_none(spark):
+    """Rows of one id, and rows without id, are spread over shards by digest, in order."""
+    rng = random.Random(31)
+    rows = [(7 if k % 2 else None, f"http://z/{k}", invented(rng, "aa", 200)) for k in range(120)]
+    df = spark.createDataFrame(rows, PAGES)
+    folder, manifest = warc.write_archives(df, shard_bytes=20_000)
+    assert manifest.where("first = 7").select("shard").distinct().count() > 3 and manifest.where("first is null").select("shard").distinct().count() > 3
+    assert sorted((r.page_id or -1, r.html) for r in warc.read_archives(folder, manifest).collect()) == sorted((i or -1, h) for i, _, h in rows)
+    heads = [h for n, v in files(folder).items() for h, _ in warc.parse_archive(v) if h["WARC-Type"] != "warcinfo"]
+    keys = [("X-Page-ID" not in h, base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:"))) for h in heads]
+    assert keys == sorted(keys)
 
 
 # ---------------------------------------------------------------- chat
