@@ -240,8 +240,43 @@ def test_mix_of_overlapping_sources(spark):
     got = mixing.mix_sources(df, weights=(1,), share=1.0)
     total = got.agg(F.sum("size"), F.sum("taken")).first()
     assert abs(total[0] - total[1]) < 40 and got.where("copies > 2").isEmpty()
-    with pytest.raises(ValueError, match="patterns"):
-        mixing.mix_sources(df, max_patterns=2)
+
+
+def naive_mix(rows, weights=(3, 1, 2), share=1.5):
+    """{id: taken} of rows (id, size, source, order): each source's documents in their order, until its quota is met as near as may be."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    of = {s: sorted((h, n, i) for i, n, x, h in rows if x == s) for s in names} if len(names) < 100 else None
+    if of is None:
+        of = {s: [] for s in names}
+        for i, n, s, h in rows:
+            of[s].append((h, n, i))
+        of = {s: sorted(v) for s, v in of.items()}
+    sizes = [sum(n for _, n, _ in of[s]) for s in names]
+    out = {}
+    for s, size, target in zip(names, sizes, mixing.water_fill(sizes, [weights[k % len(weights)] for k in range(len(names))], share * sum(sizes), 2)):
+        base, left = divmod(round(target), size) if size else (0, 0)
+        for _, n, i in of[s]:
+            more = left > 0 and (n <= left or 2 * left > n)
+            left = left - n if n <= left else 0
+            out[i] = n * min(2, base + more)
+    return out
+
+
+def test_mix_against_every_source_by_itself(spark):
+    rng = random.Random(28)
+    rows = [(k, "w " * rng.randrange(0, 30), "aa", rng.choice(["a", "b", "c", None, "d"]), 0) for k in range(2000)]
+    df = spark.createDataFrame(rows, DOCS)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 64 - mixing.BITS * mixing.LEVELS).alias("h")).collect()}
+    want = naive_mix([(i, len(t.split()), s, order[i]) for i, t, _, s, _ in rows])
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(df).collect()} == want
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(52_000).selectExpr("id AS doc_id", "repeat('w ', int(id % 5)) AS text", "concat('host', id % 50000) AS source")
+    got = mixing.mix_sources(df).toPandas()
+    want = naive_mix([(int(k), int(k) % 5, f"host{k % 50000}", 0) for k in range(52_000)])
+    assert len(got) == 52_000 and abs(got.taken.sum() / sum(want.values()) - 1) < 0.02
+    assert (got.taken <= 2 * got["size"]).all() and got.target.max() <= 2 * got.source_size.max()
 
 
 # ---------------------------------------------------------------- pipeline
