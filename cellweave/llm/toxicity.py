@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, SLICE_BYTES, map_arrow, materialize, signed, utf8, words
+from .common import LETTERS, SLICE_BYTES, discard, map_arrow, scratch_table, signed, utf8, words
 
 #: A word is in the lexicon from this z-score and these log-odds on; a segment is significant below this p-value.
 LEAST_Z, LEAST_ODDS, LEAST_P = 4.0, 1.0, 0.01
@@ -48,26 +48,30 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float) -> li
     positive ``scores`` and all others cost ``drift``.
 
     One pass in the manner of Ruzzo and Tompa: a list of candidates with the running total
-    at their left and right ends; a new one joins back to the nearest candidate with a lower left end,
-    unless that one's right end is as high. Only positive words are visited.
+    at their left and right ends, each with the nearest earlier one whose left end is lower. A new one joins back to its own such
+    neighbour, unless that one's right end is as high; where there is none, all before it are final. Each candidate is passed
+    over once: time is linear in the positive words, and only these are visited.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, left total, right total
+    final: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []  # first, last, left total, right total, neighbour
     total, before = 0.0, 0
     for p, s in zip(places.tolist(), scores.tolist()):
         total -= drift * (p - before)
         before = p + 1
-        first, last, left, right = p, p, total, total + s
-        total = right
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= left:
-                k -= 1
-            if k < 0 or found[k][3] >= right:
-                break
-            first, left = found[k][0], found[k][2]
-            del found[k:]
-        found.append((first, last, left, right))
-    return [(a, b, r - l) for a, b, l, r in found]
+        first, left = p, total
+        total += s
+        k = len(held) - 1
+        while k >= 0 and held[k][2] >= left:
+            k = held[k][4]
+        while k >= 0 and held[k][3] < total:
+            first, _, left, _, lower = held[k]
+            del held[k:]
+            k = lower
+        if k < 0:
+            final += [(a, b, r - l) for a, b, l, r, _ in held]
+            held.clear()
+        held.append((first, p, left, total, k))
+    return final + [(a, b, r - l) for a, b, l, r, _ in held]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,14 +129,24 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
     """A model from labelled rows.
 
     ``most_rows`` bounds the labelled rows that are used (by hash of id, about that many where there are
-    more); ``most_words`` the lexicon. With no toxic or no other row, the model calls all clean.
+    more); ``most_words`` the lexicon. They are written once, whole, and read from there. Of repeated labels the largest counts, of
+    rows that repeat an id the least text; rows and labels without id, text or label teach nothing. With no toxic or no other
+    row, the model calls all clean.
     """
     labels = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n = labels.count()
     order = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30))
     chosen = labels.where(order < int((1 << 30) * min(1.0, most_rows / max(n, 1))))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(chosen), "id").select("y", "text")  # at most about most_rows pairs of numbers
+    rows = rows.join(F.broadcast(chosen), "id")  # at most about most_rows pairs of numbers
+    rows, sample = scratch_table(rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text"), "sample")
+    model = _fit(rows, most_words)
+    discard(docs.sparkSession, sample)
+    return model
+
+
+def _fit(rows: DataFrame, most_words: int) -> Model:
+    """A model from rows (y, text)."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         y = batch.column(0).to_numpy()
@@ -144,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
         return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(at[t], minlength=len(u))), pa.array(np.bincount(at[~t], minlength=len(u)))], ["w", "y1", "y0"])
 
     counts = map_arrow(rows, count, "w long, y1 long, y0 long").groupBy("w").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    counts = materialize(counts, "words")
+    counts, place = scratch_table(counts, "words")
     total = counts.where("w = 0").first()
     n1, n0 = (total.y1, total.y0) if total else (0, 0)
     if not n1 or not n0:
@@ -155,6 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
     delta = F.log(a / (n1 + PRIOR)) - F.log(b / (n0 + PRIOR))
     z = delta / F.sqrt(1 / a + 1 / b)
     lexicon = counts.where("w <> 0 and y1 > 1").select("w", delta.alias("d"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("d") >= LEAST_ODDS)).orderBy(F.desc("z"), "w").limit(most_words).collect()
+    discard(rows.sparkSession, place)
     if not lexicon:
         return Model()
     w = np.array([r.w for r in lexicon], np.int64).view(np.uint64)
@@ -168,17 +183,21 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
             out.append((y + 2, float(len(h))))
         return pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([s for _, s in out])], ["y", "s"])
 
-    sums = {r.y: r for r in map_arrow(rows.select(F.expr("int(y > 0)").alias("y"), "text"), hits, "y int, s double").groupBy("y").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.collect_list(F.when(F.col("y") == 0, F.col("s"))).alias("l")).collect()}
-    clean_words, toxic_words = sums[2].s if 2 in sums else 1.0, sums[3].s if 3 in sums else 1.0
-    p1 = (sums[1].n if 1 in sums else 0) / max(toxic_words, 1.0)
-    p0 = ((sums[0].n if 0 in sums else 0) + 0.5) / (clean_words + 1)
+    seen = map_arrow(rows.select(F.expr("int(y > 0)").alias("y"), "text"), hits, "y int, s double")
+    # scores are those of lexicon words: no more different ones than these
+    by = seen.groupBy("y", F.when(F.col("y") == 0, F.col("s")).alias("s")).agg(F.count("*").alias("n"), F.sum("s").alias("sum")).collect()
+    n_hits = {y: sum(r.n for r in by if r.y == y) for y in (0, 1)}
+    clean_words, toxic_words = (sum(r["sum"] for r in by if r.y == y) for y in (2, 3))
+    p1 = n_hits[1] / max(toxic_words, 1.0)
+    p0 = (n_hits[0] + 0.5) / (clean_words + 1)
     model.drift = max(1e-4, float(np.log1p(-min(p0, 0.9)) - np.log1p(-min(p1, 0.9))))
     # lambda: the root of the expected exp(lambda * score) = 1 over words of clean documents
-    seen_scores = np.array(sums[0].l if 0 in sums else [float(model.scores.mean())])
+    clean_hits = sorted((r.s, r.n) for r in by if r.y == 0) or [(float(model.scores.mean()), 1)]
+    seen_scores, times = (np.array(c, float) for c in zip(*clean_hits))
     low, high = 1e-6, 50.0
     for _ in range(100):
         mid = (low + high) / 2
-        grown = float(p0 * np.exp(np.minimum(mid * seen_scores, 600)).mean() + (1 - p0) * np.exp(-mid * model.drift))
+        grown = float(p0 * np.average(np.exp(np.minimum(mid * seen_scores, 600)), weights=times) + (1 - p0) * np.exp(-mid * model.drift))
         low, high = (mid, high) if grown < 1 else (low, mid)
     model.lam = max(low, 1e-3)
 
@@ -209,7 +228,8 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 
     ``score`` is 0 to 1, predicted = 1 if it is >= 0.5. ``segments`` are the significant toxic passages: bytes
     ``start`` to ``end`` of the text, their score and p-value. A null or empty text has no segment and the
-    score of no evidence. Other columns are ignored; equal texts score alike.
+    score of no evidence. Other columns are ignored; equal texts score alike, and an empty table has no rows. Long texts are scanned whole,
+    slice by slice.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())]))

@@ -1,6 +1,8 @@
 """Word hashing, language ID, token counts, toxicity."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,10 @@ def test_language_id(spark):
     rng = random.Random(2)
     rows = [(k, invented(rng, lang, rng.randrange(8, 200)), lang, None, None) for k, lang in enumerate(rng.choices(list(LANGUAGES), k=240))]
     rows += [(1000 + k, t, None if k % 2 else "aa", None, None) for k, t in enumerate(NASTY)]
+    rows += [(2000, invented(rng, "bb", 8) + " " + invented(rng, "cc", 9000), None, None, None)]  # block by block
     docs = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("clash"))
     got = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and got[2000].lang_pred == "cc" and len(rows[-1][1]) > 3 * langid.BLOCK_BYTES
     held = [(r[0], r[2]) for r in rows[:240] if got[r[0]].held_out]
     assert len(held) > 30 and np.mean([got[i].lang_pred == lang for i, lang in held]) > 0.97
     for k, t in enumerate(NASTY):
@@ -113,6 +116,96 @@ def test_maximal_segments():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        hit = np.arange(n) * 50
+        value = np.full(n, 1.0)
+        start = time.perf_counter()
+        assert len(toxicity.maximal_segments(hit, value, 1.0)) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(32_000) for _ in range(3)) < 4 * min(seconds(16_000) for _ in range(3)) + 0.05
+
+
+def naive_toxicity(rows, marks):
+    """{id: score}: the model and its scores, word by word with dictionaries."""
+    from collections import Counter
+    from math import exp, log, log1p, sqrt
+
+    def units(text):
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+            yield [w, *(("begins", w[:n]) for n in toxicity.PREFIXES if len(w) >= n)]
+
+    y = {}
+    for i, label in marks:
+        if i is not None and label is not None and zlib.crc32(str(i).encode()) % 5:
+            y[i] = max(label, y.get(i, 0))
+    sample = [(y[i], list(units(t))) for i, t in rows if i in y and t is not None]
+    n = Counter(label > 0 for label, _ in sample)
+    seen = {side: Counter(u for label, t in sample if (label > 0) == side for u in {u for us in t for u in us}) for side in (True, False)}
+    lexicon = {}
+    for u in seen[True]:
+        prior = (seen[True][u] + seen[False][u]) * toxicity.PRIOR / len(sample)
+        a, b = seen[True][u] + prior, seen[False][u] + prior
+        d = log(a / (n[True] + toxicity.PRIOR)) - log(b / (n[False] + toxicity.PRIOR))
+        if seen[True][u] > 1 and d / sqrt(1 / a + 1 / b) >= toxicity.LEAST_Z and d >= toxicity.LEAST_ODDS:
+            lexicon[u] = d
+    score = lambda us: max((lexicon.get(u, 0.0) for u in us), default=0.0)
+    hits = {side: [s for label, t in sample if (label > 0) == side for s in map(score, t) if s] for side in (True, False)}
+    words = {side: sum(len(t) for label, t in sample if (label > 0) == side) for side in (True, False)}
+    p1, p0 = len(hits[True]) / max(words[True], 1), (len(hits[False]) + 0.5) / (words[False] + 1)
+    drift = max(1e-4, log1p(-min(p0, 0.9)) - log1p(-min(p1, 0.9)))
+    low, high = 1e-6, 50.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        clean = hits[False] or [sum(lexicon.values()) / len(lexicon)]
+        low, high = (mid, high) if p0 * sum(exp(min(mid * s, 600)) for s in clean) / len(clean) + (1 - p0) * exp(-mid * drift) < 1 else (low, mid)
+    lam, place, scale = max(low, 1e-3), 0.0, 1.0
+    segments = lambda t: [s for *_, s in naive.segments([score(us) or -drift for us in t])]
+
+    def p_value(s, size):
+        x = (lam * s - log(max(size, 1)) - place) / scale
+        return -np.expm1(-exp(-min(max(x, -30.0), 700.0)))
+
+    def evidence(t):
+        found = segments(t)
+        if not found:
+            return 0.0, 0.0
+        return -log(max(p_value(max(found), len(t)), 1e-30)), log1p(sum(s for s in found if p_value(s, len(t)) < toxicity.LEAST_P))
+
+    best = [(max(segments(t), default=0), len(t)) for label, t in sample if not label and t]
+    x = [lam * s - log(size) for s, size in best if s > 0]
+    if len(x) >= 20:
+        q = np.quantile(x, [0.25, 0.5, 0.75])
+        scale = max(1e-3, (q[2] - q[0]) / 1.5725)
+        place = q[1] - 0.3665 * scale
+    weights = toxicity._fit_logistic(np.array([evidence(t) for _, t in sample]), np.array([label > 0 for label, _ in sample], float))
+    return {i: 1 / (1 + exp(-min(max(float(np.dot(weights, (1.0, *evidence(list(units(t)))))), -30.0), 30.0))) for i, t in rows}
+
+
+def test_toxicity_against_dictionaries(spark):
+    rng = random.Random(6)
+    vocabulary = [invented(rng, "aa", 1) for _ in range(200)]
+    rows, marks = [], []
+    for k in range(260):
+        text = rng.choices(vocabulary, k=rng.randrange(5, 40))
+        if k % 4 == 0:
+            at = rng.randrange(len(text))
+            text[at:at] = rng.choices(["scumword", "foulthing", "scumwords"], k=rng.randrange(1, 5))
+        elif k % 5 == 0:
+            text.append("foulthing")
+        rows.append((k, " ".join(text)))
+        marks.append((k, int(k % 4 == 0)))
+    rows += [(1000 + k, t) for k, t in enumerate(NASTY[:8])]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    want = naive_toxicity(rows, marks)
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-3 and max(got.values()) > 0.8
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     vocabulary = [invented(rng, "aa", 1) for _ in range(400)]
