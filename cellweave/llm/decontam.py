@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents are joined with benchmark items on shared runs of MATCH words (seeds). For each pair that
+Documents are joined with benchmark items on shared runs of MATCH words (seeds; items of fewer words are seeds as they are). For each pair that
 shares enough of them, the longest non-overlapping common runs are marked again and again, found by
 running Karp-Rabin hashes; the share of the item's words under such tiles is its coverage. Tiles
 may stand in any order, so reordered passages count as well.
@@ -28,10 +28,30 @@ SEEDS_AT_ONCE = 1_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Scripts that are written without spaces: each character is a word. Punctuation, symbols and spaces end one.
+ALONE, BETWEEN = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r"[\p{P}\p{S}\p{Z}]+"
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """The texts with spaces around what ALONE and BETWEEN match beyond ASCII. Only texts with bytes that such characters have are changed."""
+    data, at = utf8(texts)
+    if not len(data):
+        return texts
+    odd = np.concatenate([[0], np.cumsum((data == 0xC2) | (data >= 0xE0))])
+    rows = np.flatnonzero(odd[at[1:]] > odd[at[:-1]])
+    if not len(rows):
+        return texts
+    some = pc.replace_substring_regex(pc.replace_substring_regex(texts.take(pa.array(rows)), ALONE, r" \1 "), BETWEEN, " ")
+    mask = np.zeros(len(texts), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(texts, pa.array(mask), some)
+
+
 def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, word hashes, offsets) of slices of the texts. Words are runs of letters and digits, in lower case."""
+    """(first text, word hashes, offsets) of slices of the texts. Words are runs of letters and digits, in lower case; in scripts without
+    spaces, characters."""
     low = 0
-    raw = pc.utf8_lower(pc.fill_null(texts, ""))
+    raw = _spaced(pc.utf8_lower(pc.fill_null(texts, "")))
     data, at = utf8(raw)
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(at, at[low] + 2 * SLICE_BYTES, "right")) - 1)
@@ -99,6 +119,13 @@ class Benchmark:
 
     def __init__(self, ids: list[int], items: list[np.ndarray], match: int, coverage: float):
         self.ids, self.items, self.match, self.coverage = ids, items, match, coverage
+        # items of fewer words, by their number of words: sorted hashes of the whole, and which items these are
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(x) for x in items if len(x) < match}):
+            which = np.array([k for k, x in enumerate(items) if len(x) == n])
+            whole = np.concatenate([_windows(items[k], n) for k in which.tolist()])
+            order = np.argsort(whole, kind="stable")
+            self.short[n] = whole[order], which[order]
         seeds = [_windows(x, match) for x in items]
         self.seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
@@ -108,9 +135,19 @@ class Benchmark:
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, coverage, tiles, longest tile) of each text and item at or above the coverage."""
-        if not len(self.seed):
+        if not self.items:
             return
         for low, h, offsets in tokens(texts):
+            for n, (whole, which) in self.short.items():
+                run = _windows(h, n)
+                first, last = np.searchsorted(whole, run, "left"), np.searchsorted(whole, run, "right")
+                hits = np.flatnonzero(last > first)
+                row = np.searchsorted(offsets, hits, "right") - 1
+                inside = hits + n <= offsets[row + 1]
+                found = {(r, k) for r, a, b in zip(row[inside].tolist(), first[hits[inside]].tolist(), last[hits[inside]].tolist()) for k in which[a:b].tolist()}
+                yield from ((low + r, k, 1.0, 1, n) for r, k in sorted(found))
+            if not len(self.seed):
+                continue
             run = _windows(h, self.match)
             at = np.searchsorted(self.seed, run)
             hits = np.flatnonzero(self.seed[np.minimum(at, len(self.seed) - 1)] == run)
@@ -157,7 +194,7 @@ def _rounds(benchmark: DataFrame, match: int, coverage: float, id: str, text: st
     size = 0
     for row in rows.toLocalIterator():  # a benchmark is read once, a partition at a time
         for _, h, _ in tokens(pa.array([row.t])):
-            if len(h) < match:
+            if not len(h):
                 continue
             if size + len(h) > SEEDS_AT_ONCE and items:
                 yield Benchmark(ids, items, match, coverage)
@@ -171,8 +208,9 @@ def _rounds(benchmark: DataFrame, match: int, coverage: float, id: str, text: st
 def find_leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, coverage, n_tiles, longest_tile) of each document and benchmark item that it covers to ``coverage`` or more.
 
-    Null and empty texts, and items of under ``match`` words, cover nothing. Items with equal id and
-    text count once; repeated documents give repeated rows. Other columns are ignored.
+    An item of under ``match`` words is covered where all of it stands in a row. Null and empty texts cover nothing, and null, empty and
+    wordless items are covered by nothing. Items with equal id and text count once; repeated documents give repeated rows. Other columns are
+    ignored. Long texts are read whole, slice by slice; empty tables give no rows.
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     parts = []
@@ -195,7 +233,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, covera
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``find_leaks`` reports; all columns stay, and no row moves."""
+    """``docs`` without the rows that ``find_leaks`` reports; all columns stay, whatever their names, and no row moves.
+
+    Null and empty texts stay; repeated rows share their fate; with an empty benchmark all rows stay.
+    """
     names = docs.columns
     at = names.index(text)
     for held in _rounds(benchmark, match, coverage, item_id, item_text):

@@ -1,6 +1,7 @@
 """Jaccard join, embedding near-dedup, line dedup, decontamination."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -296,11 +297,13 @@ def test_leaks(spark, monkeypatch):
             text[at:at] = [x.upper() if i % 18 == 0 else x for x in w]
             planted.add((i, k))
         rows.append((i, " ".join(text).replace(" zzz", ", zzz!"), None, None, 0))
-    rows += [(100 + k, t, None, None, 0) for k, t in enumerate(NASTY)]
+    rows += [(100 + k, t, None, None, 0) for k, t in enumerate(NASTY)] + [(200, "say Two words, please", None, None, 0), (201, "two wordsmiths", None, None, 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame([*items, items[0], (50, None), (51, ""), (52, "two words"), (None, "a b c d e f")], "item_id long, text string")
     got = decontam.find_leaks(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == planted and all(r.coverage >= 0.5 for r in got)
+    short = {(r[0], 52) for r in rows if re.search(r"(?i)(?<![0-9a-z])two\W+words(?![0-9a-z])", r[1] or "")}
+    planted |= short
+    assert {(r.doc_id, r.item_id) for r in got} == planted and all(r.coverage >= 0.5 for r in got) and short
     assert any(r.n_tiles >= 3 for r in got)
     monkeypatch.setattr(decontam, "SEEDS_AT_ONCE", 60)
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == planted
@@ -308,3 +311,10 @@ def test_leaks(spark, monkeypatch):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {i for i, _ in planted}
     assert decontam.find_leaks(docs.where("false"), bench).count() == decontam.find_leaks(docs, bench.where("false")).count() == 0
     assert decontam.drop_leaks(docs, bench.where("false")).count() == len(rows)
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    item = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+    docs = spark.createDataFrame([(1, f"前言：{item}。后记"), (2, "日月盈昃辰宿列张，天地玄黄宇宙洪荒"), (3, "天地会的故事，玄黄之间"), (4, "«esto» ¿no?")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "esto no")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 7), (2, 7), (4, 8)}
