@@ -11,9 +11,9 @@ from .grid import Grid, TrackOptions, disk
 from .operators import objects, quality
 from .operators.identify import identify
 from .operators.lineage import TrackGraph, frame_rows, graph_of, track
-from .operators.preprocess import crop
+from .operators.preprocess import check_amounts, check_interval, crop, refuse_cumulative, to_rate
 from .sources.arrays import describe_npy, frame_table, read_npy
-from .sources.tables import finalize_catalog, publish, read_states, write_part
+from .sources.tables import finalize_catalog, publish, read_part, read_states, write_part
 
 
 def _input(p: argparse.ArgumentParser) -> None:
@@ -35,13 +35,20 @@ def _input(p: argparse.ArgumentParser) -> None:
     p.add_argument("--sequence-id", default="default")
     p.add_argument("--state-input", help="catalog part whose states are gone on from")
     p.add_argument("--absolute-start", type=int, help="time of the first frame; by default after the state's last, else 0")
+    p.add_argument("--variable", default="", help="name of what the cube holds; accumulated amounts are refused")
+    p.add_argument("--units", default="mm/h", help="mm/h for rates, mm for amounts of each interval")
     p.add_argument("--dt-hours", type=float, default=1.0)
+    p.add_argument("--grid-km", type=float, help="spacing of the grid: speeds are also in km/h")
+    p.add_argument("--saved", help="catalog part of an earlier run to compare with or to look into")
     p.add_argument("--chunk-frames", type=int, default=24)
     p.add_argument("--taus", type=float, nargs="+", default=[0.25, 0.30, 0.35, 0.40, 0.45])
     p.add_argument("--frames", type=int, nargs="+", default=[1])
 
 
 def _load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, Grid, TrackOptions, int]:
+    refuse_cumulative(a.variable)
+    kind = "interval" if a.units.lower().replace(" ", "") == "mm" else "rate"
+    check_interval(kind, a.units)
     shape = describe_npy(a.input)["shape"]
     stop = shape[0] if a.stop is None else a.stop
     cells = read_npy(spark, a.input, a.start, stop, a.sequence_id)
@@ -50,6 +57,9 @@ def _load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFr
     if first is None:
         first = json.loads(states.where(states.sequence_id == a.sequence_id).first().state)["last_time"] + 1 if states is not None else 0
     cells = cells.withColumn("t", cells.t + first)
+    check_amounts(cells)
+    if kind == "interval":
+        cells = to_rate(cells, a.dt_hours)
     cells, grid = crop(cells, Grid(shape[1], shape[2]), a.crop)
     labels = identify(cells, grid, a.threshold, disk(a.bridge_radius), a.min_size)
     options = TrackOptions(a.tau, a.max_displacement, a.max_gap, a.gap_tau, a.gap_ambiguity, a.event_overlap, a.gap_min_pixels)
@@ -81,7 +91,8 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
     finalize_catalog(spark, parts, f"{a.output_dir}/catalog")
     done = {n: spark.read.parquet(f"{a.output_dir}/catalog/{n}") for n in ("objects", "edges", "events")}
     summary = objects.run_summary(frames, cells, labels, done["objects"], done["edges"], done["events"], grid, a.dt_hours)
-    publish(spark, f"{a.output_dir}/report", {"summary": summary, "frame_statistics": objects.frame_statistics(frames, cells, labels, grid)}, {"frames": total})
+    speeds = objects.branch_speeds(done["objects"], done["edges"], a.dt_hours, a.grid_km)
+    publish(spark, f"{a.output_dir}/report", {"summary": summary, "branch_speeds": speeds, "frame_statistics": objects.frame_statistics(frames, cells, labels, grid)}, {"frames": total})
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -91,19 +102,28 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def recheck(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Track whole and in chunks; publish the differences, which should be none."""
+    """Track whole and in chunks; publish the differences, which should be none. With --saved also the links that differ from those of that run."""
     graph, (cells, frames, labels, grid, options, _) = _graph(spark, a)
     again = graph_of(quality.replay(frame_rows(frames, labels, cells), options, a.chunk_frames, grid))
     out = {n: quality.differences(getattr(graph, n), getattr(again, n)) for n in ("nodes", "edges", "events", "family_map")}
     out["edge_diff"] = quality.edge_diff(quality.named_edges(graph.edges, graph.nodes), quality.named_edges(again.edges, again.nodes))
+    if a.saved:
+        old = quality.named_edges(read_part(spark, a.saved, "edges"), read_part(spark, a.saved, "objects"))
+        out["saved_edge_diff"] = quality.edge_diff(old, quality.named_edges(graph.edges, graph.nodes))
     out["checks"] = quality.structure_checks(graph.nodes, graph.edges, graph.events, graph.family_map)
     publish(spark, a.output_dir, out, {"chunk_frames": a.chunk_frames})
 
 
 def diagnose(spark: SparkSession, a: argparse.Namespace) -> None:
-    graph, (cells, frames, labels, grid, options, _) = _graph(spark, a)
+    """Why pairs of objects of the given frames were linked or not: here, or with --saved in that run."""
+    if a.saved:
+        cells, frames, labels, grid, options, _ = _load(spark, a)
+        edges, nodes = read_part(spark, a.saved, "edges"), read_part(spark, a.saved, "objects")
+    else:
+        graph, (cells, frames, labels, grid, options, _) = _graph(spark, a)
+        edges, nodes = graph.edges, graph.nodes
     evidence = quality.pair_evidence(objects.object_table(labels, cells), labels, options, a.frames)
-    decided = quality.pair_decisions(evidence, quality.named_edges(graph.edges, graph.nodes), options.tau)
+    decided = quality.pair_decisions(evidence, quality.named_edges(edges, nodes), options.tau)
     publish(spark, a.output_dir, {"pair_decisions": decided}, {"frames": a.frames})
 
 

@@ -56,9 +56,9 @@ def identify(data, morph_structure=None, workers=1, min_size=1, chunksize=1, thr
     """Labels (int32) of each frame of a cube. ``workers`` and ``chunksize`` are checked; Spark deals frames to tasks."""
     data = np.asarray(data)
     if data.ndim != 3:
-        raise ValueError("data must have shape (time, y, x)")
+        raise ValueError("the cube needs three axes: time, y and x")
     if workers < 1 or chunksize < 1:
-        raise ValueError("workers must be at least one")
+        raise ValueError("workers: give 1 or more")
     if valid_mask is not None and np.asarray(valid_mask).shape != data.shape:
         raise ValueError("valid_mask must have the shape of the data")
     labels = _identify.identify(cells_of_cube(data, valid_mask), Grid(*data.shape[1:]), threshold, _shape(morph_structure), min_size)
@@ -68,7 +68,7 @@ def identify(data, morph_structure=None, workers=1, min_size=1, chunksize=1, thr
 def identify_frame(data, morph_structure=None, min_size=1, threshold=0.0, valid_mask=None) -> np.ndarray:
     data = np.asarray(data)
     if data.ndim != 2:
-        raise ValueError("data must be two-dimensional")
+        raise ValueError("a frame has two axes: y and x")
     return identify(data[None], morph_structure, 1, min_size, 1, threshold, None if valid_mask is None else np.asarray(valid_mask)[None])[0]
 
 
@@ -143,7 +143,7 @@ class Tracker:
     def update(self, time, labeled_map, precip) -> tuple[np.ndarray, TrackGraph]:
         labels, rain = np.asarray(labeled_map), np.asarray(precip, np.float64)
         if labels.shape != rain.shape or labels.ndim != 2:
-            raise ValueError("labels and precipitation must share a 2-D shape")
+            raise ValueError("a frame of labels and its rain differ in shape")
         shape = list(labels.shape)
         if self.state.data["grid"] not in (None, shape):
             raise ValueError("grid shape differs from the saved state")

@@ -42,7 +42,7 @@ def footprint(mask: Sequence[Sequence[object]]) -> Footprint:
     """A footprint from a 2-D array with odd sides, whose centre is the origin."""
     rows = [list(map(bool, r)) for r in mask]
     if not rows or not rows[0] or len({len(r) for r in rows}) != 1 or not any(map(any, rows)):
-        raise ValueError("a footprint must be a non-empty 2-D array")
+        raise ValueError("a footprint needs two axes and a cell")
     if len(rows) % 2 == 0 or len(rows[0]) % 2 == 0:
         raise ValueError("a footprint must have odd sides")
     cy, cx = len(rows) // 2, len(rows[0]) // 2
@@ -76,7 +76,7 @@ class TrackOptions:
 
     def __post_init__(self):
         if not 0 <= self.tau <= 1 or not 0 <= self.event_overlap <= 1:
-            raise ValueError("tau and event_overlap must be in [0, 1]")
+            raise ValueError("tau and event_overlap go from 0 to 1")
         if self.max_displacement <= 0:
             raise ValueError("max_displacement must be positive")
         if self.max_gap < 0 or self.gap_ambiguity < 0 or self.gap_min_pixels < 0:

@@ -162,7 +162,7 @@ def identify_runs(cells: DataFrame, grid: Grid, threshold: float = 0.0, shape: F
     One shuffle by frame of the wet and the missing cells; all else happens on a frame's runs.
     """
     if min_size < 1:
-        raise ValueError("min_size must be at least one")
+        raise ValueError("min_size: give 1 or more cells")
     wet = wet_cells(cells, threshold).select(*_ROW, "x", F.lit(True).alias("wet"))
     both = wet.unionByName(missing_cells(cells).select(*_ROW, "x", F.lit(False).alias("wet")))
     kinds = dict(both.dtypes)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid, TrackOptions, refuse_policies
-from .matching import ambiguous_children, assign, bipartite_groups, event_kind
+from .matching import ambiguous_children, assign, bipartite_groups, event_kind, shared_checkpoints
 
 STATE_VERSION = 1
 
@@ -162,9 +162,9 @@ class Lineage:
         OBJECT_FIELDS and ``cells``; a frame without any still has to come."""
         s, o = self.state, self.options
         if s["last_time"] is not None and time <= s["last_time"]:
-            raise ValueError("times must be strictly increasing")
+            raise ValueError("frame times have to be increasing")
         if s["last_time"] is not None and time != s["last_time"] + 1:
-            raise ValueError("times must be contiguous; a dry hour is an empty frame")
+            raise ValueError("frames have to be contiguous: a dry hour is an empty one")
         for x in objects:
             x["sorted"] = np.sort(np.asarray(x["cells"], np.int64))
         active = s["active"]
@@ -351,11 +351,7 @@ def track(cells: DataFrame, frames: DataFrame, labels: DataFrame, grid: Grid, op
     """Track labelled objects. The kernel runs once: its rows are checkpointed and then split by kind."""
     refuse_policies(policies)
     tagged = run_lineage(frame_rows(frames, labels, cells), options or TrackOptions(), grid, states)
-    sc = cells.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cellweave-"))
+    shared_checkpoints(cells.sparkSession)
     return graph_of(tagged.checkpoint())
 
 

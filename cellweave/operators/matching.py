@@ -6,10 +6,12 @@ is relational stand below them.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -167,17 +169,26 @@ def dedupe_links(candidates: DataFrame, key: Sequence[str] = ("sequence_id", "t"
     return best.select(*key, *(F.col(f"b.{c}").alias(c) for c in rest))
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir. Where it is unset, a session that runs on this machine gets a temporary
+    one; on a cluster, whose executors couldn't see that, it's an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="cellweave-")
+    sc.setCheckpointDir(found)
+
+
 def families(branches: DataFrame, links: DataFrame) -> DataFrame:
     """(sequence_id, branch_id, family_id): the least branch that links (sequence_id, a, b) reach.
 
     Least labels spread along links and jump over what they reach; each round is cut off by checkpoint().
     """
-    sc = branches.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        found = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="cellweave-"))
+    shared_checkpoints(branches.sparkSession)
     both = links.select("sequence_id", "a", "b").union(links.select("sequence_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     state = branches.select("sequence_id", "branch_id", F.col("branch_id").alias("family_id")).distinct().checkpoint()
     while True:

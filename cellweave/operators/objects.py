@@ -75,11 +75,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
-    """(bin, n) of ``bins`` equal bins from low to high; the last holds ``high``; empty bins have rows."""
+    """(bin, n) of ``bins`` equal bins from low to high; the last holds ``high``; empty bins have rows. Bins 0 and
+    ``bins`` + 1 count what is below and above; null and NaN are in none."""
     v = F.col(column)
     at = F.when(v == high, F.lit(bins)).otherwise(F.width_bucket(v, F.lit(float(low)), F.lit(float(high)), F.lit(bins)))
-    counted = df.where(v.between(low, high)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    return df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(bins + 2).withColumnRenamed("id", "bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rain_percentile(cells: DataFrame, share: float = 0.99, floor: float = 2.0) -> DataFrame:

@@ -22,6 +22,14 @@ def require(df: DataFrame, bad: Column, message: str) -> None:
         raise ValueError(message)
 
 
+def require_none(df: DataFrame, *checks: tuple[Column, str]) -> None:
+    """``require`` for several conditions in one pass; the first that any row meets is raised."""
+    found = df.agg(*(F.bool_or(F.coalesce(bad, F.lit(False))).alias(f"c{k}") for k, (bad, _) in enumerate(checks))).first()
+    for hit, (_, message) in zip(found, checks):
+        if hit:
+            raise ValueError(message)
+
+
 def difference_cumulative(cells: DataFrame, tolerance: float = 1e-3, check: bool = True) -> DataFrame:
     """Hourly increments (t from the second frame on) of accumulated amounts, in single precision.
 
@@ -31,12 +39,12 @@ def difference_cumulative(cells: DataFrame, tolerance: float = 1e-3, check: bool
     """
     order = Window.partitionBy("sequence_id", "y", "x").orderBy("t")
     before, at = F.lag("rain").over(order), F.lag("t").over(order)
-    raw = cells.withColumns({"before": before, "gap": F.col("t") - at, "valid": is_finite("rain") & is_finite(before)}).where("before is not null or gap is not null")
-    raw = raw.withColumn("rain", F.when(F.col("valid"), F.col("rain").cast("float") - F.col("before").cast("float")).otherwise(F.lit(float("nan")).cast("float")))
+    rows = cells.withColumns({"before": before, "gap": F.col("t") - at, "valid": is_finite("rain") & is_finite(before)})
+    change = F.when(F.col("valid"), F.col("rain").cast("float") - F.col("before").cast("float")).otherwise(F.lit(float("nan")).cast("float"))
     if check:
-        require(cells, is_finite("rain") & (F.col("rain") < 0), "negative cumulative amount")
-        require(raw, F.col("gap") != 1, "missing/irregular frames")
-        require(raw, F.col("valid") & (F.col("rain") < -tolerance), "accumulation decreased")
+        fell = F.col("valid") & (change < -tolerance)
+        require_none(rows, (is_finite("rain") & (F.col("rain") < 0), "an accumulated amount is negative"), (F.col("gap") != 1, "frames are missing or irregular"), (fell, "accumulation decreased"))
+    raw = rows.where("gap is not null").withColumn("rain", change)
     clipped = F.col("valid") & (F.col("rain") < 0)
     return raw.select("sequence_id", "t", "y", "x", F.when(clipped, F.lit(0.0)).otherwise(F.col("rain")).cast("float").alias("rain"), "valid", clipped.alias("clipped"))
 
@@ -65,7 +73,7 @@ def check_cadence(frames: DataFrame, hours: float | None = None) -> None:
     """
     require(frames, F.col("interval_start").isNull(), "invalid time")
     spread = cadence(frames)
-    require(spread, F.col("shortest") <= 0, "times must be strictly increasing")
+    require(spread, F.col("shortest") <= 0, "frame times have to be increasing")
     require(spread, F.col("shortest") != F.col("longest"), "irregular time steps")
     if hours is not None:
         require(spread, ~close_to(F.col("shortest") / 3600, F.lit(hours)), "time step disagrees with dt_hours")
@@ -133,7 +141,7 @@ def provenance_warning(meta: DataFrame, reference: str = "wrfout_ref", start: st
 def wet_cells(cells: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Valid cells with finite rain >= threshold and > 0. The threshold takes rain's own type."""
     if threshold < 0:
-        raise ValueError("threshold must be non-negative")
+        raise ValueError("threshold: give 0 or more")
     limit = F.lit(threshold).cast(cells.schema["rain"].dataType)
     return cells.where(F.col("valid") & is_finite("rain") & (F.col("rain") >= limit) & (F.col("rain") > 0))
 
@@ -154,15 +162,17 @@ def fill_missing(cells: DataFrame) -> DataFrame:
 
 
 def classify_rain(name: str, unit: str, attributes: dict[str, str] | None = None) -> str:
-    """cumulative, interval or rate, by name, unit and attributes; ValueError where that doesn't tell."""
+    """cumulative, interval or rate, by name, unit and attributes (``rain_kind`` among them); ValueError where that doesn't tell."""
     attributes = {k.lower(): str(v).lower() for k, v in (attributes or {}).items()}
+    if (said := attributes.get("rain_kind")) in ("cumulative", "interval", "rate"):
+        return said
     text = " ".join([attributes.get(k, "") for k in ("description", "long_name", "standard_name", "cell_methods")])
     plain = unit.lower().replace(" ", "")
     kinds = set()
+    if plain in RATE_UNITS or plain in ("kgm-2s-1", "kg/m2/s", "kg/m^2/s", "mm/s", "mms-1"):
+        kinds.add("rate")
     if name.upper() in CUMULATIVE_NAMES or "accumulated" in text or "cumulative" in text:
         kinds.add("cumulative")
-    if plain in RATE_UNITS:
-        kinds.add("rate")
     if plain == "mm" and ("interval" in text or "hourly" in text or "time: sum" in text) and "cumulative" not in kinds:
         kinds.add("interval")
     if len(kinds) != 1:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid, TrackOptions
 from .lineage import graph_of, run_lineage
-from .matching import bipartite_groups, event_kind
+from .matching import bipartite_groups, event_kind, shared_checkpoints
 
 FRAME = ("sequence_id", "t")
 
@@ -194,11 +194,13 @@ def structure_counts(candidates: DataFrame) -> DataFrame:
 
 
 def tau_sweep(rows: DataFrame, options: TrackOptions, taus: Sequence[float], grid: Grid | None = None) -> DataFrame:
-    """(tau, kind, event, n): edges and events by kind for each tau. Every tau has states of its own, and all run side by side."""
+    """(tau, kind, event, n): edges and events by kind for each tau. Frames are made once and every tau is tracked once, with states of its own."""
+    shared_checkpoints(rows.sparkSession)
+    rows = rows.checkpoint()
     out = None
     for tau in taus:
         set_ = TrackOptions(**{f: getattr(options, f) for f in options.__dataclass_fields__} | {"tau": tau})
-        graph = graph_of(run_lineage(rows, set_, grid))
+        graph = graph_of(run_lineage(rows, set_, grid).checkpoint())
         for kind, df in (("edge", graph.edges), ("event", graph.events)):
             one = df.groupBy("event").agg(F.count("*").alias("n")).select(F.lit(float(tau)).alias("tau"), F.lit(kind).alias("kind"), "event", "n")
             out = one if out is None else out.unionByName(one)
@@ -261,13 +263,14 @@ def replay(rows: DataFrame, options: TrackOptions, chunk: int, grid: Grid | None
     """Tagged rows of tracking in chunks of frames, each going on from the states of the one before."""
     from .lineage import of_kind
 
+    shared_checkpoints(rows.sparkSession)
     bounds = rows.agg(F.min("t"), F.max("t")).first()
     if bounds[0] is None:
         return run_lineage(rows, options, grid)
     out, states = None, None
     for low in range(bounds[0], bounds[1] + 1, chunk):
         part = run_lineage(rows.where(F.col("t").between(low, low + chunk - 1)), options, grid, states)
-        part = part.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else part.persist()
+        part = part.checkpoint()
         states = of_kind(part, "state")
         done = part.where("kind not in ('family', 'state')")
         out = done if out is None else out.unionByName(done)

@@ -7,6 +7,7 @@ hundredths, so that sums don't depend on their order.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, TrackOptions, disk
 from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.identify import cells_of, dilate_runs, envelope_statistics, identify, identify_envelope, runs_of, seeded_envelope, subtract_missing
-from ..operators.lineage import branch_cells, frame_rows, track
-from ..sources.tables import canonical_families, chunk_of
+from ..sources.tables import chunk_of
 
 SIDE, FRAMES, STEP, THRESHOLD = 48, 120, 21_600, 60.0
 GRID = Grid(SIDE, SIDE)
@@ -26,8 +26,12 @@ OPTIONS = TrackOptions(tau=0.35, max_displacement=6.05)  # no pair of objects is
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sequence_id, t, y, x, cents, rain, valid)"""
+    """(sequence_id, t, y, x, cents, rain, valid); an event before the first or after the last frame is an error."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bounds = e.agg(F.min("ts"), F.max("ts")).first()  # from the files' footers
+    start = datetime.datetime(2024, 1, 1)
+    if bounds[0] is not None and not start <= bounds[0].replace(tzinfo=None) <= bounds[1].replace(tzinfo=None) < start + datetime.timedelta(seconds=STEP * FRAMES):
+        raise ValueError("events outside of the frames")
     seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     e = e.select(F.floor(seconds / STEP).cast("long").alias("t"), (F.col("user_id") % SIDE).cast("int").alias("y"), (F.floor("value") % SIDE).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("c"), (F.col("event_type") == "error").alias("bad"))
     g = e.groupBy("t", "y", "x").agg(F.sum("c").alias("cents"), (~F.bool_or("bad")).alias("valid"))
@@ -215,10 +219,10 @@ def rain_percentile(spark, d):
     return objects.rain_percentile(cube(spark, d)).select(_r("limit"))
 
 
-@query(f"""WITH {_CUBE}, h AS (SELECT least(25, CAST(floor(cents / 100.0 / 10) AS BIGINT) + 1) AS bin FROM cells WHERE valid AND cents BETWEEN 0 AND 25000)
-SELECT b.bin, count(h.bin) AS n FROM (SELECT unnest(generate_series(1, 25)) AS bin) b LEFT JOIN h ON h.bin = b.bin GROUP BY b.bin""")
+@query(f"""WITH {_CUBE}, h AS (SELECT CASE WHEN cents > 15000 THEN 16 WHEN cents = 15000 THEN 15 WHEN cents < 1000 THEN 0 ELSE CAST(floor((cents - 1000) * 15 / 14000.0) AS BIGINT) + 1 END AS bin FROM cells WHERE valid)
+SELECT b.bin, count(h.bin) AS n FROM (SELECT unnest(generate_series(0, 16)) AS bin) b LEFT JOIN h ON h.bin = b.bin GROUP BY b.bin""")
 def rain_histogram(spark, d):
-    return objects.histogram(cube(spark, d).where("valid"), "rain", 25, 0, 250)
+    return objects.histogram(cube(spark, d).where("valid"), "rain", 15, 10, 150)
 
 
 @query(f"WITH {_CUBE} SELECT t // 24 AS chunk, count(*) AS cells, count(DISTINCT t) AS frames FROM cells GROUP BY 1")
@@ -316,13 +320,24 @@ def envelope_system(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_CUBE}{_ENVELOPE}
-SELECT e.t, e.label, count(*) AS envelope_cells, count(l.label) AS core_cells, count(DISTINCT l.label) AS cores, round(sum(c.cents) / 100.0, 6) AS rain_sum, round(max(c.cents) / 100.0, 6) AS rain_max, round(count(l.label) / CAST(count(*) AS DOUBLE), 6) AS core_fraction
+SELECT e.t, e.label, count(*) AS envelope_cells, count(l.label) AS core_cells, count(DISTINCT l.label) AS cores, round(sum(c.cents) / 100.0, 6) AS rain_sum, round(avg(c.cents / 100.0), 6) AS rain_mean, round(max(c.cents) / 100.0, 6) AS rain_max,
+round(sum(CASE WHEN l.label IS NULL THEN 0 ELSE c.cents END) / 100.0, 6) AS core_rain_sum, round(sum(e.y * c.cents) / CAST(sum(c.cents) AS DOUBLE), 6) AS centroid_y, round(sum(e.x * c.cents) / CAST(sum(c.cents) AS DOUBLE), 6) AS centroid_x, min(e.y) AS y_start, max(e.y) + 1 AS y_stop, min(e.x) AS x_start, max(e.x) + 1 AS x_stop,
+round(sum(1 + e.y / 10.0), 6) AS area_km2, round(sum(c.cents * 10 * (1 + e.y / 10.0)), 4) AS volume_rate_m3_h, round(count(l.label) / CAST(count(*) AS DOUBLE), 6) AS core_fraction
 FROM envelope e JOIN cells c ON c.t = e.t AND c.y = e.y AND c.x = e.x LEFT JOIN lab l ON l.t = e.t AND l.y = e.y AND l.x = e.x GROUP BY e.t, e.label""")
 def envelope_stats(spark, d):
     cells = cube(spark, d)
     cores, envelopes = identify_envelope(cells, GRID, THRESHOLD, 30.0, disk(0))
-    stats, _ = envelope_statistics(cells, envelopes, cores)
-    return stats.select("t", "label", "envelope_cells", "core_cells", "cores", _r("rain_sum"), _r("rain_max"), _r("core_fraction"))
+    areas = spark.range(SIDE * SIDE).selectExpr(f"int(id div {SIDE}) AS y", f"int(id % {SIDE}) AS x", f"double(1 + (id div {SIDE}) / 10) AS cell_area")
+    stats, _ = envelope_statistics(cells, envelopes, cores, areas)
+    rounded = {c: F.round(c, 6) for c in ("rain_sum", "rain_mean", "rain_max", "core_rain_sum", "centroid_y", "centroid_x", "area_km2", "core_fraction")}
+    return stats.drop("sequence_id").withColumns(rounded | {"volume_rate_m3_h": F.round("volume_rate_m3_h", 4)})
+
+
+@query(f"WITH RECURSIVE {_CUBE}{_ENVELOPE} SELECT e.t, e.label, l.label AS core_label, count(*) AS cells FROM envelope e JOIN lab l ON l.t = e.t AND l.y = e.y AND l.x = e.x GROUP BY ALL")
+def envelope_membership(spark, d):
+    cells = cube(spark, d)
+    cores, envelopes = identify_envelope(cells, GRID, THRESHOLD, 30.0, disk(0))
+    return envelope_statistics(cells, envelopes, cores)[1].drop("sequence_id")
 
 
 _ARI = f"""{_labels(0, name='la')}{_labels(2, 2, name='lb')},
@@ -359,103 +374,5 @@ def value_counts(spark, d):
     return objects.value_counts(cube(spark, d), "valid")
 
 
-@query(f"""WITH RECURSIVE {_CUBE}{_labels()}{_OBJECTS} SELECT c.t - 1 AS parent_frame, p.label AS parent_label, c.t AS child_frame, c.label AS child_label,
-round(sqrt((c.centroid_y - p.centroid_y) * (c.centroid_y - p.centroid_y) + (c.centroid_x - p.centroid_x) * (c.centroid_x - p.centroid_x)), 6) AS distance FROM obj p JOIN obj c ON c.t = p.t + 1 WHERE c.t IN (5, 50)""")
-def pair_evidence(spark, d):
-    """Two audited frames: which frames to look at is the feature."""
-    cells = cube(spark, d)
-    labels = labelled(cells)
-    found = quality.pair_evidence(objects.object_table(labels, cells), labels, OPTIONS, (5, 50))
-    return found.select("parent_frame", "parent_label", "child_frame", "child_label", _r("distance"))
-
-
-# ---------------------------------------------------------------- lineage: rows only, tested on their own
-
-
-def _graph(spark: SparkSession, d: str):
-    cells = cube(spark, d)
-    labels = labelled(cells)
-    return cells, labels, track(cells, frames(spark), labels, GRID, OPTIONS)
-
-
-@query()
-def track_nodes(spark, d):
-    return _graph(spark, d)[2].nodes
-
-
-@query()
-def track_edges(spark, d):
-    return _graph(spark, d)[2].edges
-
-
-@query()
-def track_events(spark, d):
-    return _graph(spark, d)[2].events
-
-
-@query()
-def family_map(spark, d):
-    return _graph(spark, d)[2].family_map
-
-
-@query()
-def branch_raster(spark, d):
-    _, labels, graph = _graph(spark, d)
-    return branch_cells(labels, graph.nodes)
-
-
-@query()
-def branch_spans(spark, d):
-    return objects.branch_spans(_graph(spark, d)[2].nodes, STEP / 3600)
-
-
-@query()
-def branch_speeds(spark, d):
-    graph = _graph(spark, d)[2]
-    return objects.branch_speeds(graph.nodes, graph.edges, STEP / 3600)
-
-
-@query()
-def run_summary(spark, d):
-    cells, labels, graph = _graph(spark, d)
-    return objects.run_summary(frames(spark), cells, labels, graph.nodes, graph.edges, graph.events, GRID, STEP / 3600)
-
-
-@query()
-def catalog(spark, d):
-    graph = _graph(spark, d)[2]
-    return canonical_families(graph.nodes, graph.family_map)
-
-
-@query()
-def quality_checks(spark, d):
-    graph = _graph(spark, d)[2]
-    return quality.structure_checks(graph.nodes, graph.edges, graph.events, graph.family_map)
-
-
-@query()
-def families_from_events(spark, d):
-    """Families as components of branches that events join: must be those of the kernel."""
-    graph = _graph(spark, d)[2]
-    named = graph.nodes.select("sequence_id", "node_id", "branch_id")
-    ends = graph.edges.where("event in ('split', 'merge', 'complex')").select("sequence_id", "parent_node_id", "child_node_id")
-    links = ends.join(named.select("sequence_id", F.col("node_id").alias("parent_node_id"), F.col("branch_id").alias("a")), ["sequence_id", "parent_node_id"]).join(named.select("sequence_id", F.col("node_id").alias("child_node_id"), F.col("branch_id").alias("b")), ["sequence_id", "child_node_id"])
-    return matching.families(named.select("sequence_id", "branch_id"), links.select("sequence_id", "a", "b"))
-
-
-@query()
-def structure_audit(spark, d):
-    return quality.structure_counts(_graph(spark, d)[2].candidates)
-
-
-@query()
-def tau_sweep(spark, d):
-    cells = cube(spark, d)
-    return quality.tau_sweep(frame_rows(frames(spark), labelled(cells), cells), OPTIONS, (0.25, 0.35, 0.45), GRID)
-
-
-@query()
-def pair_decisions(spark, d):
-    cells, labels, graph = _graph(spark, d)
-    evidence = quality.pair_evidence(objects.object_table(labels, cells), labels, OPTIONS, (5, 50))
-    return quality.pair_decisions(evidence, quality.named_edges(graph.edges, graph.nodes), OPTIONS.tau)
+# queries over tracked sequences add themselves
+from . import lineage_queries  # noqa: E402, F401

@@ -40,7 +40,7 @@ def hourly(files: DataFrame) -> None:
     """Snapshots must be one hour apart."""
     order = Window.orderBy("valid_time")
     steps = files.withColumn("step", F.timestamp_diff("SECOND", F.lag("valid_time").over(order), F.col("valid_time")))
-    require(steps, F.col("step") != 3600, "missing/irregular snapshots")
+    require(steps, F.col("step") != 3600, "snapshots are missing or irregular")
 
 
 def increments(snapshots: DataFrame, files: DataFrame, tolerance: float = 1e-3) -> DataFrame:

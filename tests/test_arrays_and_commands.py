@@ -69,3 +69,11 @@ def test_commands(spark, tmp_path, capsys):
         main([command, path, "--output-dir", out(command), "--chunk-frames", "2", "--taus", "0.3", "0.9", *common])
     assert spark.read.parquet(out("recheck/nodes")).count() == spark.read.parquet(out("recheck/edges")).count() == 0
     assert spark.read.parquet(out("diagnose/pair_decisions")).first().reason == "accepted_continue"
+    main(["run", path, "--output-dir", out("w"), "--grid-km", "4", *common])
+    main(["recheck", path, "--output-dir", out("saved"), "--saved", out("w"), *common])
+    main(["diagnose", path, "--output-dir", out("why"), "--saved", out("w"), *common])
+    assert spark.read.parquet(out("saved/saved_edge_diff")).count() == 0
+    assert spark.read.parquet(out("why/pair_decisions")).first().reason == "accepted_continue"
+    for wrong in (["--variable", "RAINNC"], ["--units", "m"]):
+        with pytest.raises(ValueError):
+            main(["run", path, "--output-dir", out("x"), *wrong, *common])

@@ -6,6 +6,7 @@ from cellweave.functions.scalar import half_even, internal_stamp, stamp_in_name
 from cellweave.grid import Grid
 from cellweave.operators import preprocess as P
 from cellweave.sources.arrays import describe_npy, read_npy
+from cellweave.sources.multitime import plan_samples, read_precipitation
 from cellweave.sources.snapshots import check_internal_times, increments, list_snapshots, manifest
 from tests.helpers import CELLS, tables
 
@@ -105,7 +106,7 @@ def test_snapshots(spark, tmp_path):
     assert [(r.t, r.rain) for r in increments(cells, files).orderBy("t").collect()] == [(0, 2.0), (1, 2.0), (2, 2.0)]
     with pytest.raises(ValueError, match="decreased"):
         increments(*snapshots(spark, [0, 5, 4]))
-    with pytest.raises(ValueError, match="missing/irregular"):
+    with pytest.raises(ValueError, match="irregular"):
         increments(*snapshots(spark, [0, 1], ["a_2005-07-01_00:00:00.nc", "a_2005-07-01_02:00:00.nc"]))
     with pytest.raises(ValueError, match="same time"):
         snapshots(spark, [0, 1], ["a_2005-07-01_00:00:00.nc", "b_2005-07-01_00:00:00.nc"])
@@ -133,3 +134,34 @@ def test_npy(spark, tmp_path):
         read_npy(spark, str(tmp_path / "c.npy"), 4, 9).count()
     with pytest.raises(ValueError):
         Grid(0, 3)
+
+
+def _samples(spark, rows):
+    return spark.createDataFrame(rows, "path string, sample long, valid_time string").withColumn("valid_time", F.to_timestamp_ntz("valid_time"))
+
+
+def test_plan_of_many_files(spark):
+    plan = lambda rows, **k: [(r.path, r.sample, str(r.valid_time)[11:16] if r.valid_time else None) for r in plan_samples(_samples(spark, rows), **k).orderBy("t").collect()]
+    hours = [(p, s, f"2024-01-01 {h:02}:00:00") for p, s, h in (("b", 0, 0), ("b", 1, 1), ("a", 0, 2), ("a", 1, 3))]
+    assert [r[:2] for r in plan(hours)] == [("b", 0), ("b", 1), ("a", 0), ("a", 1)]  # by time, not by name
+    plain = [("a", 5, None), ("a", 6, None), ("b", 0, None), ("b", 1, None)]
+    assert plan(plain) == [(p, s, None) for p, s, _ in plain]
+    assert [r[2] for r in plan(plain, origin="2024-01-01 00:00:00")] == ["00:00", "01:00", "02:00", "03:00"]
+    for bad, message in ((hours[:1] + hours[2:], "irregular"), ([*hours, ("c", 0, hours[0][2])], "same time"), ([*plain, hours[0]], "some have none"), ([("a", 0, None), ("a", 2, None)], "consecutive")):
+        with pytest.raises(ValueError, match=message):
+            plan(bad)
+
+
+def test_kinds_of_precipitation(spark):
+    values = spark.createDataFrame([(p, s, 0, x, float(v)) for p, s, row in (("a", 0, [1, 2]), ("a", 1, [1, 5]), ("b", 0, [4, 5])) for x, v in enumerate(row)], "path string, sample long, y int, x int, rain double")
+    samples = _samples(spark, [("a", 0, None), ("a", 1, None), ("b", 0, None)])
+    read = lambda *a, **k: {(r.t, r.x): r.rain for r in read_precipitation(values, samples, *a, **k)[0].collect()}
+    assert read("RAINNC", "mm") == {(0, 0): 0, (0, 1): 3, (1, 0): 3, (1, 1): 0}  # the second step is across files
+    assert read("rain", "mm", {"cell_methods": "time: sum"}, hours=0.5)[0, 1] == 4
+    assert read("pr", "kg m-2 s-1")[2, 0] == 4 * 3600 and read("pr", "mm / h")[2, 0] == 4
+    assert read("RAINNC", "mm", {"rain_kind": "interval"})[2, 1] == 5 and read("RAINNC", "mm", rain_kind="interval")[0, 0] == 1
+    for bad in (("rain", "mm"), ("RAINNC", "K"), ("pr", "m", None, "rate")):
+        with pytest.raises(ValueError):
+            read(*bad)
+    cells, frames = read_precipitation(values, samples, "RAINNC", "mm", origin="2024-01-01 00:00:00")
+    assert [(r.t, r.interval_start.hour, r.interval_end.hour) for r in frames.orderBy("t").collect()] == [(0, 0, 1), (1, 1, 2)]
