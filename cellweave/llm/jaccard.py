@@ -3,8 +3,9 @@
 Sets of word shingles are put into size bands; inside a band, similarity bounds the symmetric
 difference by k. The feature domain is cut into more than k / 2 parts, each into 3 pieces: some part differs in
 at most one feature, so two of its pieces are equal, and hashes of such pairs of pieces are
-signatures that two similar sets must share. Sets that share a signature are candidates: their features meet, once for
-each pair or, where many share one, first with the least of them; what these don't tie is compared in blocks of bounded size.
+signatures that two similar sets must share. Sets that share a signature are candidates, each pair of them or, where many share
+one, first each with the least; sketches rule most of those out that share some words only, and the features of the others meet.
+What is still untied in a large bucket is compared in blocks of bounded size, by sketches and then by features.
 
 A signature of few features is shared by chance, by a share of all sets. Some parts more than the pigeonhole
 needs make up for such signatures in most sets; other sets refine them by signatures of a second partition, so
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, WORDS, discard, fresh, map_batches, mix, scratch_table, shingles, signed, sorted_groups, utf8, words
-from .graph import connected_components, forest, meetings, spread_join
+from .graph import Forest, connected_components, forest, meetings, spread_join
 
 #: Weak signatures are refined at most so many times.
 REFINED = 2
@@ -136,6 +137,32 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return np.concatenate(out), np.concatenate(whose)
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """How many features (modulo 16) fall on each of a power of two of counters, about one for 8 features; two to a byte.
+
+    Distances of the counters of two sets, on a ring of 16, add up to no more than their symmetric difference.
+    """
+    width = 1 << max(5, (len(features) // 8).bit_length() - 1)
+    counters = (np.bincount((mix(features ^ _VALUE) & np.uint64(width - 1)).astype(np.int64), minlength=width) % 16).astype(np.uint8)
+    return (counters[: width // 2] | counters[width // 2 :] << 4).tobytes()
+
+
+def _counters(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of ``width`` counters: longer ones are folded."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    found = np.concatenate([raw & 15, raw >> 4], axis=1)
+    while found.shape[1] > width:
+        found = (found[:, : found.shape[1] // 2] + found[:, found.shape[1] // 2 :]) & 15
+    return found.astype(np.int8)
+
+
+def plausible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows of counters, of sets of these sizes, aren't ruled out as similar."""
+    apart = np.abs(a - b)
+    apart = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
+    return ((den + num) * apart <= (den - num) * (size_a + size_b)) & (num * np.maximum(size_a, size_b) <= den * np.minimum(size_a, size_b))
+
+
 def set_key(features: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, the same for equal sets."""
     n = np.uint64(len(features))
@@ -158,7 +185,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 #: A packet has the signatures that go to ``p``: 40 bits of each (candidates are verified), by set; or what sets there are.
-_PACKETS = "p int, low binary, high binary, key binary, many binary, ids binary, sets binary"
+_PACKETS = "p int, low binary, high binary, key binary, many binary, sets binary, sketches array<binary>"
 
 
 def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
@@ -175,12 +202,17 @@ def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFr
         for g in np.flatnonzero(np.diff(edges)).tolist():
             s, x = sig[edges[g] : edges[g + 1]], key[edges[g] : edges[g + 1]]
             begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            many = np.diff(np.append(begin, len(x))).astype(np.uint32)
+            many = np.diff(np.append(begin, len(x)))
+            if many.max() > 0xFFFF:  # counts have two bytes
+                begin = np.concatenate([np.arange(b, b + n, 0xFFFF) for b, n in zip(begin.tolist(), many.tolist())])
+                many = np.diff(np.append(begin, len(x)))
+            many = many.astype(np.uint16)
             rows.append((g, s.astype(np.uint32).tobytes(), (s >> np.uint64(32)).astype(np.uint8).tobytes(), x[begin].tobytes(), many.tobytes(), None, None))
         yield _packet(rows)
 
     def _packet(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*rows))], [c.split()[0] for c in _PACKETS.split(", ")])
+        kinds = (pa.int32(), *(pa.binary(),) * 5, pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _PACKETS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -195,10 +227,11 @@ def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFr
 
         for batch in batches:
             ids = batch.column(0)
-            described, sets, keys, waiting = [], [], [], 0
+            described, sketches, sets, keys, waiting = [], [], [], [], 0
             for s in _sets(batch.column(1), k):
                 key = set_key(s)
                 described.append((len(s), *key))
+                sketches.append(sketch(s))
                 if len(s) and key not in seen:
                     seen.add(key)
                     sets.append(s)
@@ -212,7 +245,7 @@ def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFr
             rows = np.array(described, np.uint64).reshape(-1, 3)
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
             whole = np.column_stack([ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64), valid.astype(np.uint64), rows])
-            yield _packet([(int(rows[:, 1].sum(dtype=np.uint64) % np.uint64(groups)), None, None, None, None, None, whole.tobytes())])
+            yield _packet([(int(rows[:, 1].sum(dtype=np.uint64) % np.uint64(groups)), None, None, None, None, whole.tobytes(), sketches)])
             if size > packet:
                 yield from packed(held)
                 held, size = [], 0
@@ -224,8 +257,8 @@ def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFr
     return map_batches(docs, run, _PACKETS)
 
 
-#: kind 0: sets a and b share a signature; 1: set a is in the large bucket c, whose least is b; 2: row id a has a set of b features, key (c, d).
-_FOUND = "kind byte, a long, b long, c long, d long"
+#: kind 0: sets a and b share a signature; 1: set a is in the large bucket c, whose least is b; 2: row id a has a set of b features, key (c, d), sketch s.
+_FOUND = "kind byte, a long, b long, c long, d long, s binary"
 _PAIR, _MEMBER, _ROW = range(3)
 
 
@@ -233,10 +266,10 @@ def _buckets(packets: DataFrame, small: int) -> DataFrame:
     """What the packets of each group say."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
 
-    def batch(kind: int, columns: list[np.ndarray], null: np.ndarray | None = None) -> pa.RecordBatch:
+    def batch(kind: int, columns: list[np.ndarray], null: np.ndarray | None = None, sketches: pa.Array | None = None) -> pa.RecordBatch:
         n = len(columns[0])
         arrays = [pa.array(signed(np.ascontiguousarray(c).view(np.uint64)), mask=null if j == 0 else None) for j, c in enumerate(columns)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *arrays], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *arrays, pa.nulls(n, pa.binary()) if sketches is None else sketches], names)
 
     def join(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(sig)
@@ -270,14 +303,14 @@ def _buckets(packets: DataFrame, small: int) -> DataFrame:
             p = np.uint64(group.column("p")[0].as_py())
             sigs, keys = [], []
             for part in group.to_batches():
-                for low, high, key, many, sets in zip(*(part.column(n) for n in ("low", "high", "key", "many", "sets"))):
+                for low, high, key, many, sets, sketches in zip(*(part.column(n) for n in ("low", "high", "key", "many", "sets", "sketches"))):
                     if sets.is_valid:
                         rows = np.frombuffer(sets.as_buffer(), np.uint64).reshape(-1, 5)
-                        yield batch(_ROW, [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4]], rows[:, 1] == 0)
+                        yield batch(_ROW, [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4]], rows[:, 1] == 0, sketches.values)
                         continue
                     s = np.frombuffer(low.as_buffer(), np.uint32).astype(np.uint64) | np.frombuffer(high.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(32)
                     sigs.append(s | (p << np.uint64(40)))
-                    keys.append(np.repeat(np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(many.as_buffer(), np.uint32)))
+                    keys.append(np.repeat(np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(many.as_buffer(), np.uint16)))
             if sigs:
                 yield from join(np.concatenate(sigs), np.concatenate(keys))
 
@@ -287,6 +320,56 @@ def _buckets(packets: DataFrame, small: int) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
+def _plausible_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` that sketches don't rule out."""
+    side = lambda x: classes.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            sa, sb = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            keep = np.zeros(len(na), bool)
+            shapes = np.array([(len(x), len(y)) for x, y in zip(sa, sb)]).reshape(-1, 2)
+            for shape in np.unique(shapes, axis=0):
+                some = np.flatnonzero((shapes == shape).all(axis=1))
+                width = 2 * int(shape.min())
+                step = max(1, (1 << 23) // width)
+                for low in range(0, len(some), step):
+                    at = some[low : low + step]
+                    keep[at] = plausible(_counters([sa[k] for k in at.tolist()], width), _counters([sb[k] for k in at.tolist()], width), na[at], nb[at], num, den)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+
+    held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return map_batches(held, run, "a long, b long")
+
+
+def _plausible_ties(units: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of different components ``comp`` that sketches don't rule out, in each unit (g, bi, bj)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 3):
+            keys, blk, comp, size = (group.column(n).to_numpy() for n in ("k1", "blk", "comp", "n"))
+            one, two = (np.flatnonzero(blk == group.column(n)[0].as_py()) for n in ("bi", "bj"))
+            if not len(one) or not len(two) or len(np.unique(comp)) < 2:
+                continue
+            sketches = group.column("s").to_pylist()
+            width = 2 * min(map(len, sketches))
+            counters = np.empty((len(sketches), width), np.int8)
+            for n in {len(x) for x in sketches}:
+                some = [k for k, x in enumerate(sketches) if len(x) == n]
+                counters[some] = _counters([sketches[k] for k in some], width)
+            tree = Forest(len(keys))
+            for i in one.tolist():  # a row at a time: memory doesn't grow with the square of a block
+                ok = two[comp[two] != comp[i]]
+                ok = ok[plausible(counters[i][None, :], counters[ok], size[i], size[ok], num, den)]
+                if len(ok):
+                    tree.add(np.full(len(ok), i), ok)
+            if tree.left:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[tree.left]), pa.array(keys[tree.right])], ["a", "b"])
+
+    return map_batches(units, run, "a long, b long")
+
+
 def _featured(needs: DataFrame, docs: DataFrame, k: int, shape: str, names: list[str]) -> DataFrame:
     """``needs`` (id, k1, k2, units: arrays of structs of ``names``) with the features of their sets, a row per unit."""
 
@@ -379,26 +462,34 @@ def _verify_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(rows, run, "a long, b long")
 
 
-def _unresolved(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame | None:
-    """(g, bi, bj, blk, comp, id, k1, k2): units of the sets of large buckets that the links so far don't tie, None if all are.
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (g, comp, tie, ...) in units in which what isn't in the largest component of a group meets all others of it."""
+    top = rows.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"))
+    top = top.select("g", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.m")).alias("n_home"), F.col("top.m").alias("n_other"))
+    return meetings(spread_join(rows, top, "g", "tie").withColumn("home", F.col("comp") != F.col("main")))
+
 
-    Buckets that hang together are one cluster g. What is in its largest component meets all others, but not one another.
+def _unresolved(members: DataFrame, classes: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame | None:
+    """(g, bi, bj, blk, comp, id, k1, k2): units of the sets of large buckets that may be linked and aren't tied by the links so far, None if there are none.
+
+    Within a bucket, sets of different components are compared by sketches, block by block; what hangs together by what is left is a cluster g.
     """
     spark = members.sparkSession
     reach = connected_components(links)
-    named = classes.select("k1", F.col("first").alias("id")).join(reach, "id", "left").select("k1", F.coalesce("component", "id").alias("comp"))
-    held, path = scratch_table(members.select(F.col("a").alias("k1"), F.col("b").alias("least"), F.col("c").alias("bucket")).join(named, "k1"), "members")
-    open_ = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    if open_.isEmpty():
-        discard(spark, path)
+    named = classes.select("k1", "k2", "n", "s", F.col("first").alias("id")).join(reach, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    named, one = scratch_table(named, "named")
+    held, two = scratch_table(members.select(F.col("a").alias("k1"), F.col("c").alias("g")).join(named.select("k1", "n", "s", "comp"), "k1"), "members")
+    open_ = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
+    units = _placed(held.join(open_, "g", "left_semi").withColumn("tie", F.xxhash64("k1"))).select("g", "bi", "bj", "blk", "comp", "k1", "n", "s")
+    ties, three = scratch_table(_plausible_ties(units.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den).distinct(), "ties")
+    discard(spark, two)
+    if ties.isEmpty():
+        discard(spark, one, three)
         return None
-    left = held.join(open_, "bucket")
-    clusters = connected_components(left.select(F.col("least").alias("a"), F.col("k1").alias("b")))
-    every = clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")).join(named, "k1").join(classes.select("k1", "k2", "first", "n"), "k1")
-    top = every.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"))
-    top = top.select("g", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.m")).alias("n_home"), F.col("top.m").alias("n_other"))
-    rows = spread_join(every.withColumn("tie", F.xxhash64("k2")), top, "g", "tie").withColumn("home", F.col("comp") != F.col("main"))
-    return meetings(rows).select("g", "bi", "bj", "blk", "comp", F.col("first").alias("id"), "k1", "k2")
+    clusters = connected_components(ties)
+    discard(spark, three)
+    every = clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")).join(named.select("k1", "k2", "id", "comp"), "k1")
+    return _placed(every.withColumn("tie", F.xxhash64("k2"))).select("g", "bi", "bj", "blk", "comp", "id", "k1", "k2")
 
 
 def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
@@ -406,7 +497,7 @@ def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     pairs = found.where(f"kind = {_PAIR}").select("a", "b")
     members = found.where(f"kind = {_MEMBER}")  # of large buckets
     stars = members.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs, one = scratch_table(pairs.unionByName(stars).distinct(), "pairs")
+    pairs, one = scratch_table(_plausible_pairs(pairs.unionByName(stars).distinct(), classes, num, den), "pairs")
     # units of one set and so many others that they fit together
     centre = pairs.groupBy("a").agg(F.count("*").alias("deg")).withColumnRenamed("a", "k1").join(classes.select("k1", "n"), "k1")
     centre = centre.groupBy("k1").agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("deg") * F.col("n") / UNIT))).cast("int").alias("cuts"))
@@ -418,7 +509,7 @@ def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     rows = _featured(needs, docs, k, "ua long, us int, role int", ["ua", "us", "role"])
     links, two = scratch_table(_verify_pairs(rows.repartition("ua", "us").sortWithinPartitions("ua", "us", "role"), num, den), "links")
     paths = [one, two]
-    if not members.isEmpty() and (work := _unresolved(members, classes, links)) is not None:
+    if not members.isEmpty() and (work := _unresolved(members, classes, links, num, den)) is not None:
         names = ["g", "bi", "bj", "blk", "comp"]
         needs = work.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct(*names)).alias("units"))
         rows = _featured(needs, docs, k, "g long, bi int, bj int, blk int, comp long", names)
@@ -445,12 +536,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 20_000_000 + 1)
     packets = _packets(docs, k, num, den, groups).repartitionById(groups, "p").sortWithinPartitions("p")
     found, one = scratch_table(_buckets(packets, SMALL), "buckets")
-    sets = found.where(f"kind = {_ROW}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
-    classes, two = scratch_table(sets.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first")), "classes")
+    sets = found.where(f"kind = {_ROW}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"), "s")
+    classes, two = scratch_table(sets.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.first("s").alias("s")), "classes")
     links, paths = _links(found, classes, docs.where("id is not null and text is not null"), k, num, den)
     reach = connected_components(links).withColumnRenamed("id", "first")
     named = classes.join(reach, "first", "left").select("n", "k1", "k2", F.coalesce("component", "first").alias("component"))
-    rows, _ = scratch_table(sets.join(named, ["n", "k1", "k2"], "left").select("id", "n", "component"), "components")
+    rows, _ = scratch_table(sets.drop("s").join(named, ["n", "k1", "k2"], "left").select("id", "n", "component"), "components")
     discard(spark, one, two, *paths)
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -464,7 +555,7 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: s
     names = docs.columns
     i, r = fresh(names, "id", "row")
     found, _ = scratch_table(jaccard_components(docs, k, num, den, id, text).where(F.col("n_shingles") > 0), "groups")
-    gone = found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(i)).distinct()
+    gone, _ = scratch_table(found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(i)).distinct(), "gone")  # often few: Spark sees how many
     kept = docs.join(gone, F.col(id).cast("long") == F.col(i), "left_anti")
     twice = found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias(i)).count().where("count > 1").drop("count")
     if twice.isEmpty():

@@ -85,6 +85,24 @@ def test_sets_that_share_most_pieces_by_chance():
     assert np.unique(sig, return_counts=True)[1].max() <= 6
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.choice([1, 5, 60, 250, 260, 2000]))).astype(np.uint64))
+        keep = a[rng.random(len(a)) < rng.choice([0.7, 0.9, 0.99])]
+        b = np.unique(np.append(keep, rng.integers(0, 1 << 62, int(len(a) * rng.choice([0, 0.02, 0.2]))).astype(np.uint64)))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        one, two = jaccard.sketch(a), jaccard.sketch(b)
+        width = 2 * min(len(one), len(two))
+        found = jaccard.plausible(jaccard._counters([one], width), jaccard._counters([two], width), np.array([len(a)]), np.array([len(b)]), 80, 100)[0]
+        assert found or 100 * both < 80 * (len(a) + len(b) - both)
+    other = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+    a = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+    assert not jaccard.plausible(jaccard._counters([jaccard.sketch(a)], 32), jaccard._counters([jaccard.sketch(other)], 32), np.array([500]), np.array([500]), 80, 100)[0]
+
+
 def test_large_buckets(spark, monkeypatch):
     """Groups of near copies that hang together by chains, all through large buckets."""
     monkeypatch.setattr(jaccard, "SMALL", 2)
