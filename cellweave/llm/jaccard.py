@@ -35,7 +35,7 @@ SPARE = (0.1, 0.15, 0.22, 0.3)
 SMALL = 32
 
 #: Features signed at a time, signatures of a packet, and features (times rows) of a unit of verification.
-SIGNED, PACKET, UNIT = 1 << 21, 1 << 20, 1 << 21
+SIGNED, PACKET, UNIT = 1 << 19, 1 << 19, 1 << 20
 
 _PART, _PIECE, _VALUE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
