@@ -1,8 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles are put into size bands; inside a band, similarity bounds the symmetric
-difference by k. The feature domain is cut into more than k / 2 parts, each into 3 pieces: some part differs in
-at most one feature, so two of its pieces are equal, and hashes of such pairs of pieces are
+difference by k. The feature domain is cut into more than k / (u + 1) parts, each into u + 2 pieces: some part differs in
+at most u features, so two of its pieces are equal, and hashes of such pairs of pieces are
 signatures that two similar sets must share. Sets that share a signature are candidates, each pair of them or, where many share
 one, first each with the least; sketches rule most of those out that share some words only, and the features of the others meet.
 What is still untied in a large bucket is compared in blocks of bounded size, by sketches and then by features.
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, WORDS, discard, fresh, map_batches, mix, scratch_table, shingles, signed, sorted_groups, utf8, words
 from .graph import Forest, connected_components, forest, meetings, spread_join
 
-#: Weak signatures are refined at most so many times.
-REFINED = 2
+#: Weak signatures are refined at most so many times; and so many of a set's, on average, at most.
+REFINED, MOST_REFINED = 2, 1.5
 
 #: Parts beyond those that the pigeonhole needs, as shares of them that are tried.
-SPARE = (0.1, 0.15, 0.22, 0.3)
+SPARE = (0.0, 0.06, 0.1, 0.15, 0.22, 0.3, 0.4)
 
 #: Sets of a bucket that all meet; in larger ones all meet the least first.
 SMALL = 32
@@ -56,26 +56,33 @@ def band_rule(band: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]
     signature is weak, and the pairs of a part's pieces that make its signatures.
 
     Two sets of sizes up to ``high`` and similarity num / den differ in at most
-    k = 2 * high * (den - num) / (den + num) features. A small k is met by one part of k + 2 pieces:
-    two of them are equal. Else at most k // 2 parts differ in two features or more, so of
-    k // 2 + 1 + spare parts of 3 pieces spare + 1 have two equal pieces. Weak are signatures of none or one feature, or of
-    none, or no signature at all: the most for which twice the weak parts to be expected of a set can be spared.
+    k = 2 * high * (den - num) / (den + num) features. At most k // (u + 1) parts differ in more than u, so of
+    k // (u + 1) + 1 + spare parts of u + 2 pieces spare + 1 have two equal pieces. Weak are signatures of no feature, or of
+    under two. Of all ways the one of fewest signatures, refined ones counted, is taken; where over MOST_REFINED of a set's would have to be
+    refined, as for low similarities, no signature counts as weak.
     """
     low = 1
     for _ in range(band):
         low = low * den // num + 1
     high = low * den // num
     k = 2 * high * (den - num) // (den + num)
-    if k <= 4:
-        return 1, 0, 2, _pairs(k + 2)
-    need = k // 2 + 1
-    for least in (2, 1):
+    found = []
+    for uneven in range(1, 9):  # differences that a part may have: two of its uneven + 2 pieces are equal
+        need, pairs = k // (uneven + 1) + 1, (uneven + 2) * (uneven + 1) // 2
         for share in SPARE:
-            spare = max(1, round(share * need))
-            features = 2 * low / (3 * (need + spare))
-            if 6 * np.exp(-features) * (1 + features * (least - 1)) * (need + spare) <= spare:
-                return need + spare, spare, least, _pairs(3)
-    return need, 0, 0, _pairs(3)
+            spare = max(1, round(share * need)) if share else 0
+            own = (need + spare) * pairs
+            for least in (1, 2):
+                features = 2 * low * np.sqrt(num / den) / ((uneven + 2) * (need + spare))  # between the two bands that use the rule
+                weak = own * np.exp(-features) * (1 + features * (least - 1))
+                fits = np.exp(-weak) * sum(np.cumprod([1.0, *(weak / j for j in range(1, spare + 1))]))
+                more = weak * max(0.0, 1 - fits)  # signatures that are refined
+                if more <= MOST_REFINED:
+                    found.append((own * (1 + more) * (1.3 if least == 1 else 1.0), need + spare, spare, least, uneven + 2))
+    if found:
+        _, parts, spare, least, pieces = min(found)
+        return parts, spare, least, _pairs(pieces)
+    return k // 2 + 1, 0, 0, _pairs(3)
 
 
 def _pairs(pieces: int) -> np.ndarray:

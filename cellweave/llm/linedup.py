@@ -377,7 +377,8 @@ def delete_repeats(docs: DataFrame, min_words: int = 20, id: str = "doc_id", tex
     runs, paths = _runs(docs, th, min_words, id, text, True)
     runs, _ = scratch_table(runs.groupBy(F.col("id").alias(i), F.col("th").alias(t)).agg(F.collect_list(F.struct("first", "last")).alias(r)), "runs")
     discard(docs.sparkSession, *paths)
-    rows = docs.withColumns({i: F.col(id).cast("long"), t: th}).join(runs, [i, t], "left").select(*names, r)
+    # runs grow with the documents: the same join at every size
+    rows = docs.withColumns({i: F.col(id).cast("long"), t: th}).join(runs.hint("merge"), [i, t], "left").select(*names, r)
     at = names.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
