@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,11 @@ def band_rule(band: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]
             spare = max(1, round(share * need)) if share else 0
             own = (need + spare) * pairs
             for least in (1, 2):
-                features = 2 * low * np.sqrt(num / den) / ((uneven + 2) * (need + spare))  # between the two bands that use the rule
-                weak = own * np.exp(-features) * (1 + features * (least - 1))
-                fits = np.exp(-weak) * sum(np.cumprod([1.0, *(weak / j for j in range(1, spare + 1))]))
+                features = 2 * low * sqrt(num / den) / ((uneven + 2) * (need + spare))  # between the two bands that use the rule
+                weak = max(1e-9, own * exp(-features) * (1 + features * (least - 1)))
+                fits = sum(exp(j * log(weak) - weak - lgamma(j + 1)) for j in range(spare + 1))  # Poisson
                 more = weak * max(0.0, 1 - fits)  # signatures that are refined
-                if more <= MOST_REFINED:
+                if more <= min(MOST_REFINED, 300 / own):  # a large set that must refine makes very many
                     found.append((own * (1 + more) * (1.3 if least == 1 else 1.0), need + spare, spare, least, uneven + 2))
     if found:
         _, parts, spare, least, pieces = min(found)
