@@ -6,7 +6,6 @@ is relational stand below them.
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Sequence
 
@@ -177,7 +176,7 @@ def shared_checkpoints(spark: SparkSession) -> None:
         return
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cellweave-")
     sc.setCheckpointDir(found)
