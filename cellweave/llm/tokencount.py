@@ -1,7 +1,7 @@
 """Token counts per document by a map-side two-tier lookup.
 
 A text is cut into pre-tokens that no vocabulary piece crosses. Tier one is a broadcast table of
-the lengths of frequent pre-tokens, tier two a bounded cache in each Python worker, filled by the
+the lengths of pre-tokens that are frequent in the whole corpus, tier two a bounded cache in each Python worker, filled by the
 tokenizer itself. No pre-token is shuffled; the result is the tokenizer's own count.
 """
 
@@ -113,21 +113,74 @@ class Counts:
         return [self.pieces.whole(t) if c is None else sum(map(get, c)) for t, c in zip(texts, cut)]
 
 
-def frequent_lengths(docs: DataFrame, path: str, entries: int = 50_000, sample_docs: int = 2000, sample_chars: int = 4000) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens among the starts of some documents.
+class Summary:
+    """Counts of the frequent among very many pre-tokens (Misra-Gries): at most ``held`` survive a cut.
 
-    The sample (at most ``sample_docs`` rows of ``sample_chars`` characters) only decides which
-    lengths are broadcast, never a count; the table has ``entries`` entries of at most
-    CACHED_CHARS characters.
+    Of N pre-tokens, one that stands more than N / held times is kept, also by a summary of summaries.
+    """
+
+    def __init__(self, held: int):
+        self.held, self.counts = held, Counter()
+
+    def cut(self, room: int = 1) -> None:
+        if len(self.counts) > room * self.held:
+            counts = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+            least = int(np.partition(counts, -self.held - 1)[-self.held - 1])
+            self.counts = Counter({p: n - least for p, n in self.counts.items() if n > least})
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        keys = list(self.counts)
+        for low in range(0, len(keys), 10_000):
+            some = keys[low : low + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([self.counts[p] for p in some], pa.int64())], ["pretoken", "n"])
+
+
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, about a megabyte at a time; a null is an empty text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + (1 << 20))))
+        yield [t or "" for t in texts.slice(low, high - low).to_pylist()]
+        low = high
+
+
+def frequent_lengths(docs: DataFrame, path: str, entries: int = 50_000, text: str = "text") -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of at most CACHED_CHARS characters of all documents.
+
+    Each task sums its whole texts up to 2 * ``entries`` rows; these summaries, never pre-tokens, go on to fewer
+    tasks and then to one, and ``entries`` rows at most to the driver. They only decide which lengths are broadcast, never a count.
     """
     pieces = load_pieces(path)
     if not pieces.splits:
         return {}
-    rows = docs.where("text is not null").select(F.substring("text", 1, sample_chars).alias("text")).limit(sample_docs).collect()
-    seen: Counter = Counter()
-    for row in rows:
-        seen.update(p for p in pieces.pretokens(row.text) or () if len(p) <= CACHED_CHARS)
-    top = [p for p, n in seen.most_common(entries) if n > 1]
+    held, shape = 2 * entries, "pretoken string, n long"
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = load_pieces(path), Summary(held)
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                some: Counter = Counter()
+                for t in texts:
+                    some.update(own.pretokens(t) or ())
+                seen.counts.update({p: n for p, n in some.items() if len(p) <= CACHED_CHARS})
+                seen.cut(3)
+        yield from seen.batches()
+
+    def of_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Summary(held)
+        for batch in batches:
+            for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.counts[p] += n
+            seen.cut(3)
+        yield from seen.batches()
+
+    some = map_batches(docs.select(text), of_texts, shape).withColumn("task", F.spark_partition_id())
+    some = map_batches(some.repartition("task").drop("task"), of_summaries, shape)
+    some = map_batches(some.repartition(1), of_summaries, shape)
+    top = [r.pretoken for r in some.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(entries).collect()]
     return dict(zip(top, pieces.lengths(top))) if top else {}
 
 
@@ -145,13 +198,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, text: str =
         counts = Counts(load_pieces(tokenizer), frequent.value)
         for batch in batches:
             texts = batch.column(1)
-            n_tokens: list[int] = []
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            low = 0
-            while low < len(texts):  # about a megabyte of text at a time
-                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), 1 << 20)))
-                n_tokens += counts.count([t or "" for t in texts.slice(low, high - low).to_pylist()])
-                low = high
+            n_tokens = [n for some in slices(texts) for n in counts.count(some)]
             n = np.array(n_tokens, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

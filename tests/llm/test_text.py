@@ -90,6 +90,29 @@ def test_token_cache_overflow(monkeypatch):
         assert counts.count(texts) == [pieces.whole(t) for t in texts]
 
 
+def test_frequent_pretokens_are_those_of_whole_texts(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    late = "first " * 3000 + "late " * 1000  # behind any prefix
+    texts = [None, "", *(f"own{k} here" for k in range(3000)), late]
+    found = tokencount.frequent_lengths(table(spark, texts).repartition(7), path, entries=3)
+    assert set(found) == {"▁first", "▁here", "▁late"}
+    assert found == dict(zip(found, tokencount.load_pieces(path).lengths(list(found))))
+    assert tokencount.frequent_lengths(table(spark, []), path) == {}
+
+
+def test_summary_keeps_the_frequent():
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(4000)}" for _ in range(20_000)] + [f"hot{k % 5}" for k in range(5000)]
+    rng.shuffle(words)
+    seen = tokencount.Summary(50)
+    for low in range(0, len(words), 100):
+        seen.counts.update(words[low : low + 100])
+        seen.cut(3)
+    kept = {p for b in seen.batches() for p in b.column(0).to_pylist()}
+    assert len(kept) <= 50 and kept >= {f"hot{k}" for k in range(5)}
+
+
 def test_token_counts(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("piece_bpe_32k.model")
