@@ -457,31 +457,56 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, con
 
 
 class _Reader:
-    """Reads formatted pieces back as they come, holding one turn at most."""
+    """Reads formatted text back as it comes, holding one turn at most: from its characters and the spans learned from alone."""
 
     def __init__(self):
-        self.buffer, self.marked, self.turns, self.chars, self.loss_chars = [], [], 0, 0, 0
+        self.buffer: list[str] = []
+        self.tail, self.at, self.chars = "", 0, 0  # the last characters, where the buffer starts, all characters
+        self.spans: list[list[int]] = []
+        self.turns = self.loss_chars = 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, piece: str, learned: bool) -> None:
-        self.buffer.append(piece)
-        self.chars += len(piece)
-        if learned:
-            self.marked.append(piece)
-        if piece == END and not learned and (m := _TURN.fullmatch("".join(self.buffer))):
+    def add(self, text: str, learned: bool) -> None:
+        """The next characters, however they are cut, and whether they are in a span."""
+        start, self.chars = self.chars, self.chars + len(text)
+        if learned and text:
+            if self.spans and self.spans[-1][1] == start:
+                self.spans[-1][1] = self.chars
+            else:
+                self.spans.append([start, self.chars])
+        self.buffer.append(text)
+        seen = self.tail + text
+        self.tail = seen[1 - len(END) :]
+        if END in seen:
+            self._read()
+
+    def _read(self) -> None:
+        text, done = "".join(self.buffer), 0
+        while (stop := text.find(END, done) + len(END)) >= len(END):
+            m = _TURN.fullmatch(text, done, stop)
+            if not m:
+                raise ValueError(f"not a turn: {text[done : done + 80]!r}")
             self.turns += 1
             self.all.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-            text = unescape("".join(self.marked))
-            self.loss.update(text.encode())
-            self.loss_chars += len(text)
-            self.buffer, self.marked = [], []
+            low, high = self.at + done, self.at + stop
+            learned = unescape("".join(text[max(a, low) - self.at : min(b, high) - self.at] for a, b in self.spans if a < high and b > low))
+            self.loss.update(learned.encode())
+            self.loss_chars += len(learned)
+            done = stop
+        self.buffer, self.at = [text[done:]], self.at + done
+        self.tail = self.buffer[0][1 - len(END) :]
+        self.spans = [s for s in self.spans if s[1] > self.at]
+
+    def end(self) -> None:
+        if any(self.buffer):
+            raise ValueError("text after the last turn")
 
 
 def digests(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read back from the formatted text.
 
-    The output of TEMPLATE is read while it is made: memory holds one turn, however long a
-    conversation is. Order, nulls and ties are those of ``format_conversations``.
+    The output of TEMPLATE is parsed while it is made, from its characters and its spans alone: memory holds
+    one turn, however long a conversation is. Order, nulls and ties are those of ``format_conversations``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,8 +519,7 @@ def digests(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
             reader = _Reader()
             for piece, learned in made({"messages": turns}):
                 reader.add(piece, learned)
-            if reader.buffer:
-                raise ValueError(f"conversation {key} can't be read back")
+            reader.end()
             out.append((key, reader.turns, reader.all.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars))
             if len(out) == 4096:
                 yield batch()

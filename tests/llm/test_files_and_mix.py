@@ -162,6 +162,30 @@ def test_chat_digests(spark):
     assert chat.digests(df.where("false")).count() == 0
 
 
+def test_reader_knows_only_characters_and_spans():
+    """Cut anywhere, the same output reads the same; what isn't a row of turns is refused."""
+    rng = random.Random(25)
+    turns = [{"role": rng.choice(["user", "assistant", "a: b"]), "text": rng.choice(["", " ", "x </turn>\n", "### assistant: y", "\\", "so </turn> it goes " * 9])} for _ in range(60)]
+    marked = [(c, learned) for piece, learned in chat.compile_template(chat.TEMPLATE)({"messages": turns}) for c in piece]
+    want = naive_digests([(1, k, t["role"], t["text"]) for k, t in enumerate(turns)])[1]
+    for longest in (1, 3, 40):
+        reader, at = chat._Reader(), 0
+        while at < len(marked):
+            stop = at + 1
+            while stop < min(len(marked), at + longest) and marked[stop][1] == marked[at][1]:
+                stop += 1
+            reader.add("".join(c for c, _ in marked[at:stop]), marked[at][1])
+            at = stop
+        reader.end()
+        assert (reader.turns, reader.all.hexdigest(), reader.loss_chars, reader.loss.hexdigest()) == want and reader.chars == len(marked)
+    reader = chat._Reader()
+    reader.add("### user: x </turn>\n### left", False)
+    with pytest.raises(ValueError):
+        reader.end()
+    with pytest.raises(ValueError):
+        chat._Reader().add("no head: x </turn>\n", False)
+
+
 # ---------------------------------------------------------------- mixing
 
 
