@@ -22,6 +22,9 @@ from .common import map_batches
 #: Longest pre-token that is cached, and most entries in a worker's cache.
 CACHED_CHARS, CACHE_ENTRIES = 48, 400_000
 
+#: How many summaries of frequent pre-tokens a task merges, or a little more.
+MERGED = 16
+
 SPACE = "▁"
 
 
@@ -150,8 +153,8 @@ def slices(texts: pa.Array) -> Iterator[list[str]]:
 def frequent_lengths(docs: DataFrame, path: str, entries: int = 50_000, text: str = "text") -> dict[str, int]:
     """Lengths of the most frequent pre-tokens of at most CACHED_CHARS characters of all documents.
 
-    Each task sums its whole texts up to 2 * ``entries`` rows; these summaries, never pre-tokens, go on to fewer
-    tasks and then to one, and ``entries`` rows at most to the driver. They only decide which lengths are broadcast, never a count.
+    Each task sums its whole texts up to 2 * ``entries`` rows; these summaries, never pre-tokens, are merged
+    about MERGED at a time, as a tree, and ``entries`` rows at most reach the driver. They only decide which lengths are broadcast, never a count.
     """
     pieces = load_pieces(path)
     if not pieces.splits:
@@ -179,6 +182,10 @@ def frequent_lengths(docs: DataFrame, path: str, entries: int = 50_000, text: st
 
     some = map_batches(docs.select(text), of_texts, shape).withColumn("task", F.spark_partition_id())
     some = map_batches(some.repartition("task").drop("task"), of_summaries, shape)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > MERGED:
+        parts = -(-parts // MERGED)
+        some = map_batches(some.withColumn("task", F.spark_partition_id() % parts).repartition(parts, "task").drop("task"), of_summaries, shape)
     some = map_batches(some.repartition(1), of_summaries, shape)
     top = [r.pretoken for r in some.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(entries).collect()]
     return dict(zip(top, pieces.lengths(top))) if top else {}

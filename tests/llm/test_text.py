@@ -90,7 +90,8 @@ def test_token_cache_overflow(monkeypatch):
         assert counts.count(texts) == [pieces.whole(t) for t in texts]
 
 
-def test_frequent_pretokens_are_those_of_whole_texts(spark):
+def test_frequent_pretokens_are_those_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "MERGED", 2)
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("piece_bpe_32k.model")
     late = "first " * 3000 + "late " * 1000  # behind any prefix
