@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embdedup, jaccard, langid, linedup, mixing, tokencount, toxicity, warc
+from . import align, chat, decontam, embdedup, jaccard, langid, linedup, merkle, mixing, quality, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.selectExpr("id AS doc_id", "first AS first_word", "last - first AS n_words", "sid AS source_doc_id", "sfirst AS source_word")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -70,6 +84,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _COMPONENTS = """
@@ -82,6 +99,35 @@ _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHI
 
 _ESCAPED = "length({0}) + length(regexp_extract_all({0}, '[\\\\#:<]'))"
 
+#: Levels of a tree that the SQL of op11 knows: groups of up to 8^7 rows.
+_LEVELS = 7
+
+
+def _merkle_levels(name: str, leaves: str) -> str:
+    """Tables name0 (of g, i, n, d: group, index, nodes on the level, digest), name1, ...; what is alone on its level stays as it is."""
+    up = "SELECT g, i // 8 AS i, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {0} GROUP BY g, i // 8"
+    return f"{name}0 AS ({leaves}),\n" + ",\n".join(f"{name}{k + 1} AS ({up.format(f'{name}{k}')})" for k in range(_LEVELS))
+
+
+def _merkle_siblings(name: str, level: int, group: str, place: str) -> str:
+    """(doc_id, lev, before, after) of every leaf on one level."""
+    number = level if name == "t" else _LEVELS + level
+    return f"""SELECT l.doc_id, {number} AS lev, coalesce(string_agg(x.d, '' ORDER BY x.i) FILTER (WHERE x.i < {place} // {8**level}), '') AS a, coalesce(string_agg(x.d, '' ORDER BY x.i) FILTER (WHERE x.i > {place} // {8**level}), '') AS b, max(x.n) = 1 AS one
+  FROM leaf l LEFT JOIN {name}{level} x ON x.g = {group} AND x.i // 8 = {place} // {8 ** (level + 1)} GROUP BY l.doc_id"""
+
+
+_FIELDS = "concat_ws('', {0}, {1}, {2}, {3}, {4})".format(*(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a decimal, character by character and bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+
+
+def _merkle_folds() -> str:
+    """Tables f0, f1, ...: what each row's leaf has become after that many levels."""
+    step = "SELECT f.doc_id, CASE WHEN s.a || s.b = '' AND s.one THEN f.d ELSE sha256(s.a || f.d || s.b) END AS d FROM {0} f JOIN side s ON s.doc_id = f.doc_id AND s.lev = {1}"
+    return ",\n".join(f"f{k + 1} AS ({step.format(f'f{k}', k)})" for k in range(2 * _LEVELS))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
@@ -106,4 +152,15 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON q.s = p.s AND q.doc_id > p.doc_id GROUP BY 1, 2),
 links AS (SELECT c.a, c.b FROM common c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.k >= 85 * (x.n + y.n - c.k)),{_COMPONENTS}
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.least, w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least l ON l.id = w.doc_id""",
+    "op11_merkle_manifest": f"""
+WITH leaf AS (SELECT doc_id, coalesce(lang, '') || CASE WHEN lang IS NULL THEN '0' ELSE '1' END AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, sha256({_FIELDS}) AS d,
+  dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(coalesce(lang, ''))) - 1 AS r, {_CRC32} % 3 = 0 AS hit, sha256({_FIELDS.replace("(text ", "(" + _LOWERED + " ")}) AS changed FROM documents),
+{_merkle_levels("t", "SELECT g, i, n, d FROM leaf")},
+{_merkle_levels("u", f"SELECT 0 AS g, l.r AS i, (SELECT count(DISTINCT g) FROM leaf) AS n, t.d FROM (SELECT DISTINCT g, r FROM leaf) l JOIN t{_LEVELS} t ON t.g = l.g")},
+side AS ({" UNION ALL ".join([_merkle_siblings("t", k, "l.g", "l.i") for k in range(_LEVELS)] + [_merkle_siblings("u", k, "0", "l.r") for k in range(_LEVELS)])}),
+f0 AS (SELECT doc_id, CASE WHEN hit THEN changed ELSE d END AS d FROM leaf),
+{_merkle_folds()},
+proof AS (SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY lev)) AS p FROM side GROUP BY doc_id)
+SELECT l.doc_id, l.d AS leaf, t.d AS subroot, u.d AS root, p.p AS proof_sha256, f.d AS folded_root, f.d = u.d AS verified
+FROM leaf l JOIN t{_LEVELS} t ON t.g = l.g JOIN proof p ON p.doc_id = l.doc_id JOIN f{2 * _LEVELS} f ON f.doc_id = l.doc_id CROSS JOIN u{_LEVELS} u""",
 }

@@ -18,6 +18,9 @@ COLUMNS = {
     7: {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     8: {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
     9: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    11: {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    12: {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    13: {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
 }
 TABLE = {2: "pages", 3: "conversations", 7: "embeddings"}
 
@@ -40,5 +43,5 @@ def test_columns_and_rows(spark, name):
         assert rows == want
 
 
-def test_all_ten_are_there():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_there():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
