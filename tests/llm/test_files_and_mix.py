@@ -226,7 +226,7 @@ def test_flow_is_of_least_cost():
         k = rng.randrange(1, 4)
         patterns = [(sorted(rng.sample(range(k), rng.randrange(1, k + 1))), rng.randrange(0, 3)) for _ in range(rng.randrange(1, 4))]
         quotas = [rng.randrange(0, 5) for _ in range(k)]
-        flow = mixing.min_cost_flow(patterns, quotas, 2)
+        flow = mixing.min_cost_flow([n for _, n in patterns], [(p, m, 2 * n) for p, (m, n) in enumerate(patterns)], quotas, 2)
         used = [sum(flow.get((p, s), 0) for s in range(k)) for p in range(len(patterns))]
         assert all(v >= 0 and s in patterns[p][0] for (p, s), v in flow.items())
         assert all(sum(flow.get((p, s), 0) for p in range(len(patterns))) <= quotas[s] for s in range(k))
@@ -234,6 +234,84 @@ def test_flow_is_of_least_cost():
         assert (-sum(used), cost) == best_cost(patterns, quotas, 2)
 
 
+def best_shared_cost(sizes, classes, quotas, repeats):
+    """(-words, cost) of the best flow of whole words, by trying all amounts for each class and source."""
+    edges = [(c, s) for c, (_, members, _) in enumerate(classes) for s in members]
+    best = (1, 0)
+
+    def go(k, full, short, used):
+        nonlocal best
+        if k == len(edges):
+            cost = sum(sum(min(x // n + 1 if n else repeats + 1, repeats + 1) for x in range(u)) for n, u in zip(sizes, used))
+            best = min(best, (-sum(used), cost))
+            return
+        c, s = edges[k]
+        p, _, most = classes[c]
+        for amount in range(min(short[s], most - full[c]) + 1):
+            full[c], short[s], used[p] = full[c] + amount, short[s] - amount, used[p] + amount
+            go(k + 1, full, short, used)
+            full[c], short[s], used[p] = full[c] - amount, short[s] + amount, used[p] - amount
+
+    go(0, [0] * len(classes), list(quotas), [0] * len(sizes))
+    return best
+
+
+def test_flow_of_shared_texts_is_of_least_cost():
+    """Several classes of a pattern, each with a limit of its own: words move from class to class and source to source."""
+    rng = random.Random(35)
+    for _ in range(150):
+        k = rng.randrange(1, 4)
+        sizes = [rng.randrange(0, 3) for _ in range(rng.randrange(1, 3))]
+        classes = [(rng.randrange(len(sizes)), sorted(rng.sample(range(k), 1 if rng.random() < 0.7 else rng.randrange(1, k + 1))), rng.randrange(0, 5)) for _ in range(rng.randrange(1, 5))]
+        quotas = [rng.randrange(0, 5) for _ in range(k)]
+        flow = mixing.min_cost_flow(sizes, classes, quotas, 2)
+        used, full = [0] * len(sizes), [0] * len(classes)
+        for (c, s), v in flow.items():
+            assert v > 0 and s in classes[c][1]
+            used[classes[c][0]] += v
+            full[c] += v
+        assert all(f <= most for f, (_, _, most) in zip(full, classes)) and all(sum(v for (_, s), v in flow.items() if s == q) <= quotas[q] for q in range(k))
+        cost = sum(sum(min(x // n + 1 if n else 3, 3) for x in range(u)) for n, u in zip(sizes, used))
+        assert (-sum(used), cost) == best_shared_cost(sizes, classes, quotas, 2)
+
+
+def test_mix_goes_through_the_flow(spark, monkeypatch):
+    """Texts that several sources hold are one supply: what each source takes of them comes from the flow, and they are repeated less than if each
+    source went by itself."""
+    rng = random.Random(36)
+    own = [(k, f"own{k} " + "w " * rng.randrange(5, 30), rng.choice("ab"), 0) for k in range(600)]
+    both = [f"both{k} " + "w " * rng.randrange(5, 30) for k in range(200)]
+    rows = own + [(1000 + 2 * k + j, t, "ab"[j], 0) for k, t in enumerate(both) for j in (0, 1)]
+    rows += [(5000 + k, f"other{k} " * 20, "c", 0) for k in range(300)] + [(9000, None, None, 0), (9001, both[0], "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, pattern int")
+    seen = []
+    plain = mixing.min_cost_flow
+
+    def watched(*given):
+        seen.append((given, plain(*given)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(mixing, "min_cost_flow", watched)
+    got = {r.doc_id: r for r in mixing.mix_sources(df, weights=(1,), share=1.0).collect()}
+    (((sizes, classes, quotas, _), flow),) = seen
+    words = {i: len((t or "").split()) for i, t, _, _ in rows}
+    source = {i: s for i, _, s, _ in rows}
+    assert len(sizes) == 3 and sizes[0] + sizes[1] + sizes[2] == sum(words[i] for i, *_ in own) + sum(len(t.split()) for t in both)
+    for at, s in enumerate("ab"):
+        routed = sum(v for (_, q), v in flow.items() if q == at)
+        taken = sum(r.taken for i, r in got.items() if source[i] == s)
+        assert routed == quotas[at] == round(next(r.target for i, r in got.items() if source[i] == s)) and abs(taken - routed) <= 60
+    uses = {}
+    for i, t, s, _ in rows:
+        if s in ("a", "b"):
+            uses[t] = uses.get(t, 0) + got[i].copies
+    assert all(r.taken <= 2 * words[i] for i, r in got.items())
+    # by itself each source would take the same share of all its rows, and so most shared texts twice
+    again = sum((n - 1) * len(t.split()) for t, n in uses.items() if n > 1)
+    rates = [quotas[k] / sum(words[i] for i, _, s, _ in rows if s == "ab"[k]) for k in (0, 1)]
+    assert again < 0.85 * rates[0] * rates[1] * sum(len(t.split()) for t in both)
+
+
 def test_mix(spark):
     rng = random.Random(26)
     rows = [(k, invented(rng, "aa", rng.randrange(0, 60)), "aa", rng.choice(["a", "b", "é", "Z", None]), 0) for k in range(1500)] + [(5000 + k, t, None, "a", 0) for k, t in enumerate(NASTY)]
