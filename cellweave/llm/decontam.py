@@ -33,11 +33,17 @@ ALONE, BETWEEN = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{M
 
 
 def _spaced(texts: pa.Array) -> pa.Array:
-    """The texts with spaces around what ALONE and BETWEEN match beyond ASCII. Only texts with bytes that such characters have are changed."""
+    """The texts with spaces around what ALONE and BETWEEN match beyond ASCII: a rule for each character, whatever stands around it.
+
+    Texts of which no character could match are left alone, as they would come out the same: those of ASCII (``LETTERS`` cuts at its marks
+    as BETWEEN would) and of U+00C0 to U+00FF, which are letters but for U+00D7 and U+00F7.
+    """
     data, at = utf8(texts)
     if not len(data):
         return texts
-    odd = np.concatenate([[0], np.cumsum((data == 0xC2) | (data >= 0xE0))])
+    sign = np.zeros(len(data), bool)
+    sign[:-1] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    odd = np.concatenate([[0], np.cumsum((data == 0xC2) | (data >= 0xC4) | sign)])
     rows = np.flatnonzero(odd[at[1:]] > odd[at[:-1]])
     if not len(rows):
         return texts

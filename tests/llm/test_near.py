@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontam, embdedup, jaccard, linedup
@@ -336,3 +337,84 @@ def test_leaks_in_scripts_without_spaces(spark):
     docs = spark.createDataFrame([(1, f"前言：{item}。后记"), (2, "日月盈昃辰宿列张，天地玄黄宇宙洪荒"), (3, "天地会的故事，玄黄之间"), (4, "«esto» ¿no?")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, "esto no")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 7), (2, 7), (4, 8)}
+
+
+#: A few words of ten scripts, and marks of each that end a word.
+SCRIPTS = {
+    "latin": ("straße naïve garden stone light œuvre paper", ",;!"), "greek": ("λόγος ποταμός πέτρα φως κήπος χαρτί πρωί", "·;,"), "cyrillic": ("река камень свет сад бумага утро окно", "«»,"), "arabic": ("نهر حجر ضوء حديقة ورق صباح نافذة", "،؛؟"),
+    "hebrew": ("נהר אבן אור גן נייר בוקר חלון", "־׃׀"), "armenian": ("գետ քար լույս այգի թուղթ առավոտ պատուհան", "՝։՞"), "devanagari": ("नदी पत्थर प्रकाश बगीचा कागज सुबह खिड़की", "।॥,"), "georgian": ("მდინარე ქვა სინათლე ბაღი ქაღალდი დილა ფანჯარა", "჻,."),
+    "chinese": ("河石光园纸晨窗", "，。、"), "hangul": ("강물 돌멩이 불빛 정원 종이 아침 창문", "·,!"),
+}
+
+
+def passage(rng, script, n):
+    words, marks = SCRIPTS[script]
+    words = list(words) if script == "chinese" else words.split()
+    return "".join(rng.choice(words) + str(rng.randrange(90)) * (rng.random() < 0.3) + rng.choice([" ", " ", rng.choice(marks) + " ", rng.choice(marks), "×", "÷ ", " — ", "… "]) for _ in range(n))
+
+
+def cut(text):
+    return [x for _, h, _ in decontam.tokens(pa.array([text])) for x in h.tolist()]
+
+
+def test_words_are_the_same_wherever_a_passage_stands():
+    """The rule that cuts words is one for each character: nothing around a passage changes its words."""
+    rng = random.Random(41)
+    for script in SCRIPTS:
+        for _ in range(30):
+            inside = passage(rng, script, rng.randrange(1, 12))
+            before, after = (passage(rng, rng.choice(list(SCRIPTS)), rng.randrange(0, 6)) for _ in range(2))
+            assert cut(f"{before} {inside} {after}") == cut(before) + cut(inside) + cut(after)
+    assert len(cut("3×4 ÷ 5 naïve ßa")) == len(cut("3×4 ÷ 5 naïve ßa —")) == 5
+
+
+def test_a_whole_item_is_found_in_any_surroundings(spark):
+    rng = random.Random(42)
+    items = [(k, passage(rng, script, 20)) for k, script in enumerate(SCRIPTS)]
+    around = [("", ""), ("نص — ", " — نص"), ("a×b ", " «x»"), ("。", "、"), ("plain ", " text"), ("— ", "")]
+    rows = [(100 * k + j, a + t + b) for k, t in items for j, (a, b) in enumerate(around)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontam.find_leaks(docs, bench).collect()}
+    assert {(i, i // 100): 1.0 for i, _ in rows}.items() <= found.items()
+    assert decontam.drop_leaks(docs, bench).count() == 0
+
+
+def plain_leaks(rows, items):
+    """Every document against every item, by the naive tiling over words that a pattern finds."""
+    pattern = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[^\p{P}\p{S}\p{Z}\p{Cc}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
+    number = {}
+    words = lambda t: [number.setdefault(w, len(number)) for w in pattern.findall((t or "").lower())]
+    found = set()
+    for i, text in rows:
+        w = words(text)
+        for k, item in items:
+            v = words(item)
+            if not v:
+                continue
+            if len(v) < decontam.MATCH:
+                hit = any(w[p : p + len(v)] == v for p in range(len(w) - len(v) + 1))
+            else:
+                hit = sum(n for *_, n in naive.tiles(v, w, decontam.MATCH)) >= decontam.COVERAGE * len(v)
+            if hit:
+                found.add((i, k))
+    return found
+
+
+def test_leaks_against_every_pair(spark):
+    """The query's rows, over random texts of ten scripts with parts of items in any order, against the naive tiling of all pairs."""
+    rng = random.Random(43)
+    names = list(SCRIPTS)
+    items = [(k, passage(rng, rng.choice(names), rng.choice([2, 3, 9, 15, 25]))) for k in range(25)] + [(90, None), (91, ""), (92, "—")]
+    rows = []
+    for i in range(120):
+        parts = [passage(rng, rng.choice(names), rng.randrange(0, 15))]
+        for _ in range(rng.randrange(3)):
+            words = rng.choice(items[:25])[1].split(" ")
+            a = rng.randrange(len(words))
+            parts.insert(rng.randrange(len(parts) + 1), " ".join(words[a : a + rng.randrange(1, len(words) + 1)]))
+        rows.append((i, " ".join(parts)))
+    rows += [(900, None), (901, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
+    assert found == plain_leaks(rows, items) and len(found) > 40
+    assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in found}
