@@ -17,8 +17,9 @@ from ..operators.candidates import still_candidates
 from ..operators.identify import identify
 from ..operators.lineage import branch_cells, frame_rows, graph_of, track
 from ..sources.multitime import read_precipitation
+from ..sources.series import read_raster, read_series, write_raster
 from ..sources.tables import canonical_families, finalize_catalog, write_part
-from .queries import FRAMES, STEP, frames, query
+from .queries import FRAMES, STEP, events, frames, frames_of_events, query
 
 SIDE, THRESHOLD = 12, 30.0
 GRID = Grid(SIDE, SIDE)
@@ -28,10 +29,9 @@ HOURS = STEP / 3600
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sequence_id, t, y, x, rain, valid)"""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    e = e.select(F.floor(seconds / STEP).cast("long").alias("t"), (F.col("user_id") % SIDE).cast("int").alias("y"), (F.floor("value") % SIDE).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("c"), (F.col("event_type") == "error").alias("bad"))
-    g = e.where(F.col("t").between(0, FRAMES - 1)).groupBy("t", "y", "x").agg(F.max("c").alias("cents"), (~F.bool_or("bad")).alias("valid"))
+    e = events(spark, sf_dir).select(F.floor(seconds / STEP).cast("long").alias("t"), (F.col("user_id") % SIDE).cast("int").alias("y"), (F.floor("value") % SIDE).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("c"), (F.col("event_type") == "error").alias("bad"))
+    g = e.groupBy("t", "y", "x").agg(F.max("c").alias("cents"), (~F.bool_or("bad")).alias("valid"))
     return g.select(F.lit("events").alias("sequence_id"), "t", "y", "x", (F.col("cents") / 100).alias("rain"), "valid")
 
 
@@ -45,7 +45,7 @@ def _tracked(spark: SparkSession, d: str):
 
 _BASE = f"""
 ev AS (SELECT date_diff('second', TIMESTAMP '2024-01-01', ts) // {STEP} AS t, user_id % {SIDE} AS y, CAST(floor(value) AS BIGINT) % {SIDE} AS x, CAST(round(value * 100) AS BIGINT) AS c, event_type FROM events),
-cells AS (SELECT t, y, x, max(c) AS cents, NOT bool_or(event_type = 'error') AS valid FROM ev WHERE t BETWEEN 0 AND {FRAMES - 1} GROUP BY t, y, x),
+cells AS (SELECT t, y, x, max(c) AS cents, NOT bool_or(event_type = 'error') AS valid FROM ev GROUP BY t, y, x),
 frames AS (SELECT unnest(generate_series(0, {FRAMES - 1})) AS t),
 wet AS (SELECT t, y, x, cents FROM cells WHERE valid AND cents >= {int(THRESHOLD * 100)}),
 flood AS (SELECT t, y, x, y * {SIDE} + x AS root FROM wet UNION SELECT g.t, g.y, g.x, r.root FROM flood r JOIN wet g ON g.t = r.t AND abs(g.y - r.y) <= 1 AND abs(g.x - r.x) <= 1),
@@ -425,9 +425,9 @@ def many_files(spark, d):
     return cells.where("rain > 0").select("t", "y", "x", F.col("rain").cast("long").alias("increment"))
 
 
-@query(f"WITH {_BASE.split(',' + chr(10) + 'wet AS')[0]} SELECT t, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(t), '%Y-%m-%d %H:%M') AS interval_start, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(t + 1), '%Y-%m-%d %H:%M') AS interval_end FROM frames")
+@query(f"WITH {_BASE.split(',' + chr(10) + 'wet AS')[0]} SELECT t, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(t), '%Y-%m-%d %H:%M') AS interval_start, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(t + 1), '%Y-%m-%d %H:%M') AS interval_end FROM (SELECT unnest(generate_series((SELECT min(t) FROM ev), (SELECT max(t) FROM ev))) AS t)")
 def index_times(spark, d):
-    found = preprocess.index_frames(frames(spark).select("sequence_id", F.col("t").alias("sample_index")), origin="2024-01-01 00:00:00")
+    found = preprocess.index_frames(frames_of_events(spark, d).select("sequence_id", F.col("t").alias("sample_index")), origin="2024-01-01 00:00:00")
     return found.select("t", *(F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("interval_start", "interval_end")))
 
 
@@ -496,3 +496,40 @@ def published_catalog(spark, d):
     n = spark.read.parquet(f"{place}/catalog/objects")
     whole_numbers = ("time", "node_id", "branch_id", "family_id", "local_label", "area_cells", "y_start", "y_stop", "x_start", "x_stop")
     return n.select(*whole_numbers, *(_r(c) for c in ("centroid_y", "centroid_x", "mean_intensity", "max_intensity", "precipitation_sum")))
+
+
+# ---------------------------------------------------------------- files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share."""
+    import uuid
+
+    matching.shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH RECURSIVE {_BASE}, gone AS (SELECT DISTINCT c.t - v.d AS t, c.y, c.x FROM cells c, (VALUES (0), (1)) v(d) WHERE NOT c.valid AND c.t - v.d BETWEEN 0 AND {FRAMES - 2})
+SELECT t, y, x, CAST(NULL AS BIGINT) AS increment, false AS valid FROM gone UNION ALL
+SELECT c.t - 1, c.y, c.x, CAST(c.cents AS BIGINT), true FROM cells c WHERE c.valid AND c.t > 0 AND c.cents > 0 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = c.t - 1 AND g.y = c.y AND g.x = c.x)""")
+def series_increments(spark, d):
+    """Running totals, written as array files of 1 to 57 frames, read back as one series: differenced by each split, with no shuffle. What a frame
+    misses is missing in both increments that it ends."""
+    missing = cube(spark, d).where("not valid").select("t", "y", "x", F.lit(float("nan")).alias("gone"))
+    totals = _accumulated(spark, d).join(missing, ["t", "y", "x"], "left").withColumn("total", F.coalesce("gone", F.col("rain").cast("double")))
+    folder = _folder(spark, "series")
+    write_raster(totals, "total", GRID, FRAMES, folder, "float64", cuts=(0, 1, 38, 43, 100))
+    cells, _, _ = read_series(spark, folder, "RAINNC", unit="mm", origin="2024-01-01 00:00:00", samples_per_task=7)
+    return cells.select("t", "y", "x", F.when(F.col("valid"), F.col("rain").cast("long")).alias("increment"), "valid")
+
+
+@query(_sql("SELECT l.t, l.y, l.x, CAST(l.label AS BIGINT) AS label, CAST(n.branch AS BIGINT) AS branch_id FROM lab l JOIN nodes n ON n.t = l.t AND n.label = l.label"))
+def dense_rasters(spark, d):
+    """Label and branch rasters, written as dense arrays and read back."""
+    _, labels, graph = _tracked(spark, d)
+    found = []
+    for name, rows, column, kind in (("labels", labels, "label", "int32"), ("branches", branch_cells(labels, graph.nodes), "branch_id", "int64")):
+        folder = _folder(spark, name)
+        write_raster(rows, column, GRID, FRAMES, folder, kind)
+        found.append(read_raster(spark, folder).withColumnRenamed("value", column))
+    return found[0].join(found[1], ["t", "y", "x"], "full")

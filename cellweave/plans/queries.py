@@ -25,13 +25,19 @@ OPTIONS = TrackOptions(tau=0.35, max_displacement=6.05)  # no pair of objects is
 # ---------------------------------------------------------------- the cube
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sequence_id, t, y, x, cents, rain, valid); an event before the first or after the last frame is an error."""
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table; an event outside of the frames is an error, as it would be lost."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     bounds = e.agg(F.min("ts"), F.max("ts")).first()  # from the files' footers
     start = datetime.datetime(2024, 1, 1)
     if bounds[0] is not None and not start <= bounds[0].replace(tzinfo=None) <= bounds[1].replace(tzinfo=None) < start + datetime.timedelta(seconds=STEP * FRAMES):
         raise ValueError("events outside of the frames")
+    return e
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sequence_id, t, y, x, cents, rain, valid); an event before the first or after the last frame is an error."""
+    e = events(spark, sf_dir)
     seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     e = e.select(F.floor(seconds / STEP).cast("long").alias("t"), (F.col("user_id") % SIDE).cast("int").alias("y"), (F.floor("value") % SIDE).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("c"), (F.col("event_type") == "error").alias("bad"))
     g = e.groupBy("t", "y", "x").agg(F.sum("c").alias("cents"), (~F.bool_or("bad")).alias("valid"))
@@ -43,6 +49,14 @@ def frames(spark: SparkSession) -> DataFrame:
     return spark.range(FRAMES).select(F.lit("events").alias("sequence_id"), F.col("id").alias("t"), start.alias("interval_start"))
 
 
+def frames_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sequence_id, t, interval_start): all frames from the first event's to the last one's."""
+    t = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / STEP)
+    ends = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(t).alias("a"), F.max(t).alias("b"))
+    every = ends.select(F.lit("events").alias("sequence_id"), F.explode(F.sequence("a", "b")).alias("t"))
+    return every.withColumn("interval_start", F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, t * {STEP})"))
+
+
 def labelled(cells: DataFrame, radius: int = 1, min_size: int = 1) -> DataFrame:
     return identify(cells, GRID, THRESHOLD, disk(radius), min_size)
 
@@ -145,11 +159,12 @@ def crop_window(spark, d):
     return preprocess.time_window(small, 24, 48, FRAMES).select("t", "y", "x", "cents", "valid")
 
 
-@query(f"""WITH {_CUBE}, s AS (SELECT t, t * {STEP} - lag(t * {STEP}) OVER (ORDER BY t) AS step FROM frames)
+@query(f"""WITH {_CUBE}, f AS (SELECT unnest(generate_series((SELECT min(t) FROM ev), (SELECT max(t) FROM ev))) AS t), s AS (SELECT t, t * {STEP} - lag(t * {STEP}) OVER (ORDER BY t) AS step FROM f)
 SELECT count(*) AS frames, min(step) AS shortest, max(step) AS longest FROM s""")
 def cadence_check(spark, d):
-    preprocess.check_cadence(frames(spark), STEP / 3600)
-    return preprocess.cadence(frames(spark)).drop("sequence_id")
+    found = frames_of_events(spark, d)
+    preprocess.check_cadence(found, STEP / 3600)
+    return preprocess.cadence(found).drop("sequence_id")
 
 
 @query(f"WITH {_CUBE} SELECT t, y, x, round(cents / 100.0 / 6, 6) AS rate FROM cells WHERE valid")
