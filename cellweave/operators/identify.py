@@ -122,6 +122,8 @@ def _ground(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, spans: np.ndarray, gr
     m0, m1 = _intervals(missing) if len(missing) else (missing, missing - 1)
     # one sweep over all ends: how many reaches and how many gaps are open after each
     at = np.concatenate([start, stop, m0, m1 + 1])
+    if not len(at):
+        return at, at
     reach = np.concatenate([np.ones(len(start)), -np.ones(len(stop)), np.zeros(2 * len(m0))])
     gap = np.concatenate([np.zeros(2 * len(start)), np.ones(len(m0)), -np.ones(len(m1))])
     order = np.argsort(at, kind="stable")

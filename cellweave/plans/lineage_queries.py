@@ -533,3 +533,21 @@ def dense_rasters(spark, d):
         write_raster(rows, column, GRID, FRAMES, folder, kind)
         found.append(read_raster(spark, folder).withColumnRenamed("value", column))
     return found[0].join(found[1], ["t", "y", "x"], "full")
+
+
+# ---------------------------------------------------------------- many sequences
+
+#: The cube cut into eight sequences of so many frames. In SQL they stand one after another, with five dry frames between two.
+SPAN = 15
+_T = f"date_diff('second', TIMESTAMP '2024-01-01', ts) // {STEP}"
+_MANY = _GRAPH.replace(f"{_T} AS t", f"{_T} + 5 * ({_T} // {SPAN}) AS t").replace(f"step < {FRAMES - 1}", f"step < {FRAMES + 5 * (FRAMES // SPAN)}")
+
+
+@query(f"""WITH RECURSIVE {_MANY} SELECT 's' || (e.t // {SPAN + 5}) AS sequence_id, e.t % {SPAN + 5} AS time, e.pn - f.first + 1 AS parent_node_id, e.cn - f.first + 1 AS child_node_id, e.event, e.gap, round(e.score, 6) AS score, round(e.iou_adv, 6) AS advected_iou
+FROM edges e JOIN (SELECT t // {SPAN + 5} AS s, min(node) AS first FROM obj GROUP BY 1) f ON f.s = e.t // {SPAN + 5}""")
+def track_many(spark, d):
+    """Edges of eight sequences that are tracked side by side, numbers beginning anew in each."""
+    apart = lambda df: df.withColumn("sequence_id", F.concat(F.lit("s"), F.expr(f"t div {SPAN}"))).withColumn("t", F.col("t") % SPAN)
+    cells = apart(cube(spark, d))
+    graph = track(cells, apart(frames(spark)), identify(cells, GRID, THRESHOLD, disk(0)), GRID, OPTIONS)
+    return graph.edges.select("sequence_id", "time", "parent_node_id", "child_node_id", "event", "gap", _r("score"), _r("advected_iou"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, TrackOptions, disk
 from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.identify import cells_of, dilate_runs, envelope_statistics, identify, identify_envelope, runs_of, seeded_envelope, subtract_missing
+from ..operators.tiles import identify_tiled
 from ..sources.tables import chunk_of
 
 SIDE, FRAMES, STEP, THRESHOLD = 48, 120, 21_600, 60.0
@@ -209,6 +210,12 @@ def min_size_objects(spark, d):
     return labelled(cube(spark, d), 2, 3).select("t", "y", "x", "label")
 
 
+@query(f"WITH RECURSIVE {_CUBE}{_labels(2, 3)} SELECT t, y, x, label FROM lab")
+def tiled_objects(spark, d):
+    """The same from nine tiles of each frame."""
+    return identify_tiled(cube(spark, d), GRID, SIDE // 3, THRESHOLD, disk(2), 3).select("t", "y", "x", "label")
+
+
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("precipitation_sum", "mean_intensity", "max_intensity", "centroid_y", "centroid_x"))
 
 
