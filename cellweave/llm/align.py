@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same bytes.
 
 Tokens of a text are intervals of its bytes, once for each tokenizer. DuckDB, one connection for each Arrow partition, joins them: those that
-end together are linked and cut the text into groups (an as-of join finds each token's group, window sums the groups' places), and an as-of join
+end together are linked and cut the text into groups (an as-of join finds the groups of tokens, window sums their places), and an as-of join
 with a range join gives all tokens that overlap. Counts of linked id pairs are summed by each partition, then by Spark.
 
 Two tokens that end together are one the end of the other, so only pairs of ids whose bytes are so related can ever be linked: the two
@@ -79,7 +79,7 @@ class ByteLevel:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         texts = [" " + t for t in texts]
-        settled = [self.fast is not None and ord(max(t)) < SETTLED for t in texts]
+        settled = [self.fast is not None and (t.isascii() or ord(max(t)) < SETTLED) for t in texts]
         other = iter(self.model.encode_batch_fast([t for t, s in zip(texts, settled) if not s], add_special_tokens=False)) if not all(settled) else iter(())
         return [self.fast(t) if s else next(other).ids for t, s in zip(texts, settled)]
 
@@ -190,16 +190,17 @@ class Aligner:
     def align(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(end, a id, b id of each link in order; (tokens of a, of b, of both up to its end) by group). The pairs are counted."""
         self._register(ids)
-        self.sql.execute("CREATE OR REPLACE TEMP TABLE link AS SELECT a.id AS a, b.id AS b, a.e AS e FROM a JOIN b ON a.e = b.e")
-        self.sql.execute("CREATE OR REPLACE TEMP TABLE cut AS SELECT DISTINCT e FROM link")
+        self.sql.execute("CREATE OR REPLACE TEMP TABLE link AS SELECT a.k AS k, a.id AS a, b.id AS b, a.e AS e FROM a JOIN b ON a.e = b.e")
         self.sql.execute("INSERT INTO pair SELECT a, b, count(*) FROM link GROUP BY a, b")
         self.summed += 1
         if self.summed % SUM_AFTER == 0:
             self.sql.execute("CREATE OR REPLACE TABLE pair AS SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM pair GROUP BY a, b")
-        link = self.sql.execute("SELECT e, a, b FROM link ORDER BY e").fetchnumpy()
-        of = "SELECT cut.e AS e, count(*) AS n FROM {0} ASOF JOIN cut ON {0}.e <= cut.e GROUP BY cut.e"  # a token belongs to the first cut at or after its end
-        group = self.sql.execute(f"SELECT x.n AS a, y.n AS b, CAST(sum(x.n) OVER w AS BIGINT) AS upto_a, CAST(sum(y.n) OVER w AS BIGINT) AS upto_b FROM ({of.format('a')}) x JOIN ({of.format('b')}) y USING (e) WINDOW w AS (ORDER BY x.e) ORDER BY x.e").fetchnumpy()
-        return np.asarray(link["e"]), np.asarray(link["a"], np.int64), np.asarray(link["b"], np.int64), np.stack([np.asarray(group[c], np.int64) for c in ("a", "b", "upto_a", "upto_b")])
+        # a token of b belongs to the first cut at or after its end; those of a follow from the one that ends there
+        found = self.sql.execute(
+            "WITH f AS (SELECT link.e AS e, count(*) AS n FROM b ASOF JOIN link ON b.e <= link.e GROUP BY link.e) "
+            "SELECT e, a, b, k - lag(k, 1, -1) OVER w AS n_a, n AS n_b, k + 1 AS upto_a, CAST(sum(n) OVER w AS BIGINT) AS upto_b FROM link JOIN f USING (e) WINDOW w AS (ORDER BY e) ORDER BY e"
+        ).fetchnumpy()
+        return np.asarray(found["e"]), np.asarray(found["a"], np.int64), np.asarray(found["b"], np.int64), np.stack([np.asarray(found[c], np.int64) for c in ("n_a", "n_b", "upto_a", "upto_b")])
 
     def overlapping(self, ids: list[np.ndarray]) -> pa.Table:
         """(ka, kb, start, stop): all tokens of a and b whose bytes overlap: from the one at a token's first byte to the last that begins before its end."""
