@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
 from ..grid import Grid
+from .selection import exact_percentile
 
 FRAME = ("sequence_id", "t")
 
@@ -84,9 +85,9 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) ->
 
 
 def rain_percentile(cells: DataFrame, share: float = 0.99, floor: float = 2.0) -> DataFrame:
-    """Exact percentile of positive rain, at least ``floor``."""
-    wet = cells.where(F.col("valid") & is_finite("rain") & (F.col("rain") > 0))
-    return wet.agg(F.greatest(F.coalesce(F.percentile(F.col("rain").cast("double"), F.lit(share)), F.lit(floor)), F.lit(floor)).alias("limit"))
+    """Exact percentile of positive rain, at least ``floor``: one row (limit). No task holds the distinct values."""
+    found = exact_percentile(cells.where(F.col("valid") & (F.col("rain") > 0)), "rain", share)
+    return cells.sparkSession.createDataFrame([(floor if found is None else max(found, floor),)], "limit double")
 
 
 def run_summary(frames: DataFrame, cells: DataFrame, labels: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame, grid: Grid, hours: float = 1.0) -> DataFrame:

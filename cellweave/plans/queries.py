@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, TrackOptions, disk
 from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.identify import cells_of, dilate_runs, envelope_statistics, identify, identify_envelope, runs_of, seeded_envelope, subtract_missing
+from ..operators.selection import changed_rows
 from ..operators.tiles import identify_tiled
 from ..sources.tables import chunk_of
 
@@ -241,6 +242,15 @@ def rain_percentile(spark, d):
     return objects.rain_percentile(cube(spark, d)).select(_r("limit"))
 
 
+@query(f"""WITH {_CUBE}, a AS (SELECT t, y, x, cents FROM cells), b AS (SELECT t, y, x, CASE WHEN (7 * t + 3 * y + x) % 97 = 0 THEN cents + 1 ELSE cents END AS cents FROM cells WHERE (t + 5 * y + 11 * x) % 101 <> 0)
+SELECT 'left' AS side, t, y, x, cents FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'right', t, y, x, cents FROM (FROM b EXCEPT FROM a)""")
+def changed_cells(spark, d):
+    """What differs between the cube and one with other amounts and lost cells, found by fingerprints of buckets."""
+    a = cube(spark, d).select("t", "y", "x", "cents")
+    b = a.where("(t + 5 * y + 11 * x) % 101 <> 0").withColumn("cents", F.expr("cents + int((7 * t + 3 * y + x) % 97 = 0)"))
+    return changed_rows(a, b, ["t", "y", "x"])
+
+
 @query(f"""WITH {_CUBE}, h AS (SELECT CASE WHEN cents > 15000 THEN 16 WHEN cents = 15000 THEN 15 WHEN cents < 1000 THEN 0 ELSE CAST(floor((cents - 1000) * 15 / 14000.0) AS BIGINT) + 1 END AS bin FROM cells WHERE valid)
 SELECT b.bin, count(h.bin) AS n FROM (SELECT unnest(generate_series(0, 16)) AS bin) b LEFT JOIN h ON h.bin = b.bin GROUP BY b.bin""")
 def rain_histogram(spark, d):
