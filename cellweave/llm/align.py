@@ -28,8 +28,8 @@ from .common import map_batches, scratch_table
 #: Bytes of text that are joined at a time, and slices after which a partition's pair counts are summed up.
 JOIN_BYTES, SUM_AFTER = 1 << 20, 16
 
-#: Memory of a partition's DuckDB.
-DUCK_MEMORY = "600MB"
+#: Tokens that are joined at once: of a text with more, as many as end at a cut; and memory of a partition's DuckDB.
+PIECE_TOKENS, DUCK_MEMORY = 1_000_000, "600MB"
 
 #: Fixed value: how byte-level tokenizers of this family cut a text before merging.
 BYTE_LEVEL_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,12 +49,7 @@ class ByteLevel:
     """A byte-level BPE of a tokenizer file (.json); a space is put before each text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.model.encode_special_tokens = True
+        self.path = path
         with open(path) as f:
             told = json.load(f)
         letters, vocab = byte_letters(), told["model"]["vocab"]
@@ -64,6 +59,17 @@ class ByteLevel:
             self.bytes[k] = bytes(letters[c] for c in piece) if piece not in special else None
         self.fast = self._ranks(told, letters)
 
+    @functools.cached_property
+    def model(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        found.encode_special_tokens = True
+        return found
+
     def _ranks(self, told: dict, letters: dict[str, int]):
         """The same merges for tiktoken, where the file says nothing that tiktoken wouldn't do: ids in the order of merges, the usual cut."""
         import tiktoken
@@ -187,8 +193,34 @@ class Aligner:
             ends.append(e)
         return ends
 
+    def _pieces(self, ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(from, to token of a, from, to token of b, byte at which they begin) of stretches of about PIECE_TOKENS that end where tokens of both end."""
+        ends = [np.cumsum(held.size[i]) for i, held in zip(ids, self.spelled)]
+        p = q = 0
+        while p < len(ids[0]):
+            k = p + PIECE_TOKENS - 1
+            while k < len(ids[0]) - 1:
+                some = ends[0][k : k + 4096]
+                at = np.minimum(np.searchsorted(ends[1], some), len(ends[1]) - 1)
+                hit = np.flatnonzero(ends[1][at] == some)
+                if len(hit):
+                    k += int(hit[0])
+                    break
+                k += len(some)
+            k = min(k, len(ids[0]) - 1)
+            stop = int(np.searchsorted(ends[1], ends[0][k], "right"))
+            yield p, k + 1, q, stop, int(ends[0][p - 1]) if p else 0
+            p, q = k + 1, stop
+
     def align(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(end, a id, b id of each link in order; (tokens of a, of b, of both up to its end) by group). The pairs are counted."""
+        found = []
+        for p, p1, q, q1, byte in self._pieces(ids):
+            end, a, b, group = self._align([ids[0][p:p1], ids[1][q:q1]])
+            found.append((end + byte, a, b, group + np.array([[0], [0], [p], [q]])))
+        return tuple(np.concatenate(x, axis=-1) for x in zip(*found))
+
+    def _align(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         self._register(ids)
         self.sql.execute("CREATE OR REPLACE TEMP TABLE link AS SELECT a.k AS k, a.id AS a, b.id AS b, a.e AS e FROM a JOIN b ON a.e = b.e")
         self.sql.execute("INSERT INTO pair SELECT a, b, count(*) FROM link GROUP BY a, b")

@@ -263,6 +263,20 @@ def test_alignment_against_plain_version(spark, paths, monkeypatch):
     assert align.align(df.where("false"), *paths).documents.count() == 0
 
 
+def test_long_texts_are_joined_in_pieces(spark, paths, monkeypatch):
+    rows = texts(9, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted((tuple(r) for r in align.align(df, *paths).documents.collect()), key=str)
+    monkeypatch.setattr(align, "PIECE_TOKENS", 13)
+    aligner = align.Aligner(*paths)
+    _, ids, _ = aligner.tokens(["Words and more words. " * 300])
+    pieces = list(aligner._pieces(ids))
+    assert len(pieces) > 50 and pieces[0][0] == 0 and pieces[-1][1] == len(ids[0]) and pieces[-1][3] == len(ids[1])
+    linked = align.linkable(aligner.a.bytes, aligner.b.bytes)
+    got = [[c.to_pylist() for c in align._documents([t or ""], aligner, linked)] for _, t in rows]
+    assert sorted((k, g[0][0], g[1][0], g[2][0], len(g[4][0]), g[3][0]) for (k, _), g in zip(rows, got) if k is not None) == sorted((r[0], r[1], r[2], r[3], r[4], r[7]) for r in want if r[0] is not None)
+
+
 def test_overlaps_against_plain_version(spark, paths):
     rows = [(k, t) for k, t in texts(8, 12) if t and len(t) < 2000]
     got = sorted((r.doc_id, r.a_token, r.b_token, r.start, r.stop) for r in align.overlapping_tokens(spark.createDataFrame(rows, "doc_id long, text string"), *paths).collect() if r.doc_id is not None)
