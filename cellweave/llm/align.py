@@ -23,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import _give_back as give_back
 from .common import map_batches, scratch_table
 
 #: Bytes of text that are joined at a time, and slices after which a partition's pair counts are summed up.
-JOIN_BYTES, SUM_AFTER = 1 << 20, 16
+JOIN_BYTES, SUM_AFTER = 1 << 19, 32
 
 #: Tokens that are joined at once: of a text with more, as many as end at a cut; and memory of a partition's DuckDB.
-PIECE_TOKENS, DUCK_MEMORY = 1_000_000, "600MB"
+PIECE_TOKENS, DUCK_MEMORY = 500_000, "400MB"
 
 #: Fixed value: how byte-level tokenizers of this family cut a text before merging.
 BYTE_LEVEL_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -339,6 +340,7 @@ def align(docs: DataFrame, a: str, b: str, id: str = "doc_id", text: str = "text
                 n_a, n_b, n_groups, shas, lists = _documents(texts, aligner, linked)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(low, n), n_a, n_b, n_groups, shas, lists, pa.nulls(n, pa.list_(pa.int64()))], _NAMES)
                 low += n
+            give_back()
         ids_a, ids_b, counts = aligner.pairs()
         if len(counts):
             places = np.searchsorted(linked, ids_a * n_right + ids_b).astype(np.int32)
