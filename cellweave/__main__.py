@@ -1,4 +1,4 @@
-"""python -m cellweave run|stream|catalog|audit|recheck|diagnose|inspect ...: the engine over .npy cubes and catalogs."""
+"""python -m cellweave run|stream|series|catalog|audit|recheck|diagnose|inspect ...: the engine over .npy cubes and catalogs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .grid import Grid, TrackOptions, disk
 from .operators import objects, quality
 from .operators.identify import identify
 from .operators.lineage import TrackGraph, frame_rows, graph_of, track
+from .operators.longrun import Run, audit_run, track_series
 from .operators.preprocess import check_amounts, check_interval, crop, refuse_cumulative, to_rate
 from .sources.arrays import describe_npy, frame_table, read_npy
 from .sources.tables import finalize_catalog, publish, read_part, read_states, write_part
@@ -36,19 +37,25 @@ def _input(p: argparse.ArgumentParser) -> None:
     p.add_argument("--state-input", help="catalog part whose states are gone on from")
     p.add_argument("--absolute-start", type=int, help="time of the first frame; by default after the state's last, else 0")
     p.add_argument("--variable", default="", help="name of what the cube holds; accumulated amounts are refused")
-    p.add_argument("--units", default="mm/h", help="mm/h for rates, mm for amounts of each interval")
+    p.add_argument("--units", help="mm/h for rates (what is taken where nothing tells), mm for amounts of each interval; of a series, those of the headers by default")
     p.add_argument("--dt-hours", type=float, default=1.0)
     p.add_argument("--grid-km", type=float, help="spacing of the grid: speeds are also in km/h")
     p.add_argument("--saved", help="catalog part of an earlier run to compare with or to look into")
     p.add_argument("--chunk-frames", type=int, default=24)
+    p.add_argument("--rain-kind", default="", help="series: cumulative, interval or rate, where headers don't tell")
+    p.add_argument("--origin", default="", help="series: time of the first sample, where files have no times")
+    p.add_argument("--resume", action="store_true", help="series: verify what is committed and go on")
+    p.add_argument("--most-chunks", type=int, help="series: stop after so many chunks")
+    p.add_argument("--save-labels", action="store_true", help="series: keep labelled cells, which audit --saved needs")
     p.add_argument("--taus", type=float, nargs="+", default=[0.25, 0.30, 0.35, 0.40, 0.45])
     p.add_argument("--frames", type=int, nargs="+", default=[1])
 
 
 def _load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, Grid, TrackOptions, int]:
     refuse_cumulative(a.variable)
-    kind = "interval" if a.units.lower().replace(" ", "") == "mm" else "rate"
-    check_interval(kind, a.units)
+    units = a.units or "mm/h"
+    kind = "interval" if units.lower().replace(" ", "") == "mm" else "rate"
+    check_interval(kind, units)
     shape = describe_npy(a.input)["shape"]
     stop = shape[0] if a.stop is None else a.stop
     cells = read_npy(spark, a.input, a.start, stop, a.sequence_id)
@@ -95,7 +102,19 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
     publish(spark, f"{a.output_dir}/report", {"summary": summary, "branch_speeds": speeds, "frame_statistics": objects.frame_statistics(frames, cells, labels, grid)}, {"frames": total})
 
 
+def series(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Many files as one series, committed chunk by chunk; input is a folder, a pattern or names with commas."""
+    given = {"unit": a.units, "rain_kind": a.rain_kind, "hours": a.dt_hours, "origin": a.origin, "crop": a.crop, "start": a.start, "stop": a.stop, "sequence_id": a.sequence_id}
+    options = TrackOptions(a.tau, a.max_displacement, a.max_gap, a.gap_tau, a.gap_ambiguity, a.event_overlap, a.gap_min_pixels)
+    run = Run(a.input, a.variable, tuple((k, v) for k, v in given.items() if v not in ("", None)), a.threshold, a.bridge_radius, a.min_size, options, a.save_labels)
+    track_series(spark, run, a.output_dir, a.chunk_frames, a.resume, a.most_chunks)
+
+
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Structures and other thresholds; with --saved those of a finished series run, whose files and chunks are verified first."""
+    if a.saved:
+        publish(spark, a.output_dir, dict(audit_run(spark, a.saved, tuple(a.taus))), {"taus": a.taus, "run": a.saved})
+        return
     graph, (cells, frames, labels, grid, options, _) = _graph(spark, a)
     sweep = quality.tau_sweep(frame_rows(frames, labels, cells), options, a.taus, grid)
     publish(spark, a.output_dir, {"candidates": graph.candidates, "structures": quality.structure_counts(graph.candidates), "sweep": sweep}, {"taus": a.taus})
@@ -127,7 +146,7 @@ def diagnose(spark: SparkSession, a: argparse.Namespace) -> None:
     publish(spark, a.output_dir, {"pair_decisions": decided}, {"frames": a.frames})
 
 
-COMMANDS = {f.__name__: f for f in (run, stream, audit, recheck, diagnose)}
+COMMANDS = {f.__name__: f for f in (run, stream, series, audit, recheck, diagnose)}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -16,6 +16,7 @@ from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.candidates import still_candidates
 from ..operators.identify import identify
 from ..operators.lineage import branch_cells, frame_rows, graph_of, track
+from ..operators.longrun import Run, track_series
 from ..sources.multitime import read_precipitation
 from ..sources.series import read_raster, read_series, write_raster
 from ..sources.tables import canonical_families, finalize_catalog, write_part
@@ -535,6 +536,20 @@ def dense_rasters(spark, d):
     return found[0].join(found[1], ["t", "y", "x"], "full")
 
 
+@query(_sql(f"SELECT {_NODES} FROM nodes"))
+def resumed_nodes(spark, d):
+    """Objects of the catalog of a run over array files (in hundredths) that stopped after 50 frames and was resumed with larger chunks."""
+    missing = cube(spark, d).select("t", "y", "x", F.when(F.col("valid"), F.round(F.col("rain") * 100).cast("double")).otherwise(F.lit(float("nan"))).alias("cents"))
+    folder, out = _folder(spark, "rates"), _folder(spark, "run")
+    write_raster(missing, "cents", GRID, FRAMES, folder, "float64", cuts=(0, 1, 38, 43, 100))
+    run = Run(folder, "rain_rate", (("rain_kind", "rate"), ("unit", "mm/h"), ("sequence_id", "events")), THRESHOLD * 100, 0, 1, OPTIONS)
+    track_series(spark, run, out, 50, most_chunks=1)
+    track_series(spark, run, out, 70, resume=True)
+    n = spark.read.parquet(f"{out}/catalog/objects")
+    whole = ("time", "node_id", "branch_id", "family_id", "local_label", "area_cells", "y_start", "y_stop", "x_start", "x_stop")
+    return n.select(*whole, _r("centroid_y"), _r("centroid_x"), *(F.round(F.col(c) / 100, 6).alias(c) for c in ("mean_intensity", "max_intensity", "precipitation_sum")))
+
+
 # ---------------------------------------------------------------- many sequences
 
 #: The cube cut into eight sequences of so many frames. In SQL they stand one after another, with five dry frames between two.
