@@ -184,6 +184,20 @@ def families_from_events(spark, d):
     return matching.families(named.select("sequence_id", "branch_id"), links.select("sequence_id", "a", "b")).select("branch_id", "family_id")
 
 
+@query(_FAMILIES)
+def grown_families(spark, d):
+    """The same, from three chunks of frames that are added one after another, each with its own branches and links only."""
+    graph = _tracked(spark, d)[2]
+    named = graph.nodes.select("sequence_id", "time", "node_id", "branch_id").checkpoint()
+    ends = graph.edges.where("event in ('split', 'merge', 'complex')").select("sequence_id", "time", "parent_node_id", "child_node_id")
+    for side in ("parent", "child"):
+        ends = ends.join(named.select("sequence_id", F.col("node_id").alias(f"{side}_node_id"), F.col("branch_id").alias(side)), ["sequence_id", f"{side}_node_id"])
+    log = matching.FamilyLog(spark, _folder(spark, "families"))
+    for k, span in enumerate(("time < 40", "time between 40 and 79", "time >= 80")):
+        log.add(k, named.where(span), ends.where(span).select("sequence_id", F.col("parent").alias("a"), F.col("child").alias("b")))
+    return log.families().select("branch_id", "family_id")
+
+
 @query(_sql("SELECT l.t, l.y, l.x, n.branch AS branch_id FROM lab l JOIN nodes n ON n.t = l.t AND n.label = l.label"))
 def branch_raster(spark, d):
     _, labels, graph = _tracked(spark, d)
@@ -381,17 +395,10 @@ best AS (SELECT t, arg_max(ps, s) AS ps, arg_max(cs, s) AS cs FROM (SELECT w.* F
 @query(f"WITH RECURSIVE {_BASE},\n{_SMALL} SELECT t, unnest(ps) AS parent_label, unnest(cs) AS child_label FROM best")
 def assigned_links(spark, d):
     """The one-to-one choice of greatest total score among the still candidates of each frame; in SQL by all ways to choose."""
-    import pandas as pd
-
     cells = cube(spark, d)
     labels = identify(cells, GRID, THRESHOLD, disk(0))
     links = still_candidates(objects.object_table(labels, cells), labels, OPTIONS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = matching.assign(pdf.parent_label.to_numpy(), pdf.child_label.to_numpy(), pdf.score.to_numpy(), OPTIONS.tau)
-        return pdf.iloc[chosen][["t", "parent_label", "child_label"]]
-
-    return links.select("t", "parent_label", "child_label", "score").groupBy("t").applyInPandas(run, "t long, parent_label int, child_label int")
+    return matching.assign_links(links, OPTIONS.tau, ("t",)).drop("score")
 
 
 # ---------------------------------------------------------------- sources and tables
