@@ -307,6 +307,8 @@ SCHEMAS = {
     "candidate": "frame long, parent_frame long, parent_label int, child_label int, score double, parent_coverage double, child_coverage double, passes_tau boolean, passes_event_overlap boolean, accepted_event boolean",
     "state": "state string",
     "missing": "t long, parent_t long, parent_label int, sy int, sx int",
+    "moved": "branch_id long, family_id long, time long",
+    "ended": "family_id long, time long",
 }
 
 #: One row of what the kernel emits: its kind, and the row as JSON.
