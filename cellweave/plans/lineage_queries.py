@@ -15,11 +15,12 @@ from ..grid import Grid, TrackOptions, disk
 from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.candidates import still_candidates
 from ..operators.identify import identify
-from ..operators.lineage import branch_cells, frame_rows, graph_of, track
+from ..operators.lineage import TAGGED, branch_cells, frame_rows, graph_of, track
 from ..operators.longrun import Run, track_series
 from ..sources.multitime import read_precipitation
 from ..sources.series import read_raster, read_series, write_raster
 from ..sources.tables import canonical_families, finalize_catalog, write_part
+from ..streaming.living import living_families, run_living
 from .queries import FRAMES, STEP, events, frames, frames_of_events, query
 
 SIDE, THRESHOLD = 12, 30.0
@@ -198,6 +199,18 @@ def grown_families(spark, d):
     return log.families().select("branch_id", "family_id")
 
 
+@query(_sql(f"SELECT f.branch AS branch_id, f.family AS family_id, CASE WHEN e.last + 2 < {FRAMES} THEN e.last + 2 END AS ended FROM family f JOIN (SELECT family, max(t) AS last FROM nodes GROUP BY family) e ON e.family = f.family"))
+def streamed_families(spark, d):
+    """Families of a stream that is stopped after 60 frames and started again, and the frame at which each can't go on: two after its last one."""
+    cells = cube(spark, d)
+    rows = frame_rows(frames(spark), identify(cells, GRID, THRESHOLD, disk(0)), cells)
+    folder = _folder(spark, "stream")
+    for k, span in enumerate(("t < 60", "t >= 60")):
+        rows.where(span).write.parquet(f"{folder}/in/part={k}")
+        run_living(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*"), OPTIONS, f"{folder}/out", f"{folder}/check", GRID)
+    return living_families(spark.read.schema(TAGGED).parquet(f"{folder}/out")).drop("sequence_id")
+
+
 @query(_sql("SELECT l.t, l.y, l.x, n.branch AS branch_id FROM lab l JOIN nodes n ON n.t = l.t AND n.label = l.label"))
 def branch_raster(spark, d):
     _, labels, graph = _tracked(spark, d)
