@@ -1,11 +1,11 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
 Unit vectors with cosine >= c are at a squared distance of at most 2 - 2c. They are rotated (which
-keeps distances) and split into blocks; some block's squared distance is then at most its share of
-that budget. Each block is range-joined: vectors go to the cells of a grid over the block's first coordinates, and to
-the neighbours that come after; where they meet, pairs within the block's budget are candidates, and a candidate is verified
-by its cosine there and then, in the first block that admits it. So every pair is counted once, and no other is looked
-at. What leaves a task are counts and spanning forests, never all pairs.
+keeps distances) and split into blocks of few dimensions; some block's squared distance is then at most its share of
+that budget, which is in proportion to its dimensions. The vectors of a label are dealt to units of bounded size in which any two of them
+meet once. There each block is range-joined: bitmaps over the sorted values of each coordinate give, 64 at a time, who is
+within reach in all coordinates of the block; of those, pairs within the block's budget are candidates, and the union of
+all blocks' candidates is verified by cosine. What leaves a task are counts and spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, map_batches, scratch_table, sorted_groups
+from .common import discard, map_batches, scratch_table, sorted_groups
 from .graph import connected_components, forest, meetings, spread_join
 
-#: Blocks of the rotated vector, and leading coordinates of a block that the grid is over. More of either
-#: means more copies of every vector; a cell is as wide as a block's budget, which narrow blocks of unit vectors hardly exceed.
-BLOCKS, GRID = 2, 1
+#: Most dimensions of a block.
+WIDTH = 8
 
-#: Most rows of a cell in a block of rows; a unit of work has two.
-CELL_ROWS = 2048
+#: Most rows of a side of a unit; a unit of work has two.
+SIDE_ROWS = 2048
+
+#: Words of 64 pairs that are looked at together.
+WORDS = 1 << 13
 
 #: Rounding room of squared distances of unit vectors in single precision.
 SLACK = 1e-5
@@ -56,83 +58,75 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cuts(dims: int) -> np.ndarray:
-    return np.linspace(0, dims, BLOCKS + 1).astype(int)
-
-
-def _cells(distinct: DataFrame, cosine: float) -> DataFrame:
-    """(g, lab, b, vkey, times, home, embedding): each vector for each block in its own cell and in the neighbours that come after it."""
-    width = np.sqrt((2 - 2 * cosine) / BLOCKS + SLACK)
-    shifts = np.array([s for s in np.ndindex(*(3,) * GRID)]) - 1
-    shifts = np.array([s for s in shifts.tolist() if s >= [0] * GRID])  # itself, and one of each two opposite neighbours
-    names = [f"c{j}" for j in range(GRID)]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts: list[tuple] = []
-        for rows, x in _vectors(batch.column(3)):
-            y, cuts = _unit(x) @ rotation(x.shape[1]), _cuts(x.shape[1])
-            for b in range(BLOCKS):
-                lead = y[:, cuts[b] : cuts[b + 1]][:, :GRID]
-                cell = np.zeros((len(y), GRID), np.int64)
-                cell[:, : lead.shape[1]] = np.floor(lead / width)
-                for s in shifts:
-                    parts.append((rows, np.full(len(rows), b, np.int32), np.full(len(rows), x.shape[1], np.int32), cell - s, np.full(len(rows), not s.any())))
-        if not parts:
-            return None
-        rows, b, dims, cells, home = (np.concatenate(c) for c in zip(*parts))
-        held = batch.take(pa.array(rows))
-        columns = [*held.columns, pa.array(b), pa.array(dims), *(pa.array(np.ascontiguousarray(cells[:, j])) for j in range(GRID)), pa.array(home)]
-        return pa.RecordBatch.from_arrays(columns, ["vkey", "label", "times", "embedding", "b", "dims", *names, "home"])
-
-    kind = distinct.schema["embedding"].dataType.simpleString()
-    placed = map_arrow(distinct.select("vkey", "label", "times", "embedding"), run, f"vkey long, label string, times long, embedding {kind}, b int, dims int, " + ", ".join(f"{c} long" for c in names) + ", home boolean")
-    return placed.select(F.xxhash64("label", "b", "dims", *names).alias("g"), F.xxhash64(F.lit("label"), "label").alias("lab"), "b", "vkey", "times", "home", "embedding", F.xxhash64("vkey").alias("tie"))
-
-
-def _verified(u: np.ndarray, y: np.ndarray, cuts: np.ndarray, p: np.ndarray, q: np.ndarray, block: int, budget: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """The candidates (p, q) of ``block`` with cosine enough that no earlier block admits: there they are counted."""
-    linked = (u[p] * u[q]).sum(axis=1) >= cosine
-    p, q = p[linked], q[linked]
-    for b in range(block):
-        d = y[p, cuts[b] : cuts[b + 1]] - y[q, cuts[b] : cuts[b + 1]]
-        later = (d * d).sum(axis=1) > budget
-        p, q = p[later], q[later]
-    return p, q
+    """Where blocks begin and end: as few as WIDTH allows, as even as can be."""
+    return np.linspace(0, dims, -(-dims // WIDTH) + 1).astype(int)
+
+
+def _within(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndarray:
+    """Bitmap (rows of ``left``, words of 64 rows of ``right``): who differs by at most ``reach`` in every column."""
+    box = None
+    for a, b in zip(left.T, right.T):
+        order = np.argsort(b, kind="stable")
+        below = np.zeros((len(b) + 1, -(-len(b) // 64)), np.uint64)  # row k: the k least of the right side
+        below[np.arange(1, len(b) + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
+        np.bitwise_or.accumulate(below, axis=0, out=below)
+        low, high = np.searchsorted(b[order], a - reach, "left"), np.searchsorted(b[order], a + reach, "right")
+        near = below[high] ^ below[low]
+        box = near if box is None else box & near
+    return box
+
+
+def candidates(left: np.ndarray, right: np.ndarray, squared: float, same: bool = False) -> np.ndarray:
+    """Which pairs of two sides of rotated vectors are within some block's share of a squared distance; with ``same``, of a side and itself,
+    each pair of two once."""
+    found = np.zeros((len(left), len(right)), bool)
+    cuts = _cuts(left.shape[1])
+    for a, b in zip(cuts, cuts[1:]):
+        budget = squared * (b - a) / left.shape[1] + SLACK
+        z, w = left[:, a:b], right[:, a:b]
+        box = _within(z, w, np.sqrt(budget))
+        per_row, box = box.shape[1], box.ravel()
+        some = np.flatnonzero(box)
+        for low in range(0, len(some), WORDS):
+            at = some[low : low + WORDS]
+            k, bit = np.nonzero(np.unpackbits(box[at].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64))
+            p, q = at[k] // per_row, at[k] % per_row * 64 + bit
+            new = ~found[p, q]
+            if same:
+                new &= p < q
+            p, q = p[new], q[new]
+            d = z[p] - w[q]
+            near = (d * d).sum(axis=1) <= budget
+            found[p[near], q[near]] = True
+    return found
 
 
 def _linked(work: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): rows with b null say that a has n links here; others are edges of a spanning forest."""
-    budget = (2 - 2 * cosine) / BLOCKS + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
-            ids, lab, block, blk, times, home = (group.column(n).to_numpy() for n in ("vkey", "lab", "b", "blk", "times", "home"))
+            ids, lab, blk, times = (group.column(n).to_numpy() for n in ("vkey", "lab", "blk", "times"))
             bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
             for rows, x in _vectors(group.column("embedding").combine_chunks()):
-                u, cuts = _unit(x), _cuts(x.shape[1])
+                u = _unit(x)
                 y = u @ rotation(x.shape[1])
-                for b in np.unique(block[rows]).tolist():  # one, unless hashes of cells collide
-                    z = y[:, cuts[b] : cuts[b + 1]]
-                    norms = (z * z).sum(axis=1)
-                    i, j = (np.flatnonzero((blk[rows] == side) & (block[rows] == b)) for side in (bi, bj))
-                    near = norms[i][:, None] + norms[j][None, :] - 2 * (z[i] @ z[j].T) <= budget
-                    near &= home[rows[i]][:, None] | home[rows[j]][None, :]  # two neighbours of a cell meet elsewhere, or are too far apart
-                    p, q = np.nonzero(near)
-                    p, q = i[p], j[q]
-                    good = (ids[rows[p]] != ids[rows[q]]) & (lab[rows[p]] == lab[rows[q]])
-                    good &= (rows[p] < rows[q]) if bi == bj else True
-                    p, q = p[good], q[good]
-                    for low in range(0, len(p), 1 << 16):
-                        l, r = _verified(u, y, cuts, p[low : low + (1 << 16)], q[low : low + (1 << 16)], b, budget, cosine)
-                        if not len(l):
-                            continue
-                        l, r = rows[l], rows[r]
-                        here = np.bincount(l, times[r], len(ids)) + np.bincount(r, times[l], len(ids))
-                        some = np.flatnonzero(here)
-                        l, r = forest(len(ids), l, r)
-                        a = pa.array(np.concatenate([ids[some], ids[l]]))
-                        mask = np.arange(len(some) + len(l)) < len(some)
-                        n = np.concatenate([here[some].astype(np.int64), np.zeros(len(l), np.int64)])
-                        yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[r]]), mask=mask), pa.array(n)], ["a", "b", "n"])
+                i, j = (np.flatnonzero(blk[rows] == side) for side in (bi, bj))
+                p, q = np.nonzero(candidates(y[i], y[j], 2 - 2 * cosine, bi == bj))
+                p, q = i[p], j[q]
+                for low in range(0, len(p), 1 << 16):
+                    l, r = p[low : low + (1 << 16)], q[low : low + (1 << 16)]
+                    good = ((u[l] * u[r]).sum(axis=1) >= cosine) & (lab[rows[l]] == lab[rows[r]])
+                    if not good.any():
+                        continue
+                    l, r = rows[l[good]], rows[r[good]]
+                    here = np.bincount(l, times[r], len(ids)) + np.bincount(r, times[l], len(ids))
+                    some = np.flatnonzero(here)
+                    l, r = forest(len(ids), l, r)
+                    a = pa.array(np.concatenate([ids[some], ids[l]]))
+                    mask = np.arange(len(some) + len(l)) < len(some)
+                    n = np.concatenate([here[some].astype(np.int64), np.zeros(len(l), np.int64)])
+                    yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[r]]), mask=mask), pa.array(n)], ["a", "b", "n"])
 
     return map_batches(work, run, "a long, b long, n long")
 
@@ -156,9 +150,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id: str = "
     spark = vectors.sparkSession
     distinct = keyed.where("ok").groupBy("vkey").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     distinct, one = scratch_table(distinct, "vectors")
-    placed = _cells(distinct, cosine)
-    counts = _cells(distinct, cosine).select("g", "home").groupBy("g").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_other"))
-    work = meetings(spread_join(placed, counts, "g", "tie"), CELL_ROWS, CELL_ROWS).select("g", "bi", "bj", "blk", "lab", "b", "vkey", "times", "home", "embedding")
+    placed = distinct.select(F.xxhash64("label", F.size("embedding")).alias("g"), F.xxhash64(F.lit("label"), "label").alias("lab"), "vkey", "times", "embedding", F.lit(True).alias("home"), F.xxhash64("vkey").alias("tie"))
+    counts = placed.groupBy("g").agg(F.count("*").alias("n_home"), F.lit(0).cast("long").alias("n_other"))
+    work = meetings(spread_join(placed, counts, "g", "tie"), SIDE_ROWS, SIDE_ROWS).select("g", "bi", "bj", "blk", "lab", "vkey", "times", "embedding")
     seen, two = scratch_table(_linked(work.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), cosine), "links")
     links = seen.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "vkey")
     # components by key; then each is named by the smallest id of its rows

@@ -163,6 +163,35 @@ def test_rotation_keeps_lengths():
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(x @ embdedup.rotation(16), axis=1))
 
 
+@pytest.mark.parametrize("dims", [1, 2, 7, 8, 9, 24, 63, 64, 70])
+def test_block_candidates_lose_no_pair_and_are_few(dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(333, dims))
+    x[200:] = x[:133] + rng.normal(size=(133, dims)) * rng.choice([0, 0.05, 0.2, 0.3], (133, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x @ embdedup.rotation(dims)
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.14
+    found = embdedup.candidates(y[:150], y, 0.14)
+    assert found.shape == (150, 333) and (found | ~near[:150]).all()
+    once = embdedup.candidates(y, y, 0.14, same=True)
+    assert not np.tril(once).any() and (once | ~np.triu(near, 1)).all()
+    if dims == 64:
+        assert once.sum() < 0.02 * 333 * 332 / 2 + np.triu(near, 1).sum()
+    cuts = embdedup._cuts(dims)
+    assert cuts[0] == 0 and cuts[-1] == dims and (np.diff(cuts) <= embdedup.WIDTH).all() and (np.diff(cuts) > 0).all()
+
+
+def test_vectors_of_a_label_over_many_units(spark, monkeypatch):
+    """One label holds all rows, in sides of a few rows each."""
+    monkeypatch.setattr(embdedup, "SIDE_ROWS", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, [float(v) for v in centres[k % 40] + rng.normal(size=16) * 0.12], 1) for k in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicate_vectors(spark.createDataFrame(rows, VECTORS), 0.93).collect()}
+    want = naive.vector_links(rows, 0.93)
+    assert got == want and sum(v[0] for v in want.values()) > 100
+
+
 # ---------------------------------------------------------------- line dedup
 
 
