@@ -14,6 +14,7 @@ from .operators.lineage import TrackGraph, frame_rows, graph_of, track
 from .operators.longrun import Run, audit_run, track_series
 from .operators.preprocess import check_amounts, check_interval, crop, refuse_cumulative, to_rate
 from .sources.arrays import describe_npy, frame_table, read_npy
+from .sources.prepared import prepare_cube
 from .sources.tables import finalize_catalog, publish, read_part, read_states, write_part
 
 
@@ -157,6 +158,13 @@ def main(argv: list[str] | None = None) -> None:
     p = commands.add_parser("catalog", help="combine parts in order of time")
     p.add_argument("parts", nargs="+")
     p.add_argument("--output-dir", required=True)
+    p = commands.add_parser("prepare", help="a short cube of rates from hourly snapshots")
+    p.add_argument("folder")
+    p.add_argument("--start", required=True)
+    p.add_argument("--hours", type=int, required=True)
+    p.add_argument("--variable", default="RAINNC")
+    p.add_argument("--units", default="")
+    p.add_argument("--output-dir", required=True)
     commands.add_parser("inspect", help="show what an input holds, without reading it").add_argument("input")
     a = parser.parse_args(argv)
     if a.command == "inspect":
@@ -165,6 +173,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cellweave").getOrCreate()
     if a.command == "catalog":
         finalize_catalog(spark, a.parts, a.output_dir)
+    elif a.command == "prepare":
+        prepare_cube(spark, a.folder, a.start, a.hours, a.output_dir, a.variable, a.units)
     else:
         COMMANDS[a.command](spark, a)
 
