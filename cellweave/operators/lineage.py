@@ -311,7 +311,10 @@ SCHEMAS = {
     "ended": "family_id long, time long",
 }
 
-#: One row of what the kernel emits: its kind, and the row as JSON.
+#: Numbers of rows leave room for so many of a kind in a frame.
+FRAME_ROWS = 1_000_000
+
+#: One row of what the kernel emits: its kind, its number, and the row as JSON.
 TAGGED = "sequence_id string, kind string, n long, row string"
 
 
@@ -421,7 +424,7 @@ def with_cells(states: DataFrame, cells: DataFrame) -> DataFrame:
 def emit(lineage: Lineage, time: int, objects: list[dict]) -> Iterator[tuple[str, int, str]]:
     for kind, rows in lineage.advance(time, objects).items():
         for k, row in enumerate(rows):
-            yield kind, time * 1_000_000 + k, json.dumps(row)
+            yield kind, time * FRAME_ROWS + k, json.dumps(row)
 
 
 def finish(lineage: Lineage) -> Iterator[tuple[str, int, str]]:
@@ -471,6 +474,13 @@ def of_kind(tagged: DataFrame, kind: str) -> DataFrame:
     return tagged.where(F.col("kind") == kind).select("sequence_id", F.from_json("row", SCHEMAS[kind]).alias("r")).select("sequence_id", "r.*")
 
 
+def in_order(tagged: DataFrame, kind: str) -> DataFrame:
+    """``of_kind`` with ``emitted``: the place of a row among those of its kind in its frame, from 0. Of edges, those of events come first, then
+    one-to-one links, then links over missing frames."""
+    rows = tagged.where(F.col("kind") == kind).select("sequence_id", F.pmod("n", F.lit(FRAME_ROWS)).alias("emitted"), F.from_json("row", SCHEMAS[kind]).alias("r"))
+    return rows.select("sequence_id", "r.*", "emitted")
+
+
 @dataclass
 class TrackGraph:
     """Nodes (objects), edges, events, family map and states of tracked sequences."""

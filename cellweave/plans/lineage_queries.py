@@ -15,7 +15,7 @@ from ..grid import Grid, TrackOptions, disk
 from ..operators import candidates, matching, objects, preprocess, quality
 from ..operators.candidates import still_candidates
 from ..operators.identify import identify
-from ..operators.lineage import TAGGED, branch_cells, frame_rows, graph_of, track
+from ..operators.lineage import TAGGED, branch_cells, frame_rows, graph_of, in_order, run_lineage, track
 from ..operators.longrun import Run, track_series
 from ..sources.multitime import read_precipitation
 from ..sources.series import read_raster, read_series, write_raster
@@ -151,6 +151,14 @@ def replayed_edges(spark, d):
     return _edges(graph_of(quality.replay(rows, OPTIONS, 30, GRID)).edges)
 
 
+@query(_sql("SELECT t AS time, pn AS parent_node_id, cn AS child_node_id, event, row_number() OVER (PARTITION BY t ORDER BY CASE event WHEN 'continue' THEN 1 WHEN 'gap_continue' THEN 2 ELSE 0 END, root, pn, cn) - 1 AS emitted FROM edges"))
+def edge_order(spark, d):
+    """The order in which a frame's edges are found: events by their least parent, one-to-one links, links over missing frames."""
+    cells = cube(spark, d)
+    rows = frame_rows(frames(spark), identify(cells, GRID, THRESHOLD, disk(0)), cells)
+    return in_order(run_lineage(rows, OPTIONS, GRID), "edge").select("time", "parent_node_id", "child_node_id", "event", "emitted")
+
+
 _EVENTS = """,
 happened AS (SELECT e.t, e.root, e.event, list_sort(list(DISTINCT e.pn)) AS ps, list_sort(list(DISTINCT e.cn)) AS cs, row_number() OVER (ORDER BY e.t, e.root) AS event_id FROM edges e WHERE e.root IS NOT NULL GROUP BY e.t, e.root, e.event)"""
 

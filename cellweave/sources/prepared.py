@@ -15,7 +15,7 @@ from .series import local, read_series, stamp_of, write_raster
 
 #: Most intervals of a cube, and the names that count: fixed values of the interface.
 MOST_HOURS = 72
-SNAPSHOT = re.compile(r"cstm_d01_\d{4}-\d{2}-\d{2}_\d{2}[:_]\d{2}[:_]\d{2}\.rain")
+SNAPSHOT = re.compile(r"cstm_d01_\d{4}-\d{2}-\d{2}_\d{2}[:_]\d{2}[:_]\d{2}\.rain\Z")
 CUBE, TOLD = "rain_mm_h.npy", "input_metadata.json"
 
 
@@ -23,7 +23,7 @@ def snapshots_between(folder: str, start: datetime.datetime, hours: int) -> list
     """The ``hours`` + 1 snapshots from ``start`` on, by the times in their names. Other names and folders below don't count."""
     at: dict[datetime.datetime, str] = {}
     for name in sorted(os.listdir(local(folder))):
-        if SNAPSHOT.fullmatch(name):
+        if SNAPSHOT.match(name):
             time = stamp_of(name)
             if time in at:
                 raise ValueError(f"two snapshots have the same time: {at[time]}, {name}")

@@ -9,7 +9,11 @@ import numpy as np
 import pytest
 
 from cellweave.__main__ import main
+from cellweave.grid import TrackOptions, disk
+from cellweave.operators.identify import identify
+from cellweave.operators.lineage import track
 from cellweave.sources.prepared import prepare_cube
+from tests.helpers import tables
 from tests.test_series import put_classic, totals
 
 START = datetime.datetime(1996, 7, 31, 20)  # over the end of a month
@@ -65,3 +69,19 @@ def test_refused(spark, tmp_path, kind):
     with pytest.raises(Exception, match=message):
         prepare_cube(spark, str(tmp_path / "in"), start.isoformat(), hours, str(tmp_path / "out"))
     assert not os.path.exists(tmp_path / "out" / "rain_mm_h.npy")
+
+
+def test_twelve_frames_over_the_end_of_a_month(spark, tmp_path):
+    """One object moves for twelve hours and isn't seen in one of them: 11 nodes, 10 edges, one of them over the gap, one branch."""
+    rate = np.zeros((12, 12, 24))
+    for t in range(12):
+        if t != 5:
+            rate[t, 4:8, t : t + 5] = 2
+    put(tmp_path / "in", np.concatenate([np.zeros((1, 12, 24)), rate.cumsum(axis=0)]))
+    prepare_cube(spark, str(tmp_path / "in"), START.isoformat(), 12, str(tmp_path / "out"))
+    rain = np.load(tmp_path / "out" / "rain_mm_h.npy")
+    cells, frames, grid = tables(spark, rain)
+    graph = track(cells, frames, identify(cells, grid, 1.0, disk(1)), grid, TrackOptions())
+    edges = graph.edges.collect()
+    assert graph.nodes.count() == 11 and len(edges) == 10 and [e.gap for e in edges if e.event == "gap_continue"] == [1]
+    assert graph.family_map.count() == 1 and graph.events.count() == 0
