@@ -570,7 +570,7 @@ def resumed_nodes(spark, d):
     missing = cube(spark, d).select("t", "y", "x", F.when(F.col("valid"), F.round(F.col("rain") * 100).cast("double")).otherwise(F.lit(float("nan"))).alias("cents"))
     folder, out = _folder(spark, "rates"), _folder(spark, "run")
     write_raster(missing, "cents", GRID, FRAMES, folder, "float64", cuts=(0, 1, 38, 43, 100))
-    run = Run(folder, "rain_rate", (("rain_kind", "rate"), ("unit", "mm/h"), ("sequence_id", "events")), THRESHOLD * 100, 0, 1, OPTIONS)
+    run = Run(folder, "rain_rate", (("rain_kind", "rate"), ("unit", "mm/h"), ("sequence_id", "events"), ("missing_frames", "keep")), THRESHOLD * 100, 0, 1, OPTIONS)
     track_series(spark, run, out, 50, most_chunks=1)
     track_series(spark, run, out, 70, resume=True)
     n = spark.read.parquet(f"{out}/catalog/objects")

@@ -106,14 +106,17 @@ class Settings:
     stop: int | None
     crop: int
     snapshots: bool
+    missing_frames: str
 
     @classmethod
     def of(cls, options: dict) -> Settings:
         get = lambda name, default: options.get(name, default)
         stop = get("stop", "")
-        found = cls(get("path", ""), get("variable", ""), get("unit", ""), get("rain_kind", ""), float(get("hours", "1")), get("origin", ""), float(get("tolerance", "1e-3")), get("sequence_id", "default"), int(get("samples_per_task", "24")), int(get("start", "0")), int(stop) if stop else None, int(get("crop", "0")), get("snapshots", "false") == "true")
+        found = cls(get("path", ""), get("variable", ""), get("unit", ""), get("rain_kind", ""), float(get("hours", "1")), get("origin", ""), float(get("tolerance", "1e-3")), get("sequence_id", "default"), int(get("samples_per_task", "24")), int(get("start", "0")), int(stop) if stop else None, int(get("crop", "0")), get("snapshots", "false") == "true", get("missing_frames", "refuse"))
         if found.hours <= 0 or found.samples_per_task < 1 or found.crop < 0 or found.rain_kind not in ("", "cumulative", "interval", "rate"):
             raise ValueError("hours and samples_per_task must be positive, crop not negative, rain_kind cumulative, interval or rate")
+        if found.missing_frames not in ("refuse", "keep"):
+            raise ValueError("missing_frames must be refuse or keep")
         return found
 
 
@@ -233,7 +236,7 @@ def frames_of(split: Split, plan: Plan, s: Settings) -> Iterator[np.ndarray]:
                 raise ValueError("accumulation decreased")
             rate = np.maximum(rate, 0)  # NaN stays
             before = now
-        if not np.isfinite(rate).any():
+        if s.missing_frames == "refuse" and not np.isfinite(rate).any():
             raise ValueError("entire frame is missing")
         yield np.where(np.isfinite(rate), rate * np.float32(plan.factor), rate).astype(np.float32)
 
@@ -280,7 +283,8 @@ def read_series(spark: SparkSession, path: str, variable: str = "", **options) -
     Options are those of ``Settings``: ``unit`` and ``rain_kind`` where headers don't tell, ``hours`` of a step, ``origin`` for series without times,
     ``start`` and ``stop`` frames, ``crop`` to a central square, ``snapshots`` for one accumulated frame per file, ``samples_per_task``. Of
     accumulated amounts, frame t is from sample t to t + 1. Irregular times, repeated ones, changing grids, negative amounts, accumulations that
-    fall by more than ``tolerance`` and frames that are missing as a whole are errors.
+    fall by more than ``tolerance`` and frames that are missing as a whole are errors; with ``missing_frames`` "keep" the latter are frames of
+    missing cells, as those that miss some of them are.
     """
     spark.dataSource.register(SeriesSource)
     given = {"path": path, "variable": variable} | {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}

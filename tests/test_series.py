@@ -244,3 +244,14 @@ def test_a_failed_raster_leaves_nothing(spark, tmp_path):
     assert not (tmp_path / "r").exists()
     with pytest.raises(ValueError, match="cuts"):
         series.write_raster(df, "label", Grid(4, 6), 2, str(tmp_path / "r"), "int32", cuts=(0, 5))
+
+
+def test_frames_missing_as_a_whole_are_kept_if_asked_for(spark, tmp_path):
+    cube = totals(4)
+    cube[9] = np.nan
+    saved(tmp_path, cube, [0, 8, 12])
+    cells = series.read_series(spark, str(tmp_path), "RAINNC", samples_per_task=4, missing_frames="keep")[0]
+    want = increments(cube)
+    assert np.isnan(want[8:10]).all() and np.array_equal(dense(cells, want.shape), want, equal_nan=True)
+    with pytest.raises(ValueError, match="missing_frames"):
+        series.read_series(spark, str(tmp_path), "RAINNC", missing_frames="zero")
