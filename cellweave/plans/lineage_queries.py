@@ -153,7 +153,7 @@ def replayed_edges(spark, d):
 
 @query(_sql("SELECT t AS time, pn AS parent_node_id, cn AS child_node_id, event, row_number() OVER (PARTITION BY t ORDER BY CASE event WHEN 'continue' THEN 1 WHEN 'gap_continue' THEN 2 ELSE 0 END, root, pn, cn) - 1 AS emitted FROM edges"))
 def edge_order(spark, d):
-    """The order in which a frame's edges are found: events by their least parent, one-to-one links, links over missing frames."""
+    """A frame's edges in order: events by their least parent, one-to-one links, links over missing frames; in each, by parent and child."""
     cells = cube(spark, d)
     rows = frame_rows(frames(spark), identify(cells, GRID, THRESHOLD, disk(0)), cells)
     return in_order(run_lineage(rows, OPTIONS, GRID), "edge").select("time", "parent_node_id", "child_node_id", "event", "emitted")
@@ -543,12 +543,12 @@ SELECT t, y, x, CAST(NULL AS BIGINT) AS increment, false AS valid FROM gone UNIO
 SELECT c.t - 1, c.y, c.x, CAST(c.cents AS BIGINT), true FROM cells c WHERE c.valid AND c.t > 0 AND c.cents > 0 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = c.t - 1 AND g.y = c.y AND g.x = c.x)""")
 def series_increments(spark, d):
     """Running totals, written as array files of 1 to 57 frames, read back as one series: differenced by each split, with no shuffle. What a frame
-    misses is missing in both increments that it ends."""
+    misses is missing in both increments that it ends, of a whole frame too."""
     missing = cube(spark, d).where("not valid").select("t", "y", "x", F.lit(float("nan")).alias("gone"))
     totals = _accumulated(spark, d).join(missing, ["t", "y", "x"], "left").withColumn("total", F.coalesce("gone", F.col("rain").cast("double")))
     folder = _folder(spark, "series")
     write_raster(totals, "total", GRID, FRAMES, folder, "float64", cuts=(0, 1, 38, 43, 100))
-    cells, _, _ = read_series(spark, folder, "RAINNC", unit="mm", origin="2024-01-01 00:00:00", samples_per_task=7)
+    cells, _, _ = read_series(spark, folder, "RAINNC", unit="mm", origin="2024-01-01 00:00:00", samples_per_task=7, missing_frames="keep")
     return cells.select("t", "y", "x", F.when(F.col("valid"), F.col("rain").cast("long")).alias("increment"), "valid")
 
 

@@ -23,6 +23,6 @@ def lost_frame(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["resumed_nodes"])
+@pytest.mark.parametrize("name", ["resumed_nodes", "series_increments"])
 def test_frames_missing_as_a_whole(spark, lost_frame, name):
     assert differences(spark, QUERIES[name], ORACLE_SQL[name], lost_frame) == ""
