@@ -475,10 +475,15 @@ def of_kind(tagged: DataFrame, kind: str) -> DataFrame:
 
 
 def in_order(tagged: DataFrame, kind: str) -> DataFrame:
-    """``of_kind`` with ``emitted``: the place of a row among those of its kind in its frame, from 0. Of edges, those of events come first, then
-    one-to-one links, then links over missing frames."""
+    """``of_kind`` with ``emitted``: the place of a row among those of its kind in its frame, from 0. Of edges, those of events come first, by the
+    event's least parent, then one-to-one links, then links over missing frames; in each, by parent, then child. (The kernel has links by child.)"""
     rows = tagged.where(F.col("kind") == kind).select("sequence_id", F.pmod("n", F.lit(FRAME_ROWS)).alias("emitted"), F.from_json("row", SCHEMAS[kind]).alias("r"))
-    return rows.select("sequence_id", "r.*", "emitted")
+    rows = rows.select("sequence_id", "r.*", "emitted")
+    if kind != "edge":
+        return rows
+    later = F.when(F.col("event") == "continue", 1).when(F.col("event") == "gap_continue", 2).otherwise(0)
+    order = Window.partitionBy("sequence_id", "time").orderBy(later, F.when(later == 0, F.col("emitted")), "parent_node_id", "child_node_id")
+    return rows.withColumn("emitted", F.row_number().over(order).cast("long") - 1)
 
 
 @dataclass

@@ -195,3 +195,17 @@ def test_groups_kinds_and_ambiguity():
     assert got == [([0, 1], [3]), ([2, 5], [4])]
     assert [event_kind(1, 1), event_kind(1, 2), event_kind(3, 1), event_kind(2, 2)] == [None, "split", "merge", "complex"]
     assert ambiguous_children([1, 1, 2, 2, 3], [0.5, 0.52, 0.5, 0.55, 0.1], 0.05) == {1}
+
+
+def test_edges_in_order_of_parents(spark):
+    """The kernel emits one-to-one links by child."""
+    import json
+
+    from cellweave.operators.lineage import FRAME_ROWS, TAGGED, in_order
+
+    found = [("split", 5, 6), ("split", 5, 7), ("merge", 3, 9), ("continue", 2, 8), ("continue", 1, 10), ("gap_continue", 4, 11), ("gap_continue", 0, 12)]
+    rows = [("s", "edge", t * FRAME_ROWS + k, json.dumps({"time": t, "event": event, "parent_node_id": p, "child_node_id": c})) for t in (1, 2) for k, (event, p, c) in enumerate(found)]
+    got = in_order(spark.createDataFrame(rows, TAGGED).repartition(3), "edge").collect()
+    for t in (1, 2):
+        assert [r.child_node_id for r in sorted((r for r in got if r.time == t), key=lambda r: r.emitted)] == [6, 7, 9, 10, 8, 12, 11]
+    assert sorted(r.emitted for r in got) == sorted([*range(7)] * 2)
