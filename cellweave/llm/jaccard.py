@@ -20,6 +20,7 @@ from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ SPARE = (0.0, 0.06, 0.1, 0.15, 0.22, 0.3, 0.4)
 #: Sets of a bucket that all meet; in larger ones all meet the least first.
 SMALL = 32
 
+#: Of so many large buckets one, on average, is looked at before the others.
+EARLY = 8
+
 #: Features signed at a time, signatures of a packet, and features (times rows) of a unit of verification.
 SIGNED, PACKET, UNIT = 1 << 19, 1 << 19, 1 << 20
 
@@ -352,13 +356,15 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -
 
 
 def _plausible_ties(units: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of different components ``comp`` that sketches don't rule out, in each unit (g, bi, bj)."""
+    """(a, b): a spanning forest of the pairs of different components ``comp`` that sketches don't rule out, in each unit (g, bi, bj). What ties so far
+    hold together (``tied``, null: nothing) is one vertex, named by that, which is one of its sets: nothing that is tied already is tied again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
             keys, blk, comp, size = (group.column(n).to_numpy() for n in ("k1", "blk", "comp", "n"))
+            name, vertex = np.unique(pc.coalesce(group.column("tied"), group.column("k1")).to_numpy(), return_inverse=True)
             one, two = (np.flatnonzero(blk == group.column(n)[0].as_py()) for n in ("bi", "bj"))
-            if not len(one) or not len(two) or len(np.unique(comp)) < 2:
+            if not len(one) or not len(two) or len(np.unique(comp)) < 2 or len(name) < 2:
                 continue
             sketches = group.column("s").to_pylist()
             width = 2 * min(map(len, sketches))
@@ -366,14 +372,16 @@ def _plausible_ties(units: DataFrame, num: int, den: int) -> DataFrame:
             for n in {len(x) for x in sketches}:
                 some = [k for k, x in enumerate(sketches) if len(x) == n]
                 counters[some] = _counters([sketches[k] for k in some], width)
-            tree = Forest(len(keys))
+            tree = Forest(len(name))
             for i in one.tolist():  # a row at a time: memory doesn't grow with the square of a block
-                ok = two[comp[two] != comp[i]]
+                ok = two[(comp[two] != comp[i]) & (vertex[two] != vertex[i])]
                 ok = ok[plausible(counters[i][None, :], counters[ok], size[i], size[ok], num, den)]
                 if len(ok):
-                    tree.add(np.full(len(ok), i), ok)
+                    tree.add(np.full(len(ok), vertex[i]), vertex[ok])
+                    if len(tree.left) == len(name) - 1:  # all hang together
+                        break
             if tree.left:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[tree.left]), pa.array(keys[tree.right])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[tree.left]), pa.array(name[tree.right])], ["a", "b"])
 
     return map_batches(units, run, "a long, b long")
 
@@ -470,32 +478,46 @@ def _verify_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(rows, run, "a long, b long")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """``rows`` (g, comp, tie, ...) in units in which what isn't in the largest component of a group meets all others of it."""
-    top = rows.groupBy("g", "comp").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"))
-    top = top.select("g", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.m")).alias("n_home"), F.col("top.m").alias("n_other"))
-    return meetings(spread_join(rows, top, "g", "tie").withColumn("home", F.col("comp") != F.col("main")))
+def _placed(rows: DataFrame, part: str = "comp") -> DataFrame:
+    """``rows`` (g, part, tie, ...) in units in which what isn't in the largest ``part`` of a group meets all others of it."""
+    top = rows.groupBy("g", part).agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", part)).alias("top"), F.sum("m").alias("m"))
+    top = top.select("g", F.col(f"top.{part}").alias("main"), (F.col("m") - F.col("top.m")).alias("n_home"), F.col("top.m").alias("n_other")).where("n_home > 0")
+    return meetings(spread_join(rows, top, "g", "tie").withColumn("home", F.col(part) != F.col("main")))
 
 
-def _unresolved(members: DataFrame, classes: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame | None:
+def _unresolved(members: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame | None:
     """(g, bi, bj, blk, comp, id, k1, k2): units of the sets of large buckets that may be linked and aren't tied by the links so far, None if there are none.
 
-    Within a bucket, sets of different components are compared by sketches, block by block; what hangs together by what is left is a cluster g.
+    Within a bucket, sets of different components are compared by sketches; what hangs together by what is left is a cluster g. The plausible
+    ``pairs`` of each with the bucket's least tell most of what hangs together; only what these leave apart meets block by block. Sets that are alike share many buckets, so first some of
+    the buckets are looked at, and then, in all others, what those leave apart.
     """
     spark = members.sparkSession
     reach = connected_components(links)
     named = classes.select("k1", "k2", "n", "s", F.col("first").alias("id")).join(reach, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     named, one = scratch_table(named, "named")
-    held, two = scratch_table(members.select(F.col("a").alias("k1"), F.col("c").alias("g")).join(named.select("k1", "n", "s", "comp"), "k1"), "members")
+    side = lambda x: named.select(F.col("k1").alias(x), F.col("comp").alias(f"c{x}"))
+    stars = members.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    stars = pairs.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b").join(stars, ["a", "b"], "left_semi")
+    ties, two = scratch_table(stars, "ties")
+    held = members.select(F.col("a").alias("k1"), F.col("c").alias("g")).join(named.select("k1", "n", "s", "comp"), "k1")
+    held, three = scratch_table(held, "members")
     open_ = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    units = _placed(held.join(open_, "g", "left_semi").withColumn("tie", F.xxhash64("k1"))).select("g", "bi", "bj", "blk", "comp", "k1", "n", "s")
-    ties, three = scratch_table(_plausible_ties(units.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den).distinct(), "ties")
-    discard(spark, two)
+    held, four = scratch_table(held.join(open_, "g", "left_semi"), "members")
+    paths = [two, three, four]
+    for some in (F.pmod(F.xxhash64("g"), F.lit(EARLY)) == 0, F.pmod(F.xxhash64("g"), F.lit(EARLY)) != 0):
+        tied = connected_components(ties).select(F.col("id").alias("k1"), F.col("component").alias("tied"))
+        part = F.struct(F.col("tied").isNull().alias("alone"), F.coalesce("tied", "comp").alias("of"))  # what need not meet
+        rows, path = scratch_table(held.where(some).join(tied, "k1", "left").withColumn("part", part), "members")
+        units = _placed(rows.withColumn("tie", F.xxhash64("k1")), "part").select("g", "bi", "bj", "blk", "comp", "tied", "k1", "n", "s")
+        more, last = scratch_table(_plausible_ties(units.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den).distinct(), "ties")
+        ties = ties.unionByName(more)
+        paths += [path, last]
     if ties.isEmpty():
-        discard(spark, one, three)
+        discard(spark, one, *paths)
         return None
     clusters = connected_components(ties)
-    discard(spark, three)
+    discard(spark, *paths)
     every = clusters.select(F.col("id").alias("k1"), F.col("component").alias("g")).join(named.select("k1", "k2", "id", "comp"), "k1")
     return _placed(every.withColumn("tie", F.xxhash64("k2"))).select("g", "bi", "bj", "blk", "comp", "id", "k1", "k2")
 
@@ -517,7 +539,7 @@ def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     rows = _featured(needs, docs, k, "ua long, us int, role int", ["ua", "us", "role"])
     links, two = scratch_table(_verify_pairs(rows.repartition("ua", "us").sortWithinPartitions("ua", "us", "role"), num, den), "links")
     paths = [one, two]
-    if not members.isEmpty() and (work := _unresolved(members, classes, links, num, den)) is not None:
+    if not members.isEmpty() and (work := _unresolved(members, classes, pairs, links, num, den)) is not None:
         names = ["g", "bi", "bj", "blk", "comp"]
         needs = work.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct(*names)).alias("units"))
         rows = _featured(needs, docs, k, "g long, bi int, bj int, blk int, comp long", names)

@@ -447,3 +447,35 @@ def test_leaks_against_every_pair(spark):
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
     assert found == plain_leaks(rows, items) and len(found) > 40
     assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in found}
+
+
+def test_sets_of_many_shared_buckets_are_tied_once(spark, monkeypatch):
+    """Near copies share many large buckets: ties found in all of them don't add up, and what links reach stays the same."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(500):
+        text = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 8)), replace=False).tolist():
+            text[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = jaccard._plausible_ties
+    monkeypatch.setattr(jaccard, "_plausible_ties", lambda *a: (lambda found: seen.append(found.count()) or found)(plain(*a)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 4, 85, 100).collect()}
+    sets = [{tuple(t[k : k + 4]) for k in range(len(t) - 3)} for t in (text.split() for _, text in rows)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(500):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {k: find(k) for k in range(500)}
+    assert len(seen) == 2 and sum(seen) <= 3000, seen
