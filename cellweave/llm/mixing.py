@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, WORDS, discard, map_arrow, scratch_table, utf8
-from .graph import spread_join
+from .graph import connected_components, spread_join
 
 #: Levels of 2^BITS buckets by which a seeded order of documents is cut.
 BITS, LEVELS = 9, 3
 
-#: Patterns of texts in several sources that one flow takes, those with the most words; and tasks that the rows of one text are dealt to.
-MOST_PATTERNS, WAYS = 4096, 16
+#: Tasks that the rows of one text are dealt to.
+WAYS = 16
+
+#: Classes whose flow the driver finds at once; more are routed by tasks, group by group.
+AT_ONCE = 4096
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -170,15 +173,10 @@ def _named(members: str) -> Column:
 
 
 def _shared(sized: DataFrame) -> DataFrame:
-    """(k1, k2, pattern, words): texts that stand in several rows of several sources, a number for all these sources, and the text's words.
-
-    Of the patterns, the MOST_PATTERNS with the most words; rows of the rest are patterns of their own, which meets quotas as well.
-    """
+    """(k1, k2, pattern, words): texts that stand in several rows of several sources, a number for all these sources, and the text's words."""
     texts = sized.where("size > 0").groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("members")))).alias("members"), F.count("*").alias("n"), F.max("size").alias("words"))
     texts = texts.where((F.col("n") > 1) & (F.size("members") > 1)).select("k1", "k2", _named("members").alias("pattern"), "words")
-    texts, _ = scratch_table(texts, "texts")
-    top = texts.groupBy("pattern").agg(F.sum("words").alias("total")).orderBy(F.desc("total"), "pattern").limit(MOST_PATTERNS).select("pattern")
-    return texts.join(F.broadcast(top), "pattern", "left_semi").select("k1", "k2", "pattern", "words")
+    return scratch_table(texts, "texts")[0]
 
 
 def _with_patterns(sized: DataFrame, shared: DataFrame) -> DataFrame:
@@ -256,8 +254,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     using it again costs more, from whatever row. A flow of least cost routes the patterns' words to the quotas; each source takes its words
     from its own rows. Rows whose text stands in one source only are that source's own pattern, in the same flow. Where no pattern joins a source to
     others, that flow is its quota, from its own documents, and needs no search. Which rows of a pattern a source takes follows from their ids
-    alone, so two sources that take a part of it each can take the same text. The driver gets the patterns of two or more sources (MOST_PATTERNS
-    of them from texts), and the sources and own patterns that these touch; documents and other sources stay on the executors.
+    alone, so two sources that take a part of it each can take the same text. The driver gets the patterns of two or more sources, and the sources and
+    own patterns that these touch, if they are no more than AT_ONCE; else sources that patterns join, directly or over others, have a
+    flow of their own, which one task finds. Documents and other sources stay on the executors.
     """
     spark = docs.sparkSession
     many = dict(docs.dtypes)[source].startswith("array")
@@ -274,12 +273,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     quotas, three = scratch_table(_targets(sources, weights, share * total, repeats), "targets")
     first = classes.withColumn("source", F.col("members")[0])
     plan = first.join(quotas.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("cls", "words", F.col("size").alias("source_size"), "target", F.bround("target").cast("long").alias("wanted"))
-    routed = spark.createDataFrame(_route(classes, shared, quotas, repeats), "cls long, routed long")
+    routed, four = scratch_table(_route(classes, shared, quotas, repeats), "routed")
     plan = plan.join(routed, "cls", "left").withColumn("wanted", F.coalesce("routed", "wanted")).drop("routed")
     # each class gives floor(wanted / size) copies of all, and one more of those first in seeded order
     copies = lambda f: F.when(F.col("words") > 0, F.expr(f)).otherwise(F.lit(0)).cast("long")
     plan = plan.select("cls", "source_size", "target", copies("wanted div words").cast("int").alias("base"), copies("wanted % words").alias("left"), F.lit(0).cast("long").alias("cut"))
-    paths = [zero, one, two, three]
+    paths = [zero, one, two, three, four]
     for level in range(LEVELS):
         plan, path = scratch_table(_cut(plan, rows, level), "plan")
         paths.append(path)
@@ -289,28 +288,50 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     return found.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("copies"))
 
 
-def _route(classes: DataFrame, shared: DataFrame, quotas: DataFrame, repeats: int) -> list[tuple[int, int]]:
-    """(cls, words wanted) of the classes of sources that some pattern joins to others: the flow over these."""
-    held = classes.where("words > 0").select("cls", "pattern", "joint", "members", "words", F.explode("members").alias("e"))
-    joined = held.where("joint").select(F.col("e").alias("s")).distinct()
-    rows = held.join(joined, F.col("e").eqNullSafe(F.col("s")), "left_semi").drop("e").distinct().collect()
-    rows.sort(key=lambda r: ([(m is None, m or "") for m in r.members], r.pattern))
-    if len({r.cls for r in rows}) < len(rows):
+def _routed(rows: list[dict], target: dict, repeats: int) -> list[tuple[int, int]]:
+    """(cls, words wanted) of classes (cls, pattern, members, words, once) by the flow to the targets of their sources."""
+    name = lambda m: (m is None, m or "")
+    rows = sorted(rows, key=lambda r: ([name(m) for m in r["members"]], r["pattern"]))
+    if len({r["cls"] for r in rows}) < len(rows):
         raise ValueError("two classes have one number")
-    target = {r.source: r.target for r in quotas.join(joined, F.col("source").eqNullSafe(F.col("s")), "left_semi").collect()}
-    names = sorted(target, key=lambda m: (m is None, m or ""))
+    names = sorted(target, key=name)
     at = {m: k for k, m in enumerate(names)}
-    # a shared text counts once, whatever the number of rows it stands in
-    once = {r.pattern: r.words for r in shared.groupBy("pattern").agg(F.sum("words").alias("words")).collect()}
     number: dict[int, int] = {}
     sizes: list[int] = []
     for r in rows:
-        if number.setdefault(r.pattern, len(sizes)) == len(sizes):
-            sizes.append(once.get(r.pattern, 0))
-        if r.pattern not in once:
-            sizes[number[r.pattern]] += r.words
-    flow = min_cost_flow(sizes, [(number[r.pattern], [at[m] for m in r.members], repeats * r.words) for r in rows], [round(target[m]) for m in names], repeats)
+        if number.setdefault(r["pattern"], len(sizes)) == len(sizes):
+            sizes.append(r["once"] or 0)
+        if r["once"] is None:
+            sizes[number[r["pattern"]]] += r["words"]
+    flow = min_cost_flow(sizes, [(number[r["pattern"]], [at[m] for m in r["members"]], repeats * r["words"]) for r in rows], [round(target[m]) for m in names], repeats)
     wanted = [0] * len(rows)
     for (c, _), words in flow.items():
         wanted[c] += words
-    return [(r.cls, w) for r, w in zip(rows, wanted)]
+    return [(r["cls"], w) for r, w in zip(rows, wanted)]
+
+
+def _route(classes: DataFrame, shared: DataFrame, quotas: DataFrame, repeats: int) -> DataFrame:
+    """(cls, routed): words wanted of the classes of sources that some pattern joins to others: the flow over these.
+
+    What no pattern joins shares no words and no quota: the flows of connected groups of sources make up that of all.
+    """
+    held = classes.where("words > 0").select("cls", "pattern", "joint", "members", "words", F.explode("members").alias("e"))
+    joined = held.where("joint").select(F.col("e").alias("s")).distinct()
+    once = shared.groupBy("pattern").agg(F.sum("words").alias("once"))  # a shared text counts once, whatever the number of rows it stands in
+    rows = held.join(joined, F.col("e").eqNullSafe(F.col("s")), "left_semi").drop("e").distinct().join(once, "pattern", "left")
+    targets = quotas.join(joined, F.col("source").eqNullSafe(F.col("s")), "left_semi").select("source", "target")
+    first = rows.limit(AT_ONCE + 1).collect()
+    if len(first) <= AT_ONCE:
+        found = _routed([r.asDict() for r in first], {r.source: r.target for r in targets.collect()}, repeats)
+        return held.sparkSession.createDataFrame(found, "cls long, routed long")
+    node = lambda c: F.xxhash64(F.lit("source"), c.isNull(), c)
+    groups = connected_components(held.where("joint").select("pattern", node(F.col("e")).alias("id")), "pattern", "id")
+    named = lambda n: groups.select(F.col("id").alias(f"id{n}"), F.col("component").alias(f"g{n}"))
+    left = rows.withColumn("id1", node(F.col("members")[0])).join(named(1), "id1").select("g1", "cls", "pattern", "members", "words", "once")
+    right = targets.withColumn("id2", node(F.col("source"))).join(named(2), "id2").select("g2", "source", "target")
+
+    def flow(_, classes: pa.Table, targets: pa.Table) -> pa.Table:
+        found = _routed(classes.to_pylist(), {r["source"]: r["target"] for r in targets.to_pylist()}, repeats)
+        return pa.table({"cls": pa.array([c for c, _ in found], pa.int64()), "routed": pa.array([w for _, w in found], pa.int64())})
+
+    return left.groupBy("g1").cogroup(right.groupBy("g2")).applyInArrow(flow, "cls long, routed long")

@@ -422,3 +422,16 @@ def test_pipeline(spark, tmp_path):
     assert abs(sum(r.taken for r in want.values()) - 1.5 * total) < 0.1 * total
     assert {r.doc_id: r.taken for r in corpus_pipeline.run(spark, sf).collect()} == {i: r.taken for i, r in want.items()}
     assert jaccard.keep_first is not None
+
+
+def test_all_patterns_of_shared_texts_count(spark, monkeypatch):
+    """Texts of 5000 pairs of sources: each is one supply of both. Many classes are routed group by group as few are at once."""
+    rows = spark.range(10_000).selectExpr("id", "array(string(id)) AS members", "id div 2 AS k1", "id div 2 AS k2", "1 + id div 2000 AS size")
+    found = mixing._shared(rows)
+    assert (found.count(), found.select("pattern").distinct().count()) == (5000, 5000)
+    texts = [(2 * k + j, f"s{k}_{j}", f"t{k} " * (9 + k)) for k in range(3) for j in range(2)]
+    docs = spark.createDataFrame([*texts, (9, None, "t0 " * 9), (10, "alone", "x y"), (11, "s1_0", "own text here"), (12, "s2_1", "one more")], "doc_id long, source string, text string")
+    read = lambda: sorted(mixing.mix_sources(docs).collect())
+    want = read()
+    monkeypatch.setattr(mixing, "AT_ONCE", 0)
+    assert len(want) == 10 and read() == want
