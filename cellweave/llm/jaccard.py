@@ -39,6 +39,9 @@ SMALL = 32
 #: Of so many large buckets one, on average, is looked at before the others.
 EARLY = 8
 
+#: Hashes of ids by which the texts that are needed are told from others.
+ASKED = 1 << 20
+
 #: Features signed at a time, signatures of a packet, and features (times rows) of a unit of verification.
 SIGNED, PACKET, UNIT = 1 << 19, 1 << 19, 1 << 20
 
@@ -150,11 +153,12 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """How many features (modulo 16) fall on each of a power of two of counters, about one for 8 features; two to a byte.
+    """How many features (modulo 16) fall on each of a power of two of counters, one for 2 to 4 features; two to a byte.
 
-    Distances of the counters of two sets, on a ring of 16, add up to no more than their symmetric difference.
+    Distances of the counters of two sets, on a ring of 16, add up to no more than their symmetric difference. With many more features to
+    a counter unlike sets look alike, and large buckets hang together by that.
     """
-    width = 1 << max(5, (len(features) // 8).bit_length() - 1)
+    width = 1 << max(5, (len(features) // 2).bit_length() - 1)
     counters = (np.bincount((mix(features ^ _VALUE) & np.uint64(width - 1)).astype(np.int64), minlength=width) % 16).astype(np.uint8)
     return (counters[: width // 2] | counters[width // 2 :] << 4).tobytes()
 
@@ -244,7 +248,7 @@ def _packets(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFr
                 key = set_key(s)
                 described.append((len(s), *key))
                 sketches.append(sketch(s))
-                if len(s) and key not in seen:
+                if len(s) * (den - num) >= num and key not in seen:  # smaller ones are similar to equal ones alone
                     seen.add(key)
                     sets.append(s)
                     keys.append(key[0])
@@ -406,10 +410,16 @@ def _featured(needs: DataFrame, docs: DataFrame, k: int, shape: str, names: list
                     part = here.slice(low, step)
                     yield pa.RecordBatch.from_arrays([*(part.field(names.index(x)) for x in names), *(pa.repeat(c[at], len(part)) for c in (ids, k1)), pa.array([raw] * len(part), pa.binary())], [*names, "id", "k1", "f"])
 
-    found = needs.join(docs, "id").select("id", "k1", "k2", "units", "text")
+    found = needs.join(_asked(docs, needs), "id").select("id", "k1", "k2", "units", "text")
     return map_batches(found, run, f"{shape}, id long, k1 long, f binary")
 
 
+def _asked(docs: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id of ``needs``, and a few others: no other text is shuffled. What is broadcast has ASKED rows at most."""
+    taken = F.pmod(F.xxhash64("id"), F.lit(ASKED).cast("long"))
+    return docs.join(F.broadcast(needs.select(taken.alias("asked")).distinct()), taken == F.col("asked"), "left_semi")
+
+
 def _verify_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): ids of linked sets, of units (ua, us): one set (role 0) and those that it is to be compared with."""
 
@@ -535,17 +545,17 @@ def _links(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     mine = centre.select("k1", F.col("k1").alias("ua"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("us"), role(0))
     theirs = pairs.join(centre.withColumnRenamed("k1", "a"), "a").select(F.col("b").alias("k1"), F.col("a").alias("ua"), F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("us"), role(1))
     needs = mine.unionByName(theirs).groupBy("k1").agg(F.collect_list(F.struct("ua", "us", "role")).alias("units"))
-    needs = needs.join(classes.select("k1", "k2", F.col("first").alias("id")), "k1")
+    needs, three = scratch_table(needs.join(classes.select("k1", "k2", F.col("first").alias("id")), "k1"), "needs")
     rows = _featured(needs, docs, k, "ua long, us int, role int", ["ua", "us", "role"])
     links, two = scratch_table(_verify_pairs(rows.repartition("ua", "us").sortWithinPartitions("ua", "us", "role"), num, den), "links")
-    paths = [one, two]
+    paths = [one, two, three]
     if not members.isEmpty() and (work := _unresolved(members, classes, pairs, links, num, den)) is not None:
         names = ["g", "bi", "bj", "blk", "comp"]
-        needs = work.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct(*names)).alias("units"))
+        needs, four = scratch_table(work.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct(*names)).alias("units")), "needs")
         rows = _featured(needs, docs, k, "g long, bi int, bj int, blk int, comp long", names)
-        more, three = scratch_table(_verify_blocks(rows.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den), "links")
+        more, five = scratch_table(_verify_blocks(rows.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), num, den), "links")
         links = links.unionByName(more)
-        paths.append(three)
+        paths += [four, five]
     return links, paths
 
 

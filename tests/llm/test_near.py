@@ -479,3 +479,31 @@ def test_sets_of_many_shared_buckets_are_tied_once(spark, monkeypatch):
                 root[b] = a
     assert got == {k: find(k) for k in range(500)}
     assert len(seen) == 2 and sum(seen) <= 3000, seen
+
+
+def test_short_texts_and_unlike_sets_make_no_ties(spark, monkeypatch):
+    """Sets too small to be like any but equal ones have no signatures; sets of which half is the same aren't taken for candidates."""
+    word = lambda k, j: f"w{k}x{j}"
+    rows = [(k, " ".join(word(k % 390, j) for j in range(4 + k % 4))) for k in range(400)]  # 1 to 3 shingles; 390 to 399 stand already
+    rows += [(400, " ".join(word(400, j) for j in range(8))), (401, " ".join(word(400, j) for j in range(9)))]  # 4 of 5: just alike
+    seen = []
+    plain = jaccard._plausible_ties
+    monkeypatch.setattr(jaccard, "_plausible_ties", lambda *a: (lambda found: seen.append(found.count()) or found)(plain(*a)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    first: dict = {}
+    assert got == {k: first.setdefault(t, k) for k, t in rows[:-1]} | {401: 400} and sum(seen) == 0, seen
+    rng = np.random.default_rng(6)
+    common = rng.integers(1 << 63, size=250).astype(np.uint64)
+    for n in (500, 600, 1000):
+        sets = [np.unique(np.append(common, rng.integers(1 << 63, size=n - 250).astype(np.uint64))) for _ in range(60)]
+        rows = jaccard._counters([jaccard.sketch(s) for s in sets], 2 * len(jaccard.sketch(sets[0])))
+        size = np.full(59, n)
+        assert sum(int(jaccard.plausible(rows[k][None, :], np.delete(rows, k, 0), n, size, 80, 100).sum()) for k in range(60)) == 0
+
+
+def test_texts_of_which_nothing_is_needed_are_not_shuffled(spark):
+    docs = spark.range(20000).select("id", F.lit("a text").alias("text"))
+    docs = docs.unionByName(docs.where("id < 3"))  # ids may stand for several rows
+    found = [r.id for r in jaccard._asked(docs, docs.where("id % 100 = 0").select("id")).collect()]
+    assert {k for k in range(20000) if k % 100 == 0} <= set(found) and found.count(0) == 2 and len(found) < 300
+    assert jaccard._asked(docs, docs.where("id < 0").select("id")).count() == 0
